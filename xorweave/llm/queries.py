@@ -1,6 +1,6 @@
 """The queries of this folder, and the SQL of those that SQL can express."""
 
-from . import bpe, dedup, mixing, quality, toxicity
+from . import bpe, dedup, lm, mixing, quality, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -8,5 +8,6 @@ QUERIES = {
     "op3_near_dedup": dedup.op3_near_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_bpe": bpe.op5_bpe,
+    "op7_lm_score": lm.op7_lm_score,
 }
 SQL = {"op1_mixing": mixing.OP1_SQL, "op3_near_dedup": dedup.OP3_SQL}
