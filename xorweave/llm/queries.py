@@ -1,6 +1,6 @@
 """The queries of this folder, and the SQL of those that SQL can express."""
 
-from . import bpe, dedup, lm, mixing, quality, toxicity
+from . import ann, bpe, chat, dedup, lm, media, mixing, pages, quality, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -8,6 +8,10 @@ QUERIES = {
     "op3_near_dedup": dedup.op3_near_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_bpe": bpe.op5_bpe,
+    "op6_media": media.op6_media,
     "op7_lm_score": lm.op7_lm_score,
+    "op8_html": pages.op8_html,
+    "op9_ann": ann.op9_ann,
+    "op10_chat": chat.op10_chat,
 }
 SQL = {"op1_mixing": mixing.OP1_SQL, "op3_near_dedup": dedup.OP3_SQL}
