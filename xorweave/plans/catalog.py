@@ -1,4 +1,169 @@
-"""The queries of the join engine, and their SQL."""
+"""The queries of the join engine over the star-schema tables, and their SQL.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Lists A, B and C are keys hashed from orders, customer and part; shares come from lineitem.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import bits, shares
+from ..operators import join, lists, match
+from ..streaming import ledger
+
+BITS = 26
+SOURCES = {"A": ("orders", "o_orderkey"), "B": ("customer", "c_custkey"), "C": ("part", "p_partkey")}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def keys(spark: SparkSession, sf_dir: str, tag: str, width: int = BITS) -> DataFrame:
+    """(id, h) of one list."""
+    name, ident = SOURCES[tag]
+    return table(spark, sf_dir, name).select(F.col(ident).alias("id"), bits.hash_key(tag, F.col(ident), width).alias("h"))
+
+
+def three(spark: SparkSession, sf_dir: str, width: int = BITS) -> list[DataFrame]:
+    return [keys(spark, sf_dir, t, width) for t in "ABC"]
+
+
+def share_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = F.col("l_returnflag")
+    return table(spark, sf_dir, "lineitem").select(
+        F.when(flag == "A", 0).when(flag == "N", 1).otherwise(2).cast("short").alias("kind"), F.col("l_quantity").cast("short").alias("difficulty"),
+        F.col("l_partkey").alias("extraNonce2"), F.col("l_suppkey").alias("extraNonce1"), F.col("l_orderkey").alias("nonce"), F.col("l_linenumber").cast("long").alias("ntime"),
+    )
+
+
+def solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join.all_pairs(*three(spark, sf_dir))
+
+
+def event_ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tasks 0..n-1 for n events; those of purchases are finished, with their value as seconds."""
+    events = table(spark, sf_dir, "events")
+    every = events.select(F.col("event_id").alias("task_id"))
+    return every, events.filter("event_type = 'purchase'").select(F.col("event_id").alias("task_id"), F.round(F.abs("value"), 4).alias("duration"))
+
+
+def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Solutions with the digests of their records."""
+    a, b, c = three(spark, sf_dir)
+    rows = match.preimages(solutions(spark, sf_dir), a, b, c)
+    sha = lambda tag, col: F.sha2(F.concat(F.lit(tag), F.col(col).cast("string")).cast("binary"), 256)
+    return rows.select("a_id", "b_id", "c_id", sha("A", "a_id").alias("d_a"), sha("B", "b_id").alias("d_b"), sha("C", "c_id").alias("d_c"))
+
+
+def h_sql(tag: str, ident: str, width: int = BITS) -> str:
+    return f"(CAST('0x' || substr(sha256('{tag}' || {ident}), 1, 15) AS BIGINT) & {(1 << width) - 1})"
+
+
+def list_sql(tag: str, width: int = BITS) -> str:
+    name, ident = SOURCES[tag]
+    return f"(SELECT {ident} AS id, {h_sql(tag, ident, width)} AS h FROM {name})"
+
+
+def join_sql(width: int = BITS) -> str:
+    a, b, c = (list_sql(t, width) for t in "ABC")
+    return f"SELECT a.h AS a, b.h AS b FROM {a} a, {b} b WHERE xor(a.h, b.h) IN (SELECT h FROM {c})"
+
+
+SHARES_SQL = """(SELECT CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS SMALLINT) AS kind, CAST(l_quantity AS SMALLINT) AS difficulty,
+  l_partkey AS "extraNonce2", l_suppkey AS "extraNonce1", l_orderkey AS nonce, CAST(l_linenumber AS BIGINT) AS ntime FROM lineitem)"""
+MATRIX = [0x9E3779B97F4A7C15 >> (i % 7) ^ (0x0123456789ABCDEF << (i % 5)) & (2**64 - 1) for i in range(BITS)]
+
+
+def big(x: str) -> str:
+    return f"lpad(lower(printf('%x', {x})), 8, '0')"
+
+
+def little(x: str) -> str:
+    return "(" + " || ".join(f"substr({big(x)}, {i}, 2)" for i in (7, 5, 3, 1)) + ")"
+
+
+def dsha(x: str) -> str:
+    return f"sha256(unhex(sha256(unhex({x}))))"
+
+
+DIGEST_SQL = f"""(SELECT *, {dsha(f"(CASE kind WHEN 0 THEN '{shares.PREFIXES[0]}' WHEN 1 THEN '{shares.PREFIXES[1]}' ELSE '{shares.PREFIXES[2]}' END) || {dsha(f"'{shares.COINBASE_HEAD}' || {big('"extraNonce1"')} || {big('"extraNonce2"')} || '{shares.COINBASE_TAIL}'")} || {little('ntime')} || '{shares.MARK}' || {little('nonce')}")} AS digest FROM {SHARES_SQL})"""
+MATVEC_SQL = "0::BIGINT"
+for _i, _row in enumerate(MATRIX):
+    MATVEC_SQL = f"xor({MATVEC_SQL}, CASE WHEN (h >> {_i}) & 1 = 1 THEN ({bits.signed(_row)})::BIGINT ELSE 0 END)"
+PREIMAGE_SQL = f"""SELECT s.a, s.b, xor(s.a, s.b) AS c, a.id AS a_id, b.id AS b_id, c.id AS c_id
+FROM (SELECT DISTINCT * FROM ({join_sql()})) s
+JOIN (SELECT h, min(id) AS id FROM {list_sql('A')} GROUP BY h) a ON a.h = s.a
+JOIN (SELECT h, min(id) AS id FROM {list_sql('B')} GROUP BY h) b ON b.h = s.b
+JOIN (SELECT h, min(id) AS id FROM {list_sql('C')} GROUP BY h) c ON c.h = xor(s.a, s.b)"""
+UNION_SQL = " UNION ALL ".join(f"SELECT h FROM {list_sql(t)}" for t in "ABC")
+
+
+def mixed(x: DataFrame) -> DataFrame:
+    """Keys spread over all 64 bits, half of them with the high bit set."""
+    return x.select("id", F.shiftleft("h", 37).bitwiseXOR(F.col("h")).alias("h"))
+
+
+def q(fn: Callable[[SparkSession, str], DataFrame], sql: str) -> tuple:
+    return fn, sql
+
+
+_ALL: dict[str, tuple] = {
+    "hash60": q(lambda s, d: keys(s, d, "A", 60), f"SELECT * FROM {list_sql('A', 60)}"),
+    "double_sha": q(lambda s, d: table(s, d, "orders").select("o_orderkey", shares.double_sha(F.hex(F.concat(F.lit("A"), F.col("o_orderkey").cast("string")))).alias("digest")), "SELECT o_orderkey, sha256(unhex(sha256('A' || o_orderkey))) AS digest FROM orders"),
+    "share_keys": q(
+        lambda s, d: shares.with_key(share_rows(s, d)).select("kind", "nonce", "ntime", "digest", bits.hex16(F.col("h")).alias("key_hex"), "ok"),
+        f"SELECT kind, nonce, ntime, digest, {' || '.join(f'substr(digest, {2 * i + 1}, 2)' for i in range(26, 18, -1))} AS key_hex, substr(digest, 57, 8) = '00000000' AS ok FROM {DIGEST_SQL}",
+    ),
+    "share_dedup": q(lambda s, d: shares.dedup_shares(share_rows(s, d)), f'SELECT "extraNonce2", "extraNonce1", nonce, ntime, kind, max(difficulty) AS difficulty FROM {SHARES_SQL} GROUP BY ALL'),
+    "kind_stats": q(lambda s, d: shares.kind_stats(share_rows(s, d)), f"SELECT kind, count(*) AS n, round(sum(cbrt(difficulty)), 4) AS work FROM {SHARES_SQL} GROUP BY kind"),
+    "work_bits": q(lambda s, d: shares.work_bits(shares.kind_stats(share_rows(s, d))).select(F.round("bits", 6).alias("bits")), f"SELECT round(sum(log2(work)) + 32, 6) AS bits FROM (SELECT kind, round(sum(cbrt(difficulty)), 4) AS work FROM {SHARES_SQL} GROUP BY kind)"),
+    "split_sizes": q(lambda s, d: share_rows(s, d).groupBy(shares.part_of(16).alias("part")).agg(F.count("*").alias("n")), f'SELECT xor(xor("extraNonce2", nonce), ntime) % 16 AS part, count(*) AS n FROM {SHARES_SQL} GROUP BY 1'),
+    "dup_count": q(lambda s, d: lists.duplicate_count(table(s, d, "lineitem").select(bits.hash_key("L", F.col("l_orderkey"), BITS).alias("h"))), f"SELECT count(*) - count(DISTINCT {h_sql('L', 'l_orderkey')}) AS n_dups FROM lineitem"),
+    "dup_rows": q(lambda s, d: lists.repeats(lists.masked(keys(s, d, "A"), 12), "id"), f"SELECT h, id, CAST(nth AS INTEGER) AS nth FROM (SELECT h & 4095 AS h, id, row_number() OVER (PARTITION BY h & 4095 ORDER BY id) AS nth FROM {list_sql('A')}) WHERE nth > 1"),
+    "unique_keys": q(lambda s, d: lists.unique_keys(lists.masked(keys(s, d, "A"), 12)), f"SELECT DISTINCT h & 4095 AS h FROM {list_sql('A')}"),
+    "union_all": q(lambda s, d: lists.union_all(*[x.select("h") for x in three(s, d)]), UNION_SQL),
+    "bucket_index": q(lambda s, d: lists.bucket_index(keys(s, d, "A"), 6, BITS), f"SELECT p.range AS prefix, CAST((SELECT count(*) FROM {list_sql('A')} WHERE h >> 20 < p.range) AS BIGINT) AS off FROM range(65) p"),
+    "bucket_skew": q(
+        lambda s, d: lists.bucket_skew(keys(s, d, "B"), 8, BITS),
+        f"WITH n AS (SELECT count(h) AS n FROM range(256) p LEFT JOIN {list_sql('B')} ON h >> 18 = p.range GROUP BY p.range), m AS (SELECT CAST(sum(n) // 256 AS BIGINT) AS avg FROM n) SELECT avg, count(*) FILTER (n < avg // 3) AS thin, count(*) FILTER (n > 3 * avg) AS fat FROM n, m GROUP BY avg",
+    ),
+    "advise": q(lambda s, d: lists.advise(keys(s, d, "A")), "SELECT CAST(min(w.range) AS INTEGER) AS prefix_width FROM range(63) w, (SELECT count(*) AS n FROM orders) WHERE n >> w.range <= 256"),
+    "sort_unsigned": q(
+        lambda s, d: lists.sort_keys(mixed(keys(s, d, "C"))).select("id", bits.hex16(F.col("h")).alias("key_hex")),
+        f"SELECT id, lpad(lower(printf('%x', h)), 16, '0') AS key_hex FROM (SELECT id, xor(h << 37, h) AS h FROM {list_sql('C')}) ORDER BY h < 0, h",
+    ),
+    "unsorted_places": q(lambda s, d: lists.unsorted_places(keys(s, d, "A"), "id"), f"SELECT id, h, before FROM (SELECT id, h, lag(h) OVER (ORDER BY id) AS before FROM {list_sql('A')}) WHERE h < before"),
+    "trailing_zeros": q(lambda s, d: keys(s, d, "A", 60).select("id", bits.trailing_zeros(F.col("h")).alias("tz")), f"SELECT id, CAST(bit_count(xor(h - 1, h)) - 1 AS INTEGER) AS tz FROM {list_sql('A', 60)}"),
+    "masks": q(
+        lambda s, d: keys(s, d, "C", 60).select("id", bits.msb(F.col("h"), 9, 60).alias("top"), F.col("h").bitwiseAND(F.lit(bits.right_mask(7))).alias("low"), F.col("h").bitwiseAND(F.lit(bits.left_mask(12))).alias("high")),
+        f"SELECT id, h >> 51 AS top, h & 127 AS low, h & ({bits.left_mask(12)})::BIGINT AS high FROM {list_sql('C', 60)}",
+    ),
+    "gf2_matvec": q(lambda s, d: keys(s, d, "C").select("id", bits.matvec(F.col("h"), MATRIX).alias("image")), f"SELECT id, {MATVEC_SQL} AS image FROM {list_sql('C')}"),
+    "pair_count": q(
+        lambda s, d: join.tested_pairs(keys(s, d, "A"), keys(s, d, "B"), 4, BITS),
+        f"SELECT u.range AS u, CAST(sum(na * nb) AS BIGINT) AS pairs FROM range(16) u, (SELECT h >> 22 AS pa, count(*) AS na FROM {list_sql('A')} GROUP BY 1) a, (SELECT h >> 22 AS pb, count(*) AS nb FROM {list_sql('B')} GROUP BY 1) b WHERE pb = xor(pa, u.range) GROUP BY 1",
+    ),
+    "xor3_all_pairs": q(solutions, join_sql()),
+    "xor3_prefix": q(lambda s, d: join.prefix(*three(s, d), 4, BITS), join_sql()),
+    "xor3_prefix_20": q(lambda s, d: join.prefix(*[lists.masked(x, 20) for x in three(s, d)], 4, 20), join_sql(20)),
+    "xor3_slice": q(lambda s, d: join.by_slice(*three(s, d), BITS), join_sql()),
+    "xor3_auto": q(lambda s, d: join.xor3_join(*three(s, d), width=BITS), join_sql()),
+    "preimages": q(lambda s, d: match.preimages(solutions(s, d), *three(s, d)), PREIMAGE_SQL),
+    "solution_keys": q(lambda s, d: match.solution_keys(solutions(s, d)), f"WITH s AS ({join_sql()}) SELECT 0 AS role, a AS h FROM s UNION SELECT 1, b FROM s UNION SELECT 2, xor(a, b) FROM s"),
+    "rank_best": q(
+        lambda s, d: match.best(digests(s, d).select("a_id", "b_id", "c_id", bits.score(bits.xor_hex(F.col("d_a"), F.col("d_b"), F.col("d_c"))).alias("score")), "score", "a_id"),
+        f"""WITH x AS (SELECT a_id, b_id, c_id, xor(xor(CAST('0x' || substr(sha256('A' || a_id), 33, 8) AS BIGINT), CAST('0x' || substr(sha256('B' || b_id), 33, 8) AS BIGINT)), CAST('0x' || substr(sha256('C' || c_id), 33, 8) AS BIGINT)) AS w FROM ({PREIMAGE_SQL}))
+SELECT a_id, b_id, c_id, CAST(CASE WHEN w = 0 THEN 32 ELSE bit_count(xor(w - 1, w)) - 1 END AS INTEGER) AS score FROM x ORDER BY score DESC, a_id LIMIT 1""",
+    ),
+    "pending_tasks": q(lambda s, d: ledger.pending(*event_ledger(s, d)), "SELECT event_id AS task_id FROM events WHERE event_type <> 'purchase' OR event_type IS NULL"),
+    "task_states": q(
+        lambda s, d: ledger.states(*event_ledger(s, d)).select("state", "n", F.round("cpu_seconds", 2).alias("cpu_seconds")),
+        "SELECT CASE WHEN event_type = 'purchase' THEN 'DONE' ELSE 'PENDING' END AS state, count(*) AS n, round(round(coalesce(sum(round(abs(value), 4)) FILTER (event_type = 'purchase'), 0), 4), 2) AS cpu_seconds FROM events GROUP BY 1",
+    ),
+}
+QUERIES = {name: fn for name, (fn, _) in _ALL.items()}
+SQL = {name: sql for name, (_, sql) in _ALL.items()}
