@@ -247,7 +247,7 @@ def rest_pairs(placed: DataFrame, reps: DataFrame, block: int = 1000) -> DataFra
 def confirmed(near: DataFrame, docs: DataFrame) -> DataFrame:
     """The links among the pairs ``near`` (u, v), confirmed on sets made anew from the texts."""
     near = stored(near, "near")
-    ids = near.select(F.explode(F.array("u", "v")).alias("d_id")).distinct()
+    ids = near.select(F.col("u").alias("d_id")).distinct().union(near.select("v").distinct()).distinct()
     texts = docs.join(ids, "d_id", "left_semi").select("d_id", "text")
     sets = texts.mapInArrow(set_bytes, "s_id long, s_set binary")
     # an id may stand on several rows: one of them counts
