@@ -1,0 +1,282 @@
+"""The operators of xorweave.llm: brute force, round trips, held-out accuracy, and awkward rows."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+
+pytest.importorskip("xorweave.llm")
+from xorweave.llm import ann, bpe, chat, common, dedup, lm, media, mixing, pages, quality, toxicity  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, TARGET string, key string"
+LONG = "ab cd " * 20_000 + "x" * 3000
+BASE = " ".join(f"w{i}" for i in range(60))
+ROWS = [
+    (1, BASE, "en", "a"), (2, BASE, "en", "a"), (2, BASE, "en", "a"), (3, BASE + " more", None, None), (4, "", "en", "b"), (5, None, "en", "b"), (6, " \t\n", None, "b"),
+    (7, LONG, "en", "c"), (8, "One two", "en", "c"), (9, "ONE two", "en", None), (10, "naïve café \U0001f600 12 it's", "fr", "d"), (None, BASE, "en", "a"), (None, "alone in here now", "en", "e"),
+]
+
+
+def lower(text):
+    return (text or "").translate({i: i + 32 for i in range(65, 91)})
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(*r, 0, 9, 1.0, "x", "y") for r in ROWS], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.limit(0)
+
+
+def duck(tables):
+    c = duckdb.connect()
+    for t in tables:
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return c
+
+
+def same(df, sql, tables):
+    columns = sorted(df.columns)
+    other = duck(tables).sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
+    assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == sorted(other, key=repr)
+
+
+def test_mixing(spark, docs, none):
+    same(mixing.op1_mixing(spark, SF), mixing.OP1_SQL, ["documents"])
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == len(ROWS) and mixing.mix(none).count() == 0
+    total = sum(r["size"] for r in rows)
+    assert total == sum(len(WORD.findall(t or "")) for _, t, *_ in ROWS)
+    assert all(0 <= r.taken <= 2 * r["size"] for r in rows)
+    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.mix(docs).collect()), key=repr)
+    targets = {(r.source_size, r.target) for r in mixing.mix(docs).collect()}
+    assert all(t <= 2 * s + 1e-6 for s, t in targets) and mixing.mixed(docs).columns == docs.columns
+
+
+def test_mixing_ranges(spark):
+    """Small ranges and one range give the same mix, near the targets."""
+    big = spark.range(3000).selectExpr("id AS doc_id", "repeat('w ', int(1 + id % 7)) AS text", "if(id % 3 > 0, 'hot', concat('s', id % 4)) AS source")
+    one, many = (sorted(map(tuple, mixing.mix(big, range_docs=n).collect())) for n in (10**9, 16))
+    assert one == many
+    by = collections.defaultdict(lambda: [0, 0])
+    for r in mixing.mix(big).join(big, "doc_id").collect():
+        by[r.source][0] += r.taken
+        by[r.source][1] = r.target
+    assert all(abs(taken - target) <= 7 for taken, target in by.values())
+
+
+def accuracy(spark, label):
+    d, lab = (common.table(spark, "/root/testdata/sf0.1", t) for t in ("documents", "labels"))
+    return d, lab, lab.selectExpr("doc_id AS l_id", f"{label} AS truth")
+
+
+def test_quality(spark, docs, none):
+    d, lab, truth = accuracy(spark, "quality")
+    model = quality.fit_on(d, lab, 1500)
+    scored = quality.score_documents(d.join(truth, d.doc_id == truth.l_id, "left_semi"), model).join(truth, dedup.F.col("doc_id") == truth.l_id).filter("held_out").collect()
+    assert np.mean([r.predicted == r.truth for r in scored]) > 0.97
+    rows = quality.score_documents(docs, model).collect()
+    assert len(rows) == len(ROWS) and all(0 <= r.score <= 1 for r in rows) and quality.score_documents(none, model).count() == 0
+    assert quality.fit([], np.zeros(0))["w"].sum() == 0
+
+
+def test_forward_backward():
+    """Marginals against the sum over all labelings."""
+    r = np.random.default_rng(0)
+    e, trans = r.normal(size=(1, 5, 2)), r.normal(size=(2, 2))
+    weight = {}
+    for code in range(32):
+        y = [code >> i & 1 for i in range(5)]
+        weight[tuple(y)] = math.exp(sum(e[0, i, y[i]] for i in range(5)) + sum(trans[y[i], y[i + 1]] for i in range(4)))
+    z = sum(weight.values())
+    marginal, pairs, log_z = quality.forward_backward(e, trans, np.array([5]))
+    assert log_z[0] == pytest.approx(math.log(z))
+    assert marginal[0, 2, 1] == pytest.approx(sum(w for y, w in weight.items() if y[2]) / z)
+    assert pairs[0, 0, 1] == pytest.approx(sum(w * sum(y[i] == 0 and y[i + 1] == 1 for i in range(4)) for y, w in weight.items()) / z)
+
+
+def test_toxicity(spark, docs, none):
+    d, lab, truth = accuracy(spark, "toxic")
+    model = toxicity.fit_on(d, lab)
+    rows = toxicity.grade_documents(d, model).join(truth, dedup.F.col("doc_id") == truth.l_id).collect()
+    held = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert np.mean([r.toxic for r in held if r.truth]) > 0.85 and np.mean([r.toxic for r in held if not r.truth]) < 0.02
+    assert all(0 <= r.severity <= 3 for r in rows)
+    graded = toxicity.grade_documents(docs, model).collect()
+    assert len(graded) == len(ROWS) and toxicity.grade_documents(none, model).count() == 0
+    assert toxicity.fit([], np.zeros(0))["w"] == {}
+
+
+def components(rows):
+    sets = []
+    for i, text in rows:
+        w = WORD.findall(lower(text))
+        sets.append((i, {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()))
+    comp = list(range(len(sets)))
+    for x, (_, s) in enumerate(sets):
+        for y in range(x):
+            t = sets[y][1]
+            if s and t and 100 * len(s & t) >= 80 * len(s | t):
+                comp = [comp[x] if c == comp[y] else c for c in comp]
+    low = {}
+    for c, (i, _) in zip(comp, sets, strict=True):
+        low[c] = min((v for v in (low.get(c), i) if v is not None), default=None)
+    return sorted(((i, len(s), low[c]) for c, (i, s) in zip(comp, sets, strict=True)), key=repr)
+
+
+def test_dedup(spark, docs, none):
+    same(dedup.op3_near_dedup(spark, SF), dedup.OP3_SQL, ["documents"])
+    rows = dedup.near_duplicates(docs).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=repr) == components([r[:2] for r in ROWS])
+    assert dedup.near_duplicates(none).count() == 0
+    kept = dedup.deduplicated(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect() if r.doc_id is not None)) == [1, 4, 5, 6, 7, 8, 10]
+
+
+def test_dedup_chain(spark):
+    """Chains and a group in which not all are linked with all."""
+    r = np.random.default_rng(3)
+    words = [f"t{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        rows.append((i, " ".join(words)))
+        k = int(r.integers(0, 120))
+        words[k] = f"n{i}"
+        if i % 20 == 19:
+            words = [f"g{i}_{j}" for j in range(120)]
+    got = dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=repr) == components(rows)
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 55), (70, 70)]
+    got = {r.node: r.comp for r in dedup.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {i: 1 for i in range(1, 41)} | {50: 50, 55: 50, 60: 50}
+
+
+def test_bpe(spark, docs, none):
+    import tiktoken
+
+    e = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.RANKS), special_tokens={})
+    rows = bpe.encode(docs).collect()
+    want = sorted(((i, e.encode_ordinary(t or "")) for i, t, *_ in ROWS), key=repr)
+    assert sorted(((r.doc_id, list(r.ids)) for r in rows), key=repr) == want
+    for r in bpe.digests(docs).collect():
+        texts = {t or "" for i, t, *_ in ROWS if i == r.doc_id}
+        assert r.decoded_sha256 in {hashlib.sha256(t.encode()).hexdigest() for t in texts}
+    assert bpe.encode(none).count() == 0
+    ranks = bpe.read_ranks(bpe.RANKS)
+    for w in ("", "a", " unbelievable", "x" * 200, "\U0001f600é中"):
+        assert list(bpe.merged(w.encode(), ranks)) == e.encode_ordinary(w) if w else True
+
+
+def test_media(spark, docs, none):
+    rows = {(r.doc_id, r.n_bytes): r for r in media.read_media(media.to_media(docs).withColumnRenamed("doc_id", "d").selectExpr("d AS doc_id", "n_bytes", "media")).selectExpr("doc_id", "length(payload) AS n_bytes", "payload", "clips").collect()}
+    assert len(rows) >= 10
+    for i, text, *_ in ROWS:
+        n, payload = media.payload_of(text)
+        assert len(payload) % 64 == 0 and payload and rows[(i, len(payload))].payload == payload
+        clips = rows[(i, len(payload))].clips
+        assert clips[0].first_frame == 0 and all(a.end_frame == b.first_frame for a, b in zip(clips, clips[1:], strict=False))
+    assert media.to_media(none).count() == 0 and media.clip_rows(media.to_media(docs)).count() >= len(ROWS)
+    scenes = b"".join(bytes([v]) * 64 * media.DOWN * 6 for v in (10, 200, 90))
+    frames, length, _ = media.read_avi(media.write_avi(scenes))
+    assert length == len(scenes) and media.shots(frames) == [(0, 6), (6, 12), (12, 18)]
+    with pytest.raises(ValueError):
+        media.read_avi(b"RIFF0000WAVE")
+
+
+def test_lm(spark, docs, none):
+    train = [t for _, t, *_ in ROWS]
+    model = lm.train(docs)
+    c = collections.Counter(w for t in train for w in [*WORD.findall(lower(t)), "</s>"])
+    total, v = sum(c.values()), len(c)
+    assert (model["tokens"], model["words"]) == (total, v)
+    for r in lm.score(docs.filter("doc_id is not null"), model).collect():
+        w = [*WORD.findall(lower(next(t for i, t, *_ in ROWS if i == r.doc_id))), "</s>"]
+        assert (r.n_tokens, r.n_known) == (len(w), len(w)) and r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (total + v + 1)) for x in w))
+        assert r.score < 0
+    # the probabilities that follow a context sum to one, with one share for unknown words
+    u = np.array([lm.WordHashes()[b"w3"]] * v, dtype=np.uint64)
+    words = np.array([lm.END if w == "</s>" else lm.WordHashes()[w.encode()] for w in c], dtype=np.uint64)
+    assert next_sum(model, u, words) == pytest.approx(1.0)
+    assert lm.score(none, model).count() == 0 and lm.train(none)["tokens"] == 0
+    assert lm.score(docs, lm.train(none)).count() == len(ROWS)
+
+
+def next_sum(model, u, words):
+    """Sum of P(word | u) over the vocabulary and one unknown word."""
+    real = lm.tokens
+    unknown = np.array([12345], dtype=np.uint64)
+    all_words, contexts = np.concatenate([words, unknown]), np.append(u, u[0])
+    try:
+        lm.tokens = lambda texts, hashes: (contexts, all_words, np.ones(len(all_words), dtype=np.int64))
+        return float((10 ** lm.score_block(model, [None] * len(all_words), {})[3]).sum())
+    finally:
+        lm.tokens = real
+
+
+def test_pages(spark):
+    page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><a href=/>Home</a></nav><div class="cookie-notice">We use cookies</div>
+<article><h1>Big &amp; small</h1><p>First <b>bold</b>
+ words<br>next line<p>Second &lt;p&gt; <!-- no --> <a href=x>link</a> end<script>var x="</p>";</script></article>
+<div class="comments"><p>I disagree</p></div><aside>Side</aside><footer>&copy; me</footer></body></html>"""
+    assert pages.main_text(page) == "Big & small\nFirst bold words\nnext line\nSecond <p> link end"
+    plain = "<div>" + "".join(f"<p>{'the cat is on the mat and it was in the house ' * 6}{i}</p>" for i in range(3)) + "<p>Short one.</p><p>" + "the dog and the cat in a house with a mouse on it " * 6 + "</p></div><ul><li><a href=a>One</a><li><a href=b>Two</a></ul>"
+    assert "Short one." in pages.main_text(plain) and "One" not in pages.main_text(plain).split("\n")
+    df = spark.createDataFrame([(1, "u", page, "x"), (2, None, None, "x"), (2, None, "", "x"), (3, "u", "<" * 5000, "x"), (4, "u", "<p>" * 20000 + "x", "x")], "page_id long, url string, html string, text string")
+    rows = pages.extract(df).collect()
+    assert len(rows) == 5 and all(r.n_chars == len(r.text) for r in rows) and pages.extract(df.limit(0)).count() == 0
+
+
+def test_ann(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(3000, 24)) * r.uniform(0.2, 3, size=(3000, 1))
+    x[7] = x[8] = x[9]
+    rows = [(i, [float(v) for v in x[i]]) for i in range(3000)] + [(3000, None), (3100, []), (3200, [0.0] * 24), (3300, [1.0, None]), (3400, [float("nan")] * 24), (3500, [1.0] * 5), (3600, [1.0, 2.0, 3.0, 4.0, 5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index, centres = ann.build_index(df)
+    got = collections.defaultdict(list)
+    for row in ann.search(index, centres, index.filter("v_id % 100 = 0")).orderBy("query_id", "rank").collect():
+        got[row.query_id].append((row.vec_id, row.score))
+    assert set(got) == {*range(0, 3000, 100), 3500, 3600}
+    right = total = 0
+    for q in range(0, 3000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        best = [int(i) for i in np.lexsort((np.arange(3000), d)) if i != q][:10]
+        right += len({i for i, _ in got[q]} & set(best))
+        total += 10
+        assert all(s == pytest.approx(d[i]) for i, s in got[q])
+    assert right / total >= 0.98 and [i for i, _ in got[3500]] == [3600]
+    empty, c = ann.build_index(df.limit(0))
+    assert ann.search(empty, c, empty).count() == 0
+
+
+def test_chat(spark):
+    rows = chat.op10_chat(spark, SF).collect()
+    assert sum(r.n_right for r in rows) >= 0.97 * sum(r.n_turns for r in rows)
+    turns = chat.parse("User: hi\nsecond line?\nNote: still me\nBot: fine\n\nHuman: ok")
+    assert turns == [("user", "hi\nsecond line?\nNote: still me"), ("assistant", "fine"), ("user", "ok")]
+    assert chat.render(turns[1:2]) == "<|assistant|>\nfine\n<|end|>\n" and chat.parse(None) == chat.parse(" \n") == []
+    df = spark.createDataFrame([(1, None, "user", "a"), (1, None, "user", "a"), (None, 3, None, None), (2, 10_000, "tool", "x" * 50_000)], "conv_id long, turn long, role string, text string")
+    out = chat.format_chats(chat.transcripts(df), keep=("conv_id", "n_turns")).collect()
+    assert sorted(r.n_turns for r in out) == [1, 1, 2] and chat.transcripts(df.limit(0)).count() == 0
+
+
+def test_pipeline(spark, docs, none):
+    import corpus_pipeline as p
+
+    out = p.run(spark, SF)
+    assert out.columns[0] == "doc_id" and out.count() > 50
+    for _, stage in p.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns and stage(spark, none, SF).count() == 0
