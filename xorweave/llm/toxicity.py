@@ -127,12 +127,12 @@ def severity(model: dict, texts: list[str | None]) -> tuple[np.ndarray, np.ndarr
         if text:
             if len(known) > 500_000:
                 known.clear()
-            bag: Counter = Counter()
-            for word in TOKEN.findall(text.lower()):
+            bag: dict[str, int] = {}
+            for word, n in Counter(TOKEN.findall(text.lower())).items():
                 if (own := known.get(word)) is None:
                     own = known[word] = [x for x in parts(word) if x in weights]
-                if own:
-                    bag.update(own)
+                for x in own:
+                    bag[x] = bag.get(x, 0) + n
             z[i] = sum(weights[t] * np.log1p(n) for t, n in bag.items())
     above = sigmoid(z[:, None] - np.array(model["theta"])[None, :])
     return above.sum(1), above[:, 0]
