@@ -8,6 +8,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 pytest.importorskip("xorweave.llm")
@@ -61,6 +62,8 @@ def test_mixing(spark, docs, none):
     assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.mix(docs).collect()), key=repr)
     targets = {(r.source_size, r.target) for r in mixing.mix(docs).collect()}
     assert all(t <= 2 * s + 1e-6 for s, t in targets) and mixing.mixed(docs).columns == docs.columns
+    counts = collections.Counter(r.text for r in mixing.mixed(docs).collect())
+    assert counts["alone in here now"] and max(counts.values()) <= 12  # a null id is no reason to go
 
 
 def test_mixing_ranges(spark):
@@ -276,7 +279,29 @@ def test_chat(spark):
 def test_pipeline(spark, docs, none):
     import corpus_pipeline as p
 
+    # brute force: the models on plain lists, all pairs, DuckDB's mix, tiktoken
+    d, lab = (common.table(spark, SF, t) for t in ("documents", "labels"))
+    rows = [tuple(r) for r in d.collect()]
+    severe = toxicity.severity(toxicity.fit_on(d, lab), [r[1] for r in rows])[1]
+    rows = [r for r, s in zip(rows, severe, strict=True) if s < toxicity.THRESHOLD]
+    lines = quality.line_marginals(quality.fit_on(d, lab), [r[1] for r in rows])
+    rows = [r for r, (x, k) in zip(rows, lines, strict=True) if (x * k).sum() / k.sum() >= 0.3]
+    low = {i: comp for i, _, comp in components([r[:2] for r in rows])}
+    rows = [r for r in rows if low[r[0]] == r[0]]
+    c = duckdb.connect()
+    documents = pd.DataFrame(rows, columns=d.columns)  # noqa: F841
+    mix = c.sql(mixing.OP1_SQL).fetchall()
+    names = [x[0] for x in c.sql(mixing.OP1_SQL).description]
+    times = {r[names.index("doc_id")]: r[names.index("taken")] // r[names.index("size")] for r in mix if r[names.index("size")]}
+    import tiktoken
+
+    e = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.RANKS), special_tokens={})
+    want = []
+    for i, text, *_ in rows:
+        ids = e.encode_ordinary(text or "")
+        digest = (i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
+        want += [digest] * times.get(i, 0)
     out = p.run(spark, SF)
-    assert out.columns[0] == "doc_id" and out.count() > 50
+    assert len(want) > 50 and sorted(map(tuple, out.collect())) == sorted(want)
     for _, stage in p.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns and stage(spark, none, SF).count() == 0

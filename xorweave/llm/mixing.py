@@ -103,9 +103,9 @@ def mix(
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of the mix: each row of ``docs`` as often as it is taken. Rows that repeat an id are
-    taken alike; rows with a null id are left out."""
+    taken alike, as often as the one taken most; so are rows with a null id."""
     copies = mix(docs).groupBy(F.col("doc_id").alias("m_id")).agg(F.max("copies").alias("m_copies")).filter("m_copies > 0")
-    repeated = docs.join(copies, docs["doc_id"] == copies["m_id"]).withColumn("m_nth", F.explode(F.sequence(F.lit(1), F.col("m_copies").cast("int"))))
+    repeated = docs.join(copies, docs["doc_id"].eqNullSafe(copies["m_id"])).withColumn("m_nth", F.explode(F.sequence(F.lit(1), F.col("m_copies").cast("int"))))
     return repeated.select(*[docs[c] for c in docs.columns])
 
 
