@@ -8,6 +8,8 @@ neighbours joined is in the vocabulary, the leftmost pair of the lowest rank is
   in a literal hash table (an array of small maps). Bytes are held as Latin-1 characters.
 * The result, of bounded size, goes to the tasks that encode the documents. The rarer words are
   merged there by the same rule; see the README for what folding all of them would cost.
+* PATTERN never joins what stands before and after the end of a SPAN, so texts are cut into spans
+  first, and PATTERN runs once per distinct span. Another pattern runs over whole texts.
 * Decoding maps ids to their pieces and joins them, in Spark expressions.
 """
 
@@ -15,9 +17,11 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -34,6 +38,12 @@ PATTERN = public_tokenizers.PATTERN
 DICTIONARY = 65_536
 LONGEST = 32
 BUCKETS = 1 << 16
+#: White space as PATTERN has it (the Unicode property), and the spans between which PATTERN cuts.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPAN = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
+#: Distinct spans that a task holds, and the characters that one of them has at most.
+HELD = 500_000
+SHORT = 100
 NONE = 1 << 30
 
 
@@ -103,17 +113,48 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     return tuple(ranks[x] for x in p)
 
 
+def spans(pattern: str) -> Callable[[str], list[str]]:
+    """Cuts a text into spans that no match of ``pattern`` crosses."""
+    return SPAN.findall if pattern == PATTERN else lambda text: [text]
+
+
+class SpanIds(dict):
+    """Ids of spans, as bytes of int32: kept for short ones, made anew for long ones; forgets all when it grows large."""
+
+    def __init__(self, pattern: str, ranks: dict[bytes, int], frequent: dict[str, tuple[int, ...]]) -> None:
+        self.find, self.ranks, self.frequent = regex.compile(pattern).findall, ranks, frequent
+
+    def __missing__(self, span: str) -> bytes:
+        ids = array("i", chain.from_iterable(self.frequent.get(w) or merged(w.encode("utf-8", "replace"), self.ranks) for w in self.find(span))).tobytes()
+        if len(span) < SHORT:
+            if len(self) > HELD:
+                self.clear()
+            self[span] = ids
+        return ids
+
+
 def dictionary(texts: DataFrame, ranks: Ranks, pattern: str, size: int = DICTIONARY) -> DataFrame:
     """(word, ids) of the ``size`` most frequent words of all rows of ``texts`` (one string column)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
+        cut, find = spans(pattern), regex.compile(pattern).findall
+        seen: Counter = Counter()
+
+        def words() -> pa.RecordBatch:
+            n: Counter = Counter()
+            for span, times in seen.items():
+                for word in find(span):
+                    if len(word) <= LONGEST and len(word.encode("utf-8", "replace")) <= LONGEST:
+                        n[word] += times
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+
         for batch in batches:
-            seen: Counter = Counter()
             for text in batch.column(0):
-                seen.update(find(text.as_py() or ""))
-            words = [w for w in seen if len(w) <= LONGEST and len(w.encode("utf-8", "replace")) <= LONGEST]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], ["word", "n"])
+                seen.update(cut(text.as_py() or ""))
+                if len(seen) > HELD:
+                    yield words()
+        yield words()
 
     counts = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = stored(counts.orderBy(F.desc("n"), "word").limit(size).select("word"), "words")
@@ -130,27 +171,13 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
     shared = spark.sparkContext.broadcast((table_of, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, frequent = shared.value
-        find = regex.compile(pattern).findall
-        rare: dict[str, tuple[int, ...]] = {}
-
-        def ids_of(word: str) -> tuple[int, ...]:
-            if len(rare) > 200_000:
-                rare.clear()
-            ids = merged(word.encode("utf-8", "replace"), ranks)
-            if len(word) < 100:
-                rare[word] = ids
-            return ids
-
+        cut, ids_of = spans(pattern), SpanIds(pattern, *shared.value).__getitem__
         for batch in batches:
             for start in range(0, len(batch), 500):
                 part = batch.slice(start, 500)
-                ids, ends = array("i"), [0]
-                for text in part.column(1).to_pylist():
-                    for word in find(text or ""):
-                        ids.extend(frequent.get(word) or rare.get(word) or ids_of(word))
-                    ends.append(len(ids))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, dtype=np.int32) if ids else [], pa.int32()))
+                ids = [b"".join(map(ids_of, cut(text or ""))) for text in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["b_id", "ids"])
 
     own = docs.select(F.col(id_col).alias("b_id"), F.col(text_col).alias("text"))
