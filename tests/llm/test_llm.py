@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import regex
 
 pytest.importorskip("xorweave.llm")
 from xorweave.llm import ann, bpe, chat, common, dedup, lm, media, mixing, pages, quality, toxicity  # noqa: E402
@@ -181,6 +182,9 @@ def test_bpe(spark, docs, none):
     ranks = bpe.read_ranks(bpe.RANKS)
     for w in ("", "a", " unbelievable", "x" * 200, "\U0001f600é中"):
         assert list(bpe.merged(w.encode(), ranks)) == e.encode_ordinary(w) if w else True
+    words = [w for t in ("unbelievable fjordgleiter zzzyx 1234567890 \U0001f600é中文 ==--==", "x" * 5000, "aaaa bbbbbbb ababab " * 3) for w in regex.findall(bpe.PATTERN, t)]
+    ids = bpe.merged_all([w.encode() for w in words], bpe.Pairs(ranks), rows=3)
+    assert [np.frombuffer(x, dtype=np.int32).tolist() for x in ids] == [e.encode_ordinary(w) for w in words]
 
 
 def test_media(spark, docs, none):

@@ -7,7 +7,8 @@ neighbours joined is in the vocabulary, the leftmost pair of the lowest rank is
   higher-order functions: ``aggregate`` folds the merges over an array of pieces, looking ranks up
   in a literal hash table (an array of small maps). Bytes are held as Latin-1 characters.
 * The result, of bounded size, goes to the tasks that encode the documents. The rarer words are
-  merged there by the same rule; see the README for what folding all of them would cost.
+  merged there by the same rule, many words at a time; see the README for what folding all of them
+  would cost.
 * PATTERN never joins what stands before and after the end of a SPAN, so texts are cut into spans
   first, and PATTERN runs once per distinct span. Another pattern runs over whole texts.
 * Decoding maps ids to their pieces and joins them, in Spark expressions.
@@ -16,9 +17,9 @@ neighbours joined is in the vocabulary, the leftmost pair of the lowest rank is
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import re
-from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -96,21 +97,90 @@ def fold_word(word: Column, ranks: Ranks) -> Column:
     return let(start, lambda c: F.transform(F.aggregate(F.sequence(F.lit(1), F.size(c)), state(c), merge)["p"], ranks.of))
 
 
-def merged(word: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
-    """The ids of one word."""
-    if word in ranks:
-        return (ranks[word],)
-    p = [word[i : i + 1] for i in range(len(word))]
-    r = [ranks.get(a + b, NONE) for a, b in zip(p, p[1:], strict=False)]
-    while r and (low := min(r)) < NONE:
-        i = r.index(low)
-        p[i : i + 2] = [p[i] + p[i + 1]]
-        del r[i]
-        if i:
-            r[i - 1] = ranks.get(p[i - 1] + p[i], NONE)
-        if i + 1 < len(p):
-            r[i] = ranks.get(p[i] + p[i + 1], NONE)
-    return tuple(ranks[x] for x in p)
+class Pairs:
+    """The merges as arrays: ids of a left and a right piece (as left * size + right, sorted), and the id of both joined."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks, self.size = ranks, max(ranks.values()) + 1
+        self.bytes = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
+        joined = {ranks[w[:i]] * self.size + ranks[w[i:]]: r for w, r in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks}
+        self.keys = np.array(sorted(joined), dtype=np.int64)
+        self.ids = np.array([joined[k] for k in self.keys.tolist()], dtype=np.int64)
+
+    def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs; NONE where they don't join, or where one is missing (-1)."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ids[at], NONE)
+
+
+def merged(word: bytes, ranks: dict[bytes, int]) -> np.ndarray:
+    """The ids of one word of any length: the pairs wait in a heap, by rank and place."""
+    p: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
+    after, before = list(range(1, len(p) + 1)), list(range(-1, len(p) - 1))
+    wait = [(r, i, 2) for i, (a, b) in enumerate(zip(p, p[1:], strict=False)) if (r := ranks.get(a + b)) is not None]
+    heapq.heapify(wait)
+    while wait:
+        _, i, length = heapq.heappop(wait)
+        j = after[i]
+        if p[i] is None or j >= len(p) or len(p[i]) + len(p[j]) != length:
+            continue  # one of the two has been joined with another piece since
+        p[i], p[j], after[i] = p[i] + p[j], None, after[j]
+        if after[i] < len(p):
+            before[after[i]] = i
+        for k in (before[i], i):
+            if k >= 0 and after[k] < len(p) and (r := ranks.get(p[k] + p[after[k]])) is not None:
+                heapq.heappush(wait, (r, k, len(p[k]) + len(p[after[k]])))
+    return np.array([ranks[x] for x in p if x is not None], dtype=np.int32)
+
+
+def merged_rows(words: list[bytes], pairs: Pairs) -> list[bytes]:
+    """The ids of words of like length, as bytes of int32: a row of pieces each, all rows joining one pair at a time."""
+    size = np.array([len(w) for w in words])
+    width = int(size.max())
+    column = np.arange(width)
+    raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(-1, width)
+    p = np.where(column < size[:, None], pairs.bytes[raw], -1)
+    p = np.column_stack([p, np.full((len(p), 2), -1)])
+    r = np.column_stack([pairs.of(p[:, :width], p[:, 1 : width + 1]), np.full((len(p), 2), NONE)])
+    done, own = np.full((len(p), width), -1, dtype=np.int32), np.arange(len(p))
+    column = np.arange(width + 1)
+    while True:
+        at = r.argmin(1)
+        low = r[np.arange(len(r)), at]
+        if (over := low >= NONE).any():
+            done[own[over]] = p[over, :width]
+            own, p, r, at, low = own[~over], p[~over], r[~over], at[~over], low[~over]
+        if not len(own):
+            break
+        row, moved = np.arange(len(p)), column + (column > at[:, None])
+        p[row, at] = low
+        p[:, :-1], r[:, :-1] = np.take_along_axis(p, moved, 1), np.take_along_axis(r, moved, 1)
+        r[row, at] = pairs.of(low, p[row, at + 1])
+        some = at > 0
+        r[row[some], at[some] - 1] = pairs.of(p[row[some], at[some] - 1], low[some])
+    ends = (done >= 0).sum(1).cumsum() * 4
+    flat = done[done >= 0].tobytes()
+    return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+def merged_all(words: list[bytes], pairs: Pairs, rows: int = 4096) -> list[bytes]:
+    """The ids of each word, as bytes of int32; a word that is in the vocabulary is one piece."""
+    out: list[bytes] = [b""] * len(words)
+    short = []
+    for i, w in enumerate(words):
+        if (whole := pairs.ranks.get(w)) is not None:
+            out[i] = np.int32(whole).tobytes()
+        elif len(w) > LONGEST:
+            out[i] = merged(w, pairs.ranks).tobytes()
+        elif w:
+            short.append(i)
+    short.sort(key=lambda i: len(words[i]))
+    for start in range(0, len(short), rows):
+        part = short[start : start + rows]
+        for i, ids in zip(part, merged_rows([words[i] for i in part], pairs), strict=True):
+            out[i] = ids
+    return out
 
 
 def spans(pattern: str) -> Callable[[str], list[str]]:
@@ -118,19 +188,27 @@ def spans(pattern: str) -> Callable[[str], list[str]]:
     return SPAN.findall if pattern == PATTERN else lambda text: [text]
 
 
-class SpanIds(dict):
-    """Ids of spans, as bytes of int32: kept for short ones, made anew for long ones; forgets all when it grows large."""
+class SpanIds:
+    """Ids of spans, as bytes of int32: those of short spans are kept, until there are many."""
 
-    def __init__(self, pattern: str, ranks: dict[bytes, int], frequent: dict[str, tuple[int, ...]]) -> None:
-        self.find, self.ranks, self.frequent = regex.compile(pattern).findall, ranks, frequent
+    def __init__(self, pattern: str, pairs: Pairs, frequent: dict[str, bytes]) -> None:
+        self.find, self.pairs, self.frequent, self.known = regex.compile(pattern).findall, pairs, frequent, {}
 
-    def __missing__(self, span: str) -> bytes:
-        ids = array("i", chain.from_iterable(self.frequent.get(w) or merged(w.encode("utf-8", "replace"), self.ranks) for w in self.find(span))).tobytes()
-        if len(span) < SHORT:
-            if len(self) > HELD:
-                self.clear()
-            self[span] = ids
-        return ids
+    def of(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of texts that are given as spans."""
+        if len(self.known) > HELD:
+            self.known.clear()
+        new = list(set(chain.from_iterable(texts)).difference(self.known))
+        cut = [self.find(span) for span in new]
+        rare = list(set(chain.from_iterable(cut)).difference(self.frequent))
+        ids_of = dict(zip(rare, merged_all([w.encode("utf-8", "replace") for w in rare], self.pairs), strict=True))
+        frequent = self.frequent
+        self.known.update((span, b"".join([frequent.get(w) or ids_of[w] for w in words])) for span, words in zip(new, cut, strict=True))
+        out = [b"".join(map(self.known.__getitem__, text)) for text in texts]
+        for span in new:
+            if len(span) >= SHORT:
+                del self.known[span]
+        return out
 
 
 def dictionary(texts: DataFrame, ranks: Ranks, pattern: str, size: int = DICTIONARY) -> DataFrame:
@@ -167,15 +245,15 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", r
     spark = docs.sparkSession
     table_of = read_ranks(ranks_path)
     texts = docs.select(F.col(text_col).alias("text"))
-    known = {w: tuple(ids) for w, ids in dictionary(texts, Ranks(spark, table_of), pattern).collect()}  # at most DICTIONARY rows of LONGEST bytes
-    shared = spark.sparkContext.broadcast((table_of, known))
+    known = {w: np.array(ids, dtype=np.int32).tobytes() for w, ids in dictionary(texts, Ranks(spark, table_of), pattern).collect()}  # at most DICTIONARY rows of LONGEST bytes
+    shared = spark.sparkContext.broadcast((Pairs(table_of), known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, ids_of = spans(pattern), SpanIds(pattern, *shared.value).__getitem__
+        cut, ids_of = spans(pattern), SpanIds(pattern, *shared.value).of
         for batch in batches:
             for start in range(0, len(batch), 500):
                 part = batch.slice(start, 500)
-                ids = [b"".join(map(ids_of, cut(text or ""))) for text in part.column(1).to_pylist()]
+                ids = ids_of([cut(text or "") for text in part.column(1).to_pylist()])
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["b_id", "ids"])
