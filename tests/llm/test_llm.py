@@ -246,6 +246,28 @@ def test_pages(spark):
     assert len(rows) == 5 and all(r.n_chars == len(r.text) for r in rows) and pages.extract(df.limit(0)).count() == 0
 
 
+def test_pages_rules():
+    """Two passes where the article stands in plain <div>s, and inside <article> too."""
+    prose = "the cat is on the mat and it was in the house "
+    menu, links = "<ul><li><a href=a>One</a><li><a href=b>Two</a></ul>", "<p><a href=c>More of this kind of story</a></p>"
+    body = ["A title", prose * 6 + "a", "Short one.", prose * 6 + "(c) \xa9 is a sign", "x " * 150, "The end.", "By the editor"]
+    inner = f"<h1>{body[0]}</h1>" + "".join(f"<p>{x.strip()}</p>" for x in body[1:])
+    want = "\n".join(x.strip() for x in body)
+    assert pages.main_text(f"<nav>{menu}</nav><div><div>{inner}</div></div><footer>Imprint</footer>") == want
+    assert pages.main_text(f"<div>{menu}</div><div>{inner}</div><div>{menu}<p>\xa9 2024 The firm</p></div>") == want
+    assert pages.main_text(f"<article>{inner}{menu}{links * 3}</article>") == want
+    assert pages.main_text(f"<article><h2><a href=x>Linked title</a></h2><p>{prose * 6}</p></article>").startswith("Linked title\n")
+    other = "".join(f"<p>{'zupa pomidorowa smakuje najlepiej latem ' * 6}{i}</p>" for i in range(3))
+    assert pages.main_text(f"{menu}<div>{other}</div>").count("\n") == 2
+    # given pages with <div> for <article>: nearly all lines, and nothing else
+    kept = lines = 0
+    for page in pd.read_parquet(f"{SF}/pages.parquet").html:
+        whole, plain = (collections.Counter(pages.main_text(p).split("\n")) for p in (page, re.sub("(</?)article", r"\1div", page)))
+        assert plain <= whole or not +plain
+        kept, lines = kept + plain.total(), lines + whole.total()
+    assert kept > 0.95 * lines
+
+
 def test_ann(spark):
     r = np.random.default_rng(2)
     x = r.normal(size=(3000, 24)) * r.uniform(0.2, 3, size=(3000, 1))

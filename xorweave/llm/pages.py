@@ -2,16 +2,17 @@
 
 Blocks are what stands between block-level tags. Blocks inside a navigation, header, footer, aside,
 form or similar element, or inside one whose class or id says so, are boilerplate from the start.
-Pass 1 calls the others good, bad, near-good or short by length, link density and stop-word density.
-Pass 2 gives ambiguous blocks the label of the nearest decided neighbours. Inside an <article> or
-<main> element the neighbours are the element's own: its blocks stay unless links make them bad.
+Pass 1 calls all others good, bad, near-good or short by length, link density and stop-word density;
+to stand inside an <article> or <main> element is one more feature, which raises a block by a step.
+Pass 2 gives near-good and short blocks the label of the nearest decided block, nearest by the inner
+element that holds both and then by blocks; page edges and boilerplate elements don't count.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,7 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 RAW = frozenset("script style noscript template svg math iframe object textarea select title head".split())
 AWAY = frozenset("nav header footer aside form menu dialog button fieldset".split())
 MAIN = frozenset(("article", "main"))
+HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -37,15 +39,20 @@ STOP = frozenset(
     "the of and to in a is that for it with as was on by this are be from or at an not have has der die das und in den von zu mit ist des dem ein eine nicht auch für auf als le la les des et de un une du est que qui dans en pour pas au sur ce el los las y del que se un una por con para es al lo como".split()
 )
 SPACE = re.compile(r"\s+")
-#: Pass 1: characters of a short block; link density of a bad one; length and stop-word density of a good one.
-SHORT, LINKS, LONG, STOP_LOW, STOP_HIGH = 70, 0.33, 200, 0.15, 0.30
+#: What the copyright line of a footer holds.
+FOOTER = re.compile(r"^\W*(?:copyright\b|\xa9|&copy)|\xa9\s*(?:copyright\s*)?\d{4}|\ball rights reserved\b", re.I)
+#: Pass 1: characters of a short block; link density of a bad one; length and stop-word density of a good one;
+#: link density of a block of the main element that is nothing but links.
+SHORT, LINKS, LONG, STOP_LOW, STOP_HIGH, LINKS_ONLY = 70, 0.33, 200, 0.15, 0.30, 0.9
 
 
 class Block:
-    __slots__ = ("text", "linked", "away", "main", "label")
+    """``low`` is the least depth of open elements since the block before; ``head``: a heading."""
 
-    def __init__(self, text: str, linked: int, away: bool, main: bool) -> None:
-        self.text, self.linked, self.away, self.main, self.label = text, linked, away, main, ""
+    __slots__ = ("text", "linked", "away", "main", "low", "head", "label")
+
+    def __init__(self, text: str, linked: int, away: bool, main: bool, low: int, head: bool) -> None:
+        self.text, self.linked, self.away, self.main, self.low, self.head, self.label = text, linked, away, main, low, head, ""
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -55,13 +62,15 @@ def blocks(page: str | None) -> list[Block]:
     pieces: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, bool]] = []  # open elements, and whether each is unwanted
-    away = main = links = 0
+    away = main = links = heads = low = 0
     at = 0
 
     def close() -> None:
+        nonlocal low
         text = SPACE.sub(" ", html.unescape("".join(pieces))).strip()
         if text:
-            out.append(Block(text, len(SPACE.sub(" ", html.unescape("".join(linked))).strip()), away > 0, main > 0))
+            out.append(Block(text, len(SPACE.sub(" ", html.unescape("".join(linked))).strip()), away > 0, main > 0, low, heads > 0))
+            low = len(stack)
         pieces.clear()
         linked.clear()
 
@@ -91,56 +100,91 @@ def blocks(page: str | None) -> list[Block]:
                         away -= bad
                         main -= tag in MAIN
                         links -= tag == "a"
+                        heads -= tag in HEADS
                     del stack[k:]
+                    low = min(low, len(stack))
                     break
         elif name not in VOID and not (m[0].endswith("/>") and name not in BLOCK):
             if name == "p" and stack and stack[-1][0] == "p":
                 away -= stack.pop()[1]
+                low = min(low, len(stack))
             said = " ".join(x or y or z for _, x, y, z in ATTRIBUTE.findall(m[3])) if m[3] else ""
             bad = (name in AWAY and not (name == "header" and main)) or bool(said and name not in MAIN and name not in ("html", "body") and UNWANTED.search(said))
             stack.append((name, bad))
             away += bad
             main += name in MAIN
             links += name == "a"
+            heads += name in HEADS
     add(page[at:])
     close()
     return out
 
 
-def first_pass(b: Block) -> str:
-    density = b.linked / len(b.text)
-    if b.away:
-        return "bad"
-    if b.main:
-        return "bad" if density > 0.9 and len(b.text) < SHORT else "good"
-    if density > LINKS or "\xa9" in b.text or "&copy" in b.text:
+def stop_share(text: str) -> float:
+    words = text.lower().split()
+    return sum(w in STOP for w in words) / len(words)
+
+
+def first_pass(b: Block, known: bool) -> str:
+    """good, bad, neargood or short. ``known``: the page's language is one that STOP covers; if not,
+    stop-word density says nothing, and length and links decide alone."""
+    n = len(b.text)
+    density = b.linked / n
+    if b.away or n < LONG and not b.main and FOOTER.search(b.text):
         return "bad"
-    if len(b.text) < SHORT:
-        return "bad" if b.linked else "short"
-    words = b.text.lower().split()
-    stop = sum(w in STOP for w in words) / len(words)
-    if stop >= STOP_HIGH:
-        return "good" if len(b.text) > LONG else "neargood"
-    return "neargood" if stop >= STOP_LOW else "short" if len(b.text) < LONG else "bad"
+    stop = stop_share(b.text) if n >= SHORT else 0.0
+    if density > LINKS:
+        # inside the main element headings, sentences and blocks with text of their own are left to their neighbours
+        return "short" if b.main and (b.head or density <= LINKS_ONLY or stop >= STOP_HIGH) else "bad"
+    if n < SHORT:
+        return "short"
+    if not known or stop >= STOP_HIGH:
+        return "good" if n > LONG or b.main else "neargood"
+    if stop >= STOP_LOW:
+        return "good" if n > LONG and b.main else "neargood"
+    return "neargood" if b.main else "short" if n < LONG or not b.linked else "bad"
+
+
+def neighbours(found: list[Block], labels: list[str]) -> list[tuple]:
+    """Per block the nearest decided blocks before and after it: (label, depth of the innermost element
+    that holds both, blocks between), or None. Blocks in boilerplate elements are passed over."""
+
+    def scan(order: Iterable[int], step: int) -> list[tuple | None]:
+        out: list[tuple | None] = [None] * len(found)
+        label, depth, gap = "", 0, 0
+        for i in order:
+            if label:
+                depth = min(depth, found[i if step > 0 else i + 1].low)
+                out[i] = (label, depth, gap)
+            if not found[i].away:
+                gap += 1
+                if labels[i] in ("good", "bad"):
+                    label, depth, gap = labels[i], 1 << 30, 0
+        return out
+
+    ahead = scan(range(len(found) - 1, -1, -1), -1)
+    return list(zip(scan(range(len(found)), 1), ahead, strict=True))
 
 
 def classify(found: list[Block]) -> None:
     """Sets the label of each block to good or bad."""
-    for b in found:
-        b.label = first_pass(b)
-    decided = [b.label for b in found]
-    ahead, after = "bad", ["bad"] * len(found)
-    for i in range(len(found) - 1, -1, -1):
-        after[i] = ahead
-        ahead = decided[i] if decided[i] in ("good", "bad") else ahead
-    before = "bad"
-    for i, b in enumerate(found):
-        if decided[i] in ("good", "bad"):
-            before = decided[i]
-        elif decided[i] == "neargood":
-            b.label = "good" if "good" in (before, after[i]) or before == after[i] == "bad" and not any(x == "good" for x in decided) else "bad"
-        else:
-            b.label = "good" if before == after[i] == "good" else "bad"
+    prose = [b for b in found if not b.away and len(b.text) >= SHORT and b.linked <= LINKS * len(b.text)]
+    known = any(stop_share(b.text) >= STOP_LOW for b in prose)
+    decided = [first_pass(b, known) for b in found]
+    labels = list(decided)
+    for i, sides in enumerate(neighbours(found, decided)):
+        if decided[i] == "neargood":
+            labels[i] = "bad" if all(x and x[0] == "bad" for x in sides) and "good" in decided and not found[i].main else "good"
+    decided = labels
+    for b, own, (before, after) in zip(found, decided, neighbours(found, decided), strict=True):
+        b.label = own
+        if own == "short":
+            if before and after and before[0] != after[0]:
+                # the one in the same inner element; else what follows a heading, the text beside plain text, the nearer one
+                near = lambda x: (x[1], b.head and x is after, not b.linked and x[0] == "good", -x[2], x[0] == "good")
+                b.label = max(before, after, key=near)[0]
+            else:
+                b.label = (before or after or ("good",))[0]
 
 
 def main_text(page: str | None) -> str:
