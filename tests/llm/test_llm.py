@@ -268,6 +268,24 @@ def test_pages_rules():
     assert kept > 0.95 * lines
 
 
+def test_pages_wrappers():
+    """Unwanted elements around the main text, and boilerplate that stays boilerplate."""
+    prose = "the cat is on the mat and it was in the house "
+    inner, want = f"<h1>A title</h1><p>{prose * 6}</p><p>The end.</p>", f"A title\n{prose * 6}".strip() + "\nThe end."
+    starts = ['<div class="layout with-sidebar">', '<div id="page" class="no-header">', '<div class="post social">', '<div class="page sidebar">', "<form>", "<nav><a href=a>One</a>", "<aside><p>Teaser</p>"]
+    for start in starts:
+        end = "</form>" if start == "<form>" else "</div>" if start.startswith("<div") else ""
+        assert pages.main_text(f"{start}<article>{inner}</article>{end}") == want, start
+        if end:
+            assert pages.main_text(f"<ul><li><a href=a>One</a></ul>{start}<div>{inner}</div>{end}<footer>Imprint</footer>") == want, start
+    assert pages.main_text(f'<div class="page with-menu"><main>{inner}</main></div><div class="cookie-notice">{prose * 2}</div>') == want
+    inside = f'<article><h1 class="entry-header">A title</h1><header class="header"><h2 class="banner">By us</h2></header><section class="related-work"><p>{prose * 6}</p></section></article>'
+    assert pages.main_text(inside) == f"A title\nBy us\n{prose * 6}".strip()
+    for block in ('<section class="comments"><article class="comment"><p>{}</p></article></section>', '<div class="site-footer"><p>{}</p></div>', '<div class="social"><p>{}</p></div>', "<aside><article><p>{}</p></article></aside>", "<nav>{}</nav>"):
+        assert pages.main_text(f"<article>{inner}</article>" + block.format(prose * 5)) == want, block
+    assert pages.main_text(f"<nav>{prose * 9}</nav>") == "" and pages.main_text("<div>" * 3000 + "<nav>" * 3000 + "x") is not None
+
+
 def test_ann(spark):
     r = np.random.default_rng(2)
     x = r.normal(size=(3000, 24)) * r.uniform(0.2, 3, size=(3000, 1))

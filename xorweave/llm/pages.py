@@ -1,7 +1,8 @@
 """Main text of web pages by two-pass block rules.
 
 Blocks are what stands between block-level tags. Blocks inside a navigation, header, footer, aside,
-form or similar element, or inside one whose class or id says so, are boilerplate from the start.
+form or similar element, or inside one whose class or id says so, are boilerplate from the start;
+an <article> or <main> inside starts afresh, and wrappers that hold most of the text don't count.
 Pass 1 calls all others good, bad, near-good or short by length, link density and stop-word density;
 to stand inside an <article> or <main> element is one more feature, which raises a block by a step.
 Pass 2 gives near-good and short blocks the label of the nearest decided block, nearest by the inner
@@ -10,6 +11,7 @@ element that holds both and then by blocks; page edges and boilerplate elements
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Iterable, Iterator
@@ -30,10 +32,13 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-#: Class, id or role words that mark boilerplate.
-UNWANTED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|menu|nav|navbar|navigation|newsletter|notice|pagination|popup|promo|related|respond|share|sharing|sidebar|social|sponsor(?:ed)?|subscribe|widget|complementary|contentinfo)(?:$|[\s_-])", re.I
+#: Class, id or role words that mark boilerplate; those of FIRM say so of an <article> inside as well.
+UNWANTED = frozenset(
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header menu nav navbar navigation newsletter notice pagination popup promo related respond share sharing sidebar social sponsor sponsored subscribe widget complementary contentinfo".split()
 )
+FIRM = frozenset("comment comments disqus respond related sidebar footer menu nav navbar navigation complementary contentinfo".split())
+#: Words that may stand beside them in a hyphenated name (site-footer, cookie-box).
+BESIDE = frozenset("site page global main top bottom left right primary secondary inner outer box block bar list links area container wrapper wrap section item items message text form button buttons icons".split())
 #: Frequent function words of the languages of the pages.
 STOP = frozenset(
     "the of and to in a is that for it with as was on by this are be from or at an not have has der die das und in den von zu mit ist des dem ein eine nicht auch für auf als le la les des et de un une du est que qui dans en pour pas au sur ce el los las y del que se un una por con para es al lo como".split()
@@ -49,10 +54,73 @@ SHORT, LINKS, LONG, STOP_LOW, STOP_HIGH, LINKS_ONLY = 70, 0.33, 200, 0.15, 0.30,
 class Block:
     """``low`` is the least depth of open elements since the block before; ``head``: a heading."""
 
-    __slots__ = ("text", "linked", "away", "main", "low", "head", "label")
+    __slots__ = ("text", "linked", "mark", "away", "main", "low", "head", "label")
 
-    def __init__(self, text: str, linked: int, away: bool, main: bool, low: int, head: bool) -> None:
-        self.text, self.linked, self.away, self.main, self.low, self.head, self.label = text, linked, away, main, low, head, ""
+    def __init__(self, text: str, linked: int, mark: int, main: bool, low: int, head: bool) -> None:
+        self.text, self.linked, self.mark, self.away, self.main, self.low, self.head, self.label = text, linked, mark, False, main, low, head, ""
+
+
+class Mark:
+    """An <article> or <main> element, or an unwanted one; the first stands for the page. ``kind``: tag
+    (a closed <nav> and the like), firm or soft (by a class, a <form>, or never closed), or empty."""
+
+    __slots__ = ("parent", "main", "kind", "away", "text", "free")
+
+    def __init__(self, parent: int, main: bool, kind: str) -> None:
+        self.parent, self.main, self.kind, self.away, self.text, self.free = parent, main, kind, False, 0, 0
+
+
+@functools.lru_cache(10_000)
+def class_kind(said: str, heading: bool) -> str:
+    """firm, soft or empty: what the class, id and role say of an element. A name counts as a whole:
+    with-sidebar, entry-header and related-work say nothing. ``heading``: header and banner say nothing."""
+    kind = ""
+    for name in said.lower().split():
+        parts = [x for x in re.split("[-_]+", name) if x and not x.isdigit()]
+        of = UNWANTED.intersection(parts)
+        if not of or heading and of <= {"header", "banner"} or not all(x in UNWANTED or x in BESIDE for x in parts):
+            continue
+        if of & FIRM:
+            return "firm"
+        kind = "soft"
+    return kind
+
+
+def settle(found: list[Block], marks: list[Mark]) -> None:
+    """Sets which blocks are boilerplate by their elements.
+
+    An <article> or <main> starts afresh, unless it stands in a tag or firm element and there is main
+    text elsewhere (comments, teasers). A firm or soft element whose text, but for what starts afresh, is
+    most of the unlinked text of the page or of the <article> around it is no boilerplate.
+    """
+    own = [len(b.text) - b.linked for b in found]
+    inside = [False] * len(marks)
+    for i, m in enumerate(marks[1:], 1):
+        inside[i] = m.kind in ("tag", "firm") or inside[m.parent]
+    elsewhere = sum(n for n, b in zip(own, found, strict=True) if b.main and not inside[b.mark]) >= LONG
+
+    def down() -> None:
+        for i, m in enumerate(marks[1:], 1):
+            m.away = bool(m.kind) or marks[m.parent].away and not (m.main and not (elsewhere and inside[i]))
+
+    down()
+    for n, b in zip(own, found, strict=True):
+        marks[b.mark].text += n
+        marks[b.mark].free += 0 if marks[b.mark].away else n
+    for m in marks[:0:-1]:
+        marks[m.parent].text += m.text
+        marks[m.parent].free += m.free
+    for m in marks[1:]:
+        if m.kind in ("firm", "soft") and m.text - m.free >= SHORT:
+            around = marks[m.parent]
+            while around.parent >= 0 and not (around.main and not around.away):
+                around = marks[around.parent]
+            gain = m.text - m.free
+            if 2 * gain > around.text and gain > 3 * around.free:
+                m.kind = ""
+    down()
+    for b in found:
+        b.away = marks[b.mark].away
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -61,15 +129,16 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     pieces: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each is unwanted
-    away = main = links = heads = low = 0
+    stack: list[tuple[str, int]] = []  # open elements, and the mark around each that is marked, else -1
+    marks = [Mark(-1, False, "")]
+    mark = main = links = heads = low = 0
     at = 0
 
     def close() -> None:
         nonlocal low
         text = SPACE.sub(" ", html.unescape("".join(pieces))).strip()
         if text:
-            out.append(Block(text, len(SPACE.sub(" ", html.unescape("".join(linked))).strip()), away > 0, main > 0, low, heads > 0))
+            out.append(Block(text, len(SPACE.sub(" ", html.unescape("".join(linked))).strip()), mark, main > 0, low, heads > 0))
             low = len(stack)
         pieces.clear()
         linked.clear()
@@ -80,6 +149,21 @@ def blocks(page: str | None) -> list[Block]:
             if links:
                 linked.append(text)
 
+    def leave(k: int, closed: bool) -> None:
+        """Ends the open elements from the k-th on; only the k-th is ``closed``, if any."""
+        nonlocal mark, main, links, heads, low
+        for i in range(len(stack) - 1, k - 1, -1):
+            tag, around = stack[i]
+            if around >= 0:
+                if marks[mark].kind == "tag" and not (closed and i == k):
+                    marks[mark].kind = "soft"
+                mark = around
+            main -= tag in MAIN
+            links -= tag == "a"
+            heads -= tag in HEADS
+        del stack[k:]
+        low = min(low, len(stack))
+
     while m := TAG.search(page, at):
         add(page[at : m.start()])
         at, name = m.end(), (m[2] or "").lower()
@@ -96,27 +180,27 @@ def blocks(page: str | None) -> list[Block]:
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    for tag, bad in stack[k:]:
-                        away -= bad
-                        main -= tag in MAIN
-                        links -= tag == "a"
-                        heads -= tag in HEADS
-                    del stack[k:]
-                    low = min(low, len(stack))
+                    leave(k, True)
                     break
         elif name not in VOID and not (m[0].endswith("/>") and name not in BLOCK):
             if name == "p" and stack and stack[-1][0] == "p":
-                away -= stack.pop()[1]
-                low = min(low, len(stack))
+                leave(len(stack) - 1, True)
             said = " ".join(x or y or z for _, x, y, z in ATTRIBUTE.findall(m[3])) if m[3] else ""
-            bad = (name in AWAY and not (name == "header" and main)) or bool(said and name not in MAIN and name not in ("html", "body") and UNWANTED.search(said))
-            stack.append((name, bad))
-            away += bad
+            kind = "soft" if name == "form" else "tag" if name in AWAY and not (name == "header" and main) else ""
+            if not kind and said and name not in MAIN and name not in ("html", "body"):
+                kind = class_kind(said, name in HEADS or main > 0)
+            around = -1
+            if kind or name in MAIN:
+                marks.append(Mark(mark, name in MAIN, kind))
+                around, mark = mark, len(marks) - 1
+            stack.append((name, around))
             main += name in MAIN
             links += name == "a"
             heads += name in HEADS
     add(page[at:])
     close()
+    leave(0, False)
+    settle(out, marks)
     return out
 
 
