@@ -25,7 +25,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup.deduplicated(docs)
+    return dedup.deduplicated(docs, k=4)  # op3's shingles, as the test of the pipeline has it
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

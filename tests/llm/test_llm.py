@@ -147,6 +147,16 @@ def test_dedup(spark, docs, none):
     assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect() if r.doc_id is not None)) == [1, 4, 5, 6, 7, 8, 10]
 
 
+def test_dedup_five_words(spark):
+    """Two texts that are near copies by four words and not by five: only op3's rule links them."""
+    words = [f"t{i}" for i in range(1000)]
+    other = [f"n{i}" if i % 40 == 20 else w for i, w in enumerate(words)]
+    assert WORD.findall(" ".join(other)) != words
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in dedup.near_duplicates(df, k=4).collect()} == {1: 1, 2: 1, 3: 1}
+    assert sorted(r.doc_id for r in dedup.deduplicated(df).collect()) == [1, 2]
+
+
 def test_dedup_chain(spark):
     """Chains and a group in which not all are linked with all."""
     r = np.random.default_rng(3)

@@ -1,6 +1,6 @@
 """Near-duplicates by MinHash with tensored banding.
 
-A document is the set of its 4-word shingles. Instead of TABLES**2 independent bands, two
+A document is the set of its shingles, of 4 words in op3 and 5 in deduplicated. Instead of TABLES**2 independent bands, two
 collections of TABLES sketches each (ROWS minhashes per sketch) are computed, and every pair of a
 first and a second sketch is a table key: TABLES**2 tables for 2 * TABLES * ROWS minhashes.
 
@@ -90,18 +90,18 @@ def fold(parts: np.ndarray) -> np.ndarray:
 SIGNED = "d_id long, n_shingles long, set_key string, first array<long>, second array<long>, agree binary"
 
 
-def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
         for at in range(0, len(texts), 1000):
-            rows: dict[str, list] = {k: [] for k in ("n", "key", "first", "second", "agree")}
+            rows: dict[str, list] = {name: [] for name in ("n", "key", "first", "second", "agree")}
             for text in texts.slice(at, 1000).to_pylist():
-                s = shingles(text, hashes)
+                s = shingles(text, hashes, k)
                 rows["n"].append(len(s))
                 if not len(s):
-                    for k in ("key", "first", "second", "agree"):
-                        rows[k].append(None)
+                    for name in ("key", "first", "second", "agree"):
+                        rows[name].append(None)
                     continue
                 m = minhashes(s)
                 sketches = m.astype(np.uint64).reshape(2 * TABLES, ROWS)
@@ -117,12 +117,12 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def set_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def set_bytes(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
         for at in range(0, len(batch), 500):
             part = batch.slice(at, 500)
-            sets = [shingles(t, hashes).tobytes() for t in part.column(1).to_pylist()]
+            sets = [shingles(t, hashes, k).tobytes() for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], ["s_id", "s_set"])
 
 
@@ -244,19 +244,19 @@ def rest_pairs(placed: DataFrame, reps: DataFrame, block: int = 1000) -> DataFra
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(compare_blocks, "u long, v long").distinct()
 
 
-def confirmed(near: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(near: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """The links among the pairs ``near`` (u, v), confirmed on sets made anew from the texts."""
     near = stored(near, "near")
     ids = near.select(F.col("u").alias("d_id")).distinct().union(near.select("v").distinct()).distinct()
     texts = docs.join(ids, "d_id", "left_semi").select("d_id", "text")
-    sets = texts.mapInArrow(set_bytes, "s_id long, s_set binary")
+    sets = texts.mapInArrow(lambda batches: set_bytes(batches, k), "s_id long, s_set binary")
     # an id may stand on several rows: one of them counts
     keyed = stored(sets, "sets").withColumn("set_hash", F.xxhash64("s_set")).groupBy("s_id").agg(F.min_by("s_set", "set_hash").alias("s_set"))
     return near.join(keyed.toDF("u", "x"), "u").join(keyed.toDF("v", "y"), "v").filter(linked("x", "y")).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = HUB_ROUNDS) -> DataFrame:
-    """Per row of ``docs``: id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = HUB_ROUNDS, k: int = 4) -> DataFrame:
+    """Per row of ``docs``: id, n_shingles, component_id, kept; links are by shingles of ``k`` words.
 
     Null, empty and blank texts have no shingle, link with nothing and stay. Rows with a null id
     take the component of other rows with their set, and stay only if there is none.
@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     A link of similarity exactly 0.8 is missed with a chance of about 1 in 4000, one of 0.81 of 1 in 20 000.
     """
     own = docs.select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).alias("text"))
-    signed = stored(own.mapInArrow(sign, SIGNED), "signed")
+    signed = stored(own.mapInArrow(lambda batches: sign(batches, k), SIGNED), "signed")
     classes = signed.filter("n_shingles > 0").groupBy("set_key").agg(F.min("d_id").alias("rep"))
     classes = stored(classes, "classes")
     reps = signed.join(classes.filter("rep is not null"), (signed["set_key"] == classes["set_key"]) & (F.col("d_id") == F.col("rep")), "left_semi").dropDuplicates(["d_id"])
@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             if placed.isEmpty():
                 break
         near = agreeing(hub_pairs(placed, r), reps) if r < hub_rounds else rest_pairs(placed, reps)
-        found = stored(confirmed(near, own), "found")
+        found = stored(confirmed(near, own, k), "found")
         links = found if links is None else links.union(found)
         comp = stored(components(links), "comp")
     member = classes.join(comp, classes["rep"] == comp["node"], "left").select("set_key", F.coalesce("comp", "rep").alias("component"))
@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4)
 
 
 OP3_SQL = r"""
@@ -309,10 +309,10 @@ FROM sets s JOIN reach r ON r.u = s.doc_id GROUP BY s.doc_id, s.s
 """
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that near_duplicates keeps, and one row of those that repeat an id; rows
+def deduplicated(docs: DataFrame, *, k: int = 5) -> DataFrame:
+    """The rows of ``docs`` that near_duplicates keeps by shingles of ``k`` words, and one row of those that repeat an id; rows
     with a null id stay."""
-    verdict = near_duplicates(docs)
+    verdict = near_duplicates(docs, k=k)
     gone = stored(verdict.filter("not kept").select(F.col("doc_id").alias("g_id")).dropna().distinct(), "gone")
     stay = docs.join(gone, docs["doc_id"] == gone["g_id"], "left_anti")
     again = stored(docs.groupBy(F.col("doc_id").alias("r_id")).count().filter("count > 1 and r_id is not null").select("r_id"), "again")
