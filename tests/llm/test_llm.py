@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import struct
 import zlib
 
 import duckdb
@@ -213,6 +214,65 @@ def test_media(spark, docs, none):
         media.read_avi(b"RIFF0000WAVE")
 
 
+def foreign_jpeg(r, sampling, across, down, restart=0):
+    """A baseline JPEG with AC coefficients and tables of its own, and its first component."""
+    order = [(0, 0), (0, 1), (1, 0), (2, 0), (1, 1), (0, 2), (0, 3), (1, 2), (2, 1), (3, 0)]  # (row, column)
+    quant = bytes([16, 11, 12, 14, 12, 10, 16, 14, 13, 14] + [20] * 54)
+    dc, ac = bytes(range(12)), bytes([0, 0xF0, *(16 * z + n for z in range(9) for n in range(1, 9))])
+    table = lambda symbols, n: bytes(len(symbols) if k == n else 0 for k in range(1, 17)) + symbols
+    parts = [(struct.pack(">BBH", 255, 0xDB, 67) + b"\0" + quant), struct.pack(">BBHBHHB", 255, 0xC0, 8 + 3 * len(sampling), 8, down * 8 * sampling[0][1] - 3, across * 8 * sampling[0][0] - 5, len(sampling)) + bytes(x for i, (h, v) in enumerate(sampling) for x in (i + 1, 16 * h + v, 0))]
+    for kind, symbols, n in ((0, dc, 4), (16, ac, 7)):
+        body = bytes([kind]) + table(symbols, n)
+        parts.append(struct.pack(">BBH", 255, 0xC4, 2 + len(body)) + body)
+    parts.append(struct.pack(">BBHH", 255, 0xDD, 4, restart) if restart else b"")
+    parts.append(struct.pack(">BBHB", 255, 0xDA, 6 + 2 * len(sampling), len(sampling)) + bytes(x for i in range(len(sampling)) for x in (i + 1, 0)) + b"\0\x3f\0")
+    pixels = np.zeros((down * 8 * sampling[0][1], across * 8 * sampling[0][0]))
+    bits, last, marks = "", [0] * len(sampling), 0
+    number = lambda v: format(v if v > 0 else v + (1 << abs(v).bit_length()) - 1, f"0{abs(v).bit_length()}b") if v else ""
+
+    def flush(bits):
+        bits += "1" * (-len(bits) % 8)
+        parts.append(bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)).replace(b"\xff", b"\xff\0"))
+
+    for m in range(across * down):
+        if restart and m and m % restart == 0:
+            flush(bits)
+            parts.append(bytes([255, 0xD0 + marks % 8]))
+            bits, last, marks = "", [0] * len(sampling), marks + 1
+        for i, (h, v) in enumerate(sampling):
+            for y in range(v):
+                for x in range(h):
+                    values = [int(r.integers(-30, 30)), *(int(a) if a % 3 else 0 for a in r.integers(-9, 10, 9))]
+                    d, last[i] = values[0] - last[i], values[0]
+                    bits += format(abs(d).bit_length(), "04b") + number(d)
+                    zeros = 0
+                    for a in values[1:]:
+                        if a:
+                            bits += format(ac.index(16 * zeros + abs(a).bit_length()), "07b") + number(a)
+                        zeros = 0 if a else zeros + 1
+                    bits += "0" * 7
+                    if i == 0:
+                        top, left = 8 * (m // across * v + y), 8 * (m % across * h + x)
+                        for (u, w), a, q in zip(order, values, quant, strict=False):
+                            f = [[(0.5 if k else 0.125**0.5) * math.cos((2 * t + 1) * k * math.pi / 16) for t in range(8)] for k in (u, w)]
+                            pixels[top : top + 8, left : left + 8] += a * q * np.outer(*f)
+    flush(bits)
+    return b"".join([b"\xff\xd8", *parts, b"\xff\xd9"]), np.clip(np.rint(pixels[:-3, :-5] + 128), 0, 255).astype(np.uint8)
+
+
+def test_media_foreign():
+    """Frames of other writers are decoded by their own tables, or raise."""
+    r = np.random.default_rng(5)
+    for sampling, restart in (([(1, 1)], 0), ([(1, 1)], 4), ([(2, 2), (1, 1), (1, 1)], 0), ([(2, 1), (1, 1), (1, 1)], 3)):
+        jpeg, want = foreign_jpeg(r, sampling, 3, 5, restart)
+        assert np.array_equal(media.decode_frame(jpeg), want.ravel())
+    for bad in (jpeg.replace(b"\xff\xc0", b"\xff\xc2"), jpeg[:-40], jpeg.replace(b"\xff\xc4", b"\xff\xe4"), b"\xff\xd8" + b"\xff\xd9", jpeg + jpeg):
+        with pytest.raises(ValueError):
+            media.decode_frame(bad)
+    own = media.encode_frame(np.arange(128, dtype=np.uint8), media.jpeg_head(2))
+    assert np.array_equal(media.luma(own).reshape(2, 8, 64, 8)[:, 3, :, 5].ravel(), media.decode_frame(own))
+
+
 def test_lm(spark, docs, none):
     train = [t for _, t, *_ in ROWS]
     model = lm.train(docs)

@@ -6,10 +6,15 @@ set. The frame's own Huffman table gives category c of a DC difference a code of
 code and extra bits take 9 bits always, and one bit ends the block: samples are packed and
 unpacked with array operations. The last frame is filled with zeros; a chunk "plen" in the header
 list holds the payload's length.
+
+Frames with another head, as other programs write them, are decoded in full by their own tables
+(baseline Huffman, 8 bits, grey or YCbCr; slowly, value by value); shots are then of their
+brightness. Anything else raises.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -28,8 +33,14 @@ FPS = 25
 BINS = 16
 WINDOW = 12
 ZIGZAG_ONES = bytes([8] + [1] * 63)
+#: Where a frame of this layout has its height.
+HEIGHT_AT = 76
+#: Places of the coefficients of a block in the order of a scan, and the cosines of the inverse transform.
+ZIGZAG = np.array([8 * y + x for y, x in sorted(((y, x) for y in range(8) for x in range(8)), key=lambda p: (sum(p), p[0] if sum(p) % 2 else p[1]))])
+COSINES = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (0.5 if u else 0.5 / np.sqrt(2)) for x in range(8)] for u in range(8)])
 
 
+@functools.lru_cache(64)
 def jpeg_head(down: int) -> bytes:
     dc = bytes([1] * 9 + [0] * 7) + bytes(range(8, -1, -1))  # one code of each length 1..9, for categories 8..0
     ac = bytes([1] + [0] * 15) + b"\x00"  # end of block: one bit
@@ -68,28 +79,160 @@ def encode_frame(samples: np.ndarray, head: bytes) -> bytes:
 
 
 def decode_frame(jpeg: bytes) -> np.ndarray:
-    """The samples of a frame of this layout."""
-    if jpeg[:2] != b"\xff\xd8" or jpeg[-2:] != b"\xff\xd9":
+    """The samples of a frame of this layout; of other baseline frames, the brightness of each pixel."""
+    if jpeg[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG frame")
-    at, shape = 2, None
-    while True:
-        mark, kind, size = struct.unpack_from(">BBH", jpeg, at)
-        if mark != 0xFF:
-            raise ValueError("bad segment")
-        if kind == 0xC0:
-            _, height, width = struct.unpack_from(">BHH", jpeg, at + 4)
-            shape = (height // 8) * (width // 8)
-        at += 2 + size
-        if kind == 0xDA:
-            break
-    if shape is None:
-        raise ValueError("no frame header")
-    data = np.frombuffer(jpeg[at:-2].replace(b"\xff\x00", b"\xff"), dtype=np.uint8)
-    bits = np.unpackbits(data)[: shape * 10].reshape(shape, 10)
+    down = struct.unpack_from(">H", jpeg, HEIGHT_AT)[0] // 8 if len(jpeg) > HEIGHT_AT + 2 else 0
+    head = jpeg_head(down)
+    if not jpeg.startswith(head):
+        return luma(jpeg).ravel()
+    if jpeg[-2:] != b"\xff\xd9":
+        raise ValueError("frame is cut off")
+    data = np.frombuffer(jpeg[len(head) : -2].replace(b"\xff\x00", b"\xff"), dtype=np.uint8)
+    bits = np.unpackbits(data)[: down * ACROSS * 10].reshape(down * ACROSS, 10)
     codes = bits @ (1 << np.arange(9, -1, -1))
+    if not np.array_equal(CODES[DIFFERENCES[codes] + 255], codes):
+        raise ValueError("bad code in a frame")
     return (np.cumsum(DIFFERENCES[codes]) + 128).astype(np.uint8)
 
 
+def code_table(counts: bytes, symbols: bytes) -> list[tuple[int, int]]:
+    """For every 16 bits, the length and the symbol of the Huffman code that they start with; length 0: none."""
+    out, k = [], 0
+    for length, n in enumerate(counts, 1):
+        for symbol in symbols[k : k + n]:
+            out += [(length, symbol)] * (1 << (16 - length))
+        k += n
+    if len(out) > 1 << 16 or k != len(symbols):
+        raise ValueError("bad Huffman table")
+    return out + [(0, 0)] * ((1 << 16) - len(out))
+
+
+def luma(jpeg: bytes) -> np.ndarray:
+    """The first component (grey or Y) of a baseline JPEG, height x width, by the frame's own tables.
+    What isn't baseline Huffman of 8 bits, grey or YCbCr, or brings no tables of its own, raises."""
+    quant: dict[int, np.ndarray] = {}
+    codes: dict[int, list] = {}
+    parts: dict[int, tuple] = {}  # component: h, v, quantiser, blocks across, blocks down, coefficients
+    at, restart, width, height, seen = 2, 0, 0, 0, set()
+    try:
+        while True:
+            if jpeg[at] != 0xFF:
+                raise ValueError("bad segment")
+            while jpeg[at] == 0xFF:
+                at += 1
+            kind, at = jpeg[at], at + 1
+            if kind == 0xD9:
+                break
+            size = struct.unpack_from(">H", jpeg, at)[0]
+            body, at = jpeg[at + 2 : at + size], at + size
+            if kind == 0xDB:
+                while body:
+                    n = 128 if body[0] >> 4 else 64
+                    quant[body[0] & 15] = np.frombuffer(body[1 : 1 + n], dtype=">u2" if n == 128 else np.uint8).astype(np.float64)
+                    body = body[1 + n :]
+            elif kind == 0xC4:
+                while body:
+                    n = 17 + sum(body[1:17])
+                    codes[body[0]] = code_table(body[1:17], body[17:n])
+                    body = body[n:]
+            elif kind == 0xDD:
+                restart = struct.unpack(">H", body)[0]
+            elif kind == 0xEE and body[:5] == b"Adobe" and body[11] != 1:
+                raise ValueError("colours are not YCbCr")
+            elif kind in (0xC0, 0xC1):
+                bits, height, width, n = struct.unpack_from(">BHHB", body)
+                if parts or bits != 8 or n not in (1, 3) or not height or not width:
+                    raise ValueError("not a baseline frame of 8 bits, grey or YCbCr")
+                own = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+                most = max(h for _, h, _, _ in own), max(v for _, _, v, _ in own)
+                if own[0][1:3] != most:
+                    raise ValueError("first component is not of full size")
+                mcus = -(-width // (8 * most[0])), -(-height // (8 * most[1]))
+                for c, h, v, q in own:
+                    parts[c] = (h, v, q, -(-width * h // (8 * most[0])), -(-height * v // (8 * most[1])), np.zeros((mcus[1] * v, mcus[0] * h, 64)))
+            elif 0xC2 <= kind <= 0xCF:
+                raise ValueError("not a baseline JPEG")
+            elif kind == 0xDA:
+                chosen = [(body[1 + 2 * i], body[2 + 2 * i]) for i in range(body[0])]
+                at = scan(jpeg, at, [(parts[c], codes[t >> 4], codes[16 + (t & 15)]) for c, t in chosen], mcus, restart)
+                seen |= {c for c, _ in chosen}
+    except (IndexError, KeyError, struct.error, UnboundLocalError) as e:
+        raise ValueError(f"bad JPEG frame: {e!r}") from e
+    if not parts or seen != set(parts) or jpeg[at:].startswith(b"\xff\xd8") or next(iter(parts.values()))[2] not in quant:
+        raise ValueError("not one whole frame with its tables")
+    _, _, q, _, _, found = next(iter(parts.values()))
+    blocks = np.zeros_like(found)
+    blocks[:, :, ZIGZAG] = found * quant[q]
+    pixels = COSINES.T @ blocks.reshape(*found.shape[:2], 8, 8) @ COSINES + 128
+    return np.clip(np.rint(pixels), 0, 255).astype(np.uint8).transpose(0, 2, 1, 3).reshape(8 * found.shape[0], -1)[:height, :width]
+
+
+def scan(jpeg: bytes, at: int, own: list[tuple], mcus: tuple[int, int], restart: int) -> int:
+    """Reads one scan's coefficients into its components; returns where the next marker stands."""
+    runs_, start = [], at
+    while True:
+        at = jpeg.find(b"\xff", at)
+        if not 0 <= at < len(jpeg) - 1:
+            raise ValueError("scan is cut off")
+        if jpeg[at + 1] == 0:
+            at += 2
+            continue
+        if jpeg[at + 1] == 0xFF:
+            at += 1
+            continue
+        runs_.append(jpeg[start:at].replace(b"\xff\x00", b"\xff"))
+        if not 0xD0 <= jpeg[at + 1] <= 0xD7:
+            break
+        start = at = at + 2
+    if len(own) == 1:
+        (_, _, _, across, down, out), dc, ac = own[0]
+        units = [[(out[y, x], dc, ac, 0)] for y in range(down) for x in range(across)]
+    else:
+        units = [[(part[5][my * part[1] + y, mx * part[0] + x], dc, ac, i) for i, (part, dc, ac) in enumerate(own) for y in range(part[1]) for x in range(part[0])] for my in range(mcus[1]) for mx in range(mcus[0])]
+    step = restart or len(units)
+    if len(runs_) != -(-len(units) // step):
+        raise ValueError("restart markers don't fit the frame")
+    for k, run in enumerate(runs_):
+        data, end, pos, last = run + b"\xff" * 8, 8 * len(run), 0, [0] * len(own)
+
+        def bits(n: int) -> int:
+            nonlocal pos
+            i = pos >> 3
+            pos += n
+            if pos > end:
+                raise ValueError("scan is cut off")
+            return int.from_bytes(data[i : i + 4], "big") >> (32 - n - (pos - n & 7)) & ((1 << n) - 1)
+
+        def symbol(table: list) -> int:
+            i = pos >> 3
+            length, found = table[int.from_bytes(data[i : i + 3], "big") >> (8 - (pos & 7)) & 0xFFFF]
+            if not length:
+                raise ValueError("bad code in a frame")
+            bits(length)
+            return found
+
+        def value(n: int) -> int:
+            x = bits(n) if n else 0
+            return x if not n or x >> (n - 1) else x - (1 << n) + 1
+
+        for unit in units[k * step : (k + 1) * step]:
+            for block, dc, ac, i in unit:
+                last[i] += value(symbol(dc))
+                block[0], at_ = last[i], 1
+                while at_ < 64:
+                    s = symbol(ac)
+                    if s == 0:
+                        break
+                    at_ += s >> 4
+                    if s & 15:
+                        block[at_] = value(s & 15)
+                    elif s != 0xF0:
+                        raise ValueError("not a baseline scan")
+                    at_ += 1
+    return at
+
+
 def chunk(tag: bytes, body: bytes) -> bytes:
     return tag + struct.pack("<I", len(body)) + body + b"\x00" * (len(body) % 2)
 
@@ -149,8 +292,11 @@ def read_avi(data: bytes) -> tuple[np.ndarray, int, float]:
         raise ValueError("no frames or no index")
     frames = []
     for tag, _, offset, size in struct.iter_unpack("<4sIII", index):
-        if tag == b"00dc":
-            at = movi + offset + 8
+        if tag in (b"00dc", b"00db"):
+            # offsets count from the frames' list or, in some files, from the file's start
+            at = (movi if data[movi + offset : movi + offset + 4] == tag else 0) + offset + 8
+            if data[at - 8 : at] != tag + struct.pack("<I", size):
+                raise ValueError("index does not fit the frames")
             frames.append(decode_frame(data[at : at + size]))
     return np.stack(frames), length, fps
 
