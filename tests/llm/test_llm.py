@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 pytest.importorskip("xorweave.llm")
 from xorweave.llm import ann, bpe, chat, common, dedup, lm, media, mixing, pages, quality, toxicity  # noqa: E402
@@ -68,6 +69,18 @@ def test_mixing(spark, docs, none):
     assert counts["alone in here now"] and max(counts.values()) <= 12  # a null id is no reason to go
 
 
+def test_mixing_low_weights(spark):
+    """Documents at the least weight: the range that is sorted stays small, and all is taken as by a full sort."""
+    rows = [(i, "| " * 8 + "w " * (1 + i % 3), "a" if i % 4 else None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    base = df.select(F.col("doc_id").alias("d_id"), F.col("source").alias("s_source"), mixing.n_words(F.col("text")).alias("size"), mixing.sampling_key(F.col("doc_id"), mixing.quality_weight(F.col("text"))).alias("key"))
+    for share in (0.6, 1.7):
+        ends = mixing.end_ranges(base, mixing.source_plan(base, (5, 2, 1), share, 2), 32).collect()
+        assert ends and all(e.n <= 32 for e in ends)
+        key = lambda r: sorted((x.doc_id, x.size, x.taken) for x in r.collect())
+        assert key(mixing.mix(df, share=share, range_docs=32)) == key(mixing.mix(df, share=share, range_docs=10_000))
+
+
 def test_mixing_ranges(spark):
     """Small ranges and one range give the same mix, near the targets."""
     big = spark.range(3000).selectExpr("id AS doc_id", "repeat('w ', int(1 + id % 7)) AS text", "if(id % 3 > 0, 'hot', concat('s', id % 4)) AS source")

@@ -4,8 +4,8 @@ Every document gets an exponential key whose rate is its quality weight. Within
 documents in key order are taken until their sizes reach the source's token budget. Budgets
 above a source's size first take whole epochs; the fraction that is left is sampled.
 
-The prefix sums need no global sort: keys are cut into ranges of a few thousand documents,
-range totals are summed, and only the one range per source in which the budget ends is sorted.
+The prefix sums need no global sort: keys are cut into ranges, range totals are summed, and only the
+one range per source in which the budget ends is sorted, once it is cut down to a few thousand documents.
 """
 
 from __future__ import annotations
@@ -66,6 +66,34 @@ def source_plan(docs: DataFrame, weights: tuple, share: float, max_epochs: int)
     )
 
 
+def end_ranges(base: DataFrame, plan: DataFrame, range_docs: int) -> DataFrame:
+    """(e_source, lo, hi, end_before, n): per source the least and greatest key of the range in which
+    the budget ends, the sizes before it, and its documents.
+
+    Such a range is cut by key again until it holds ``range_docs`` documents at most, or one key only.
+    """
+
+    def holding(placed: DataFrame) -> DataFrame:
+        totals = placed.groupBy("s_source", "bucket").agg(F.sum("size").alias("sum"), F.first("rest").alias("rest"), F.first("start").alias("start"), F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n"))
+        along = Window.partitionBy("s_source").orderBy("bucket")
+        found = totals.withColumn("upto", F.col("start") + F.sum("sum").over(along)).withColumn("end_before", F.col("upto") - F.col("sum")).filter((F.col("end_before") <= F.col("rest")) & (F.col("rest") < F.col("upto")))
+        return stored(found.select(F.col("s_source").alias("e_source"), "lo", "hi", "end_before", "n", F.col("rest").alias("e_rest")), "ends")
+
+    # 1 - exp(-key) rises with the key and spreads documents of weight 1 over the ranges
+    ranged = plan.select(F.col("s_source").alias("p_source"), "rest", F.lit(0).cast("long").alias("start"), F.ceil(F.col("n_docs") / range_docs).alias("n_ranges"))
+    bucket = F.least(F.col("n_ranges") - 1, F.floor((1 - F.exp(-F.col("key"))) * F.col("n_ranges")))
+    ends = holding(base.join(small(ranged, 10_000), F.col("s_source").eqNullSafe(F.col("p_source"))).withColumn("bucket", bucket))
+    wide = (F.col("n") > range_docs) & (F.col("lo") < F.col("hi"))
+    while not (large := ends.filter(wide)).isEmpty():
+        # the least and the greatest key fall into different parts, so that each round cuts off some
+        cuts = F.ceil(2 * F.col("n") / range_docs)
+        part = F.least(cuts - 1, F.floor((F.col("key") - F.col("lo")) / (F.col("hi") - F.col("lo")) * cuts))
+        inside = base.join(small(large, 10_000), F.col("s_source").eqNullSafe(F.col("e_source")) & F.col("key").between(F.col("lo"), F.col("hi")))
+        inside = inside.select("s_source", "size", "key", F.col("e_rest").alias("rest"), F.col("end_before").alias("start"), part.alias("bucket"))
+        ends = stored(ends.filter(~wide).unionByName(holding(inside)), "ends")
+    return ends.drop("e_rest")
+
+
 def mix(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, seed: str = SEED, range_docs: int = 4096
 ) -> DataFrame:
@@ -80,22 +108,14 @@ def mix(
         docs.select(F.col(id_col).alias("d_id"), F.col(source_col).alias("s_source"), n_words(text).alias("size"), sampling_key(F.col(id_col), quality_weight(text), seed).alias("key")), "mix"
     )
     plan = stored(source_plan(base, weights, share, max_epochs), "plan")
-    # 1 - exp(-key) rises with the key and spreads documents over the ranges
-    bucket = F.least(F.col("n_ranges") - 1, F.floor((1 - F.exp(-F.col("key"))) * F.col("n_ranges")))
-    ranged = plan.withColumnRenamed("s_source", "p_source").withColumn("n_ranges", F.ceil(F.col("n_docs") / range_docs))
-    placed = base.join(small(ranged, 10_000), F.col("s_source").eqNullSafe(F.col("p_source"))).withColumn("bucket", bucket).drop("p_source")
-    totals = placed.groupBy("s_source", "bucket").agg(F.sum("size").alias("sum"), F.first("rest").alias("rest"))
-    along = Window.partitionBy("s_source").orderBy("bucket")
-    ends = (
-        totals.withColumn("upto", F.sum("sum").over(along)).withColumn("before", F.col("upto") - F.col("sum")).filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("upto")))
-        .select(F.col("s_source").alias("e_source"), F.col("bucket").alias("end_bucket"), F.col("before").alias("end_before"))
-    )
-    marked = placed.join(small(stored(ends, "ends"), 10_000), F.col("s_source").eqNullSafe(F.col("e_source")), "left")
-    at_end = F.coalesce(F.col("bucket") == F.col("end_bucket"), F.lit(False))
+    ends = end_ranges(base, plan, range_docs)
+    planned = base.join(small(plan.withColumnRenamed("s_source", "p_source"), 10_000), F.col("s_source").eqNullSafe(F.col("p_source")))
+    marked = planned.join(small(ends, 10_000), F.col("s_source").eqNullSafe(F.col("e_source")), "left")
+    at_end = F.coalesce(F.col("key").between(F.col("lo"), F.col("hi")), F.lit(False))
     in_order = Window.partitionBy("s_source").orderBy("key", "d_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     last = marked.filter(at_end).withColumn("here", F.col("end_before") + F.coalesce(F.sum("size").over(in_order), F.lit(0)))
     last = last.withColumn("extra", (F.col("here") + F.col("size") / 2 <= F.col("rest")).cast("long")).drop("here")
-    rest = marked.filter(~at_end).withColumn("extra", F.coalesce((F.col("bucket") < F.col("end_bucket")).cast("long"), F.lit(0)))
+    rest = marked.filter(~at_end).withColumn("extra", F.coalesce((F.col("key") < F.col("lo")).cast("long"), F.lit(0)))
     return rest.unionByName(last).select(
         F.col("d_id").alias(id_col), "size", "source_size", "target", ((F.col("epochs") + F.col("extra")) * F.col("size")).alias("taken"), (F.col("epochs") + F.col("extra")).alias("copies")
     )
