@@ -41,7 +41,7 @@ def share_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join.all_pairs(*three(spark, sf_dir))
+    return join.all_pairs(*three(spark, sf_dir), width=BITS)
 
 
 def event_ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
