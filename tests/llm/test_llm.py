@@ -432,3 +432,21 @@ def test_pipeline(spark, docs, none):
     assert len(want) > 50 and sorted(map(tuple, out.collect())) == sorted(want)
     for _, stage in p.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns and stage(spark, none, SF).count() == 0
+
+
+def test_bpe_fold(spark):
+    """The fold over the literal against tiktoken; the dictionary's threshold against sorting."""
+    import tiktoken
+
+    pairs = bpe.Pairs(bpe.read_ranks(bpe.RANKS))
+    e = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=pairs.ranks, special_tokens={})
+    words = ["", "a", " unbelievable", "fjordgleiter", "\U0001f600é中文", "aaaaabababab", "==--==", "0", "\x00\xff"]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", bpe.fold_word(F.col("w"), bpe.Ranks(pairs)).alias("ids")).collect()
+    assert {r.w: list(r.ids) for r in rows if r.w} == {w: e.encode_ordinary(w) for w in words if w}
+    n = [1 + i * i % 997 for i in range(5000)]
+    counts = spark.createDataFrame([(x,) for x in n], "n long")
+    for size in (0, 1, 100, 4999, 5000):
+        assert bpe.rare_up_to(counts, size, 7) == min(t for t in range(998) if sum(x > t for x in n) <= size)
+    assert bpe.rare_up_to(counts.limit(0), 10) == 0
+    few = bpe.dictionary(spark.createDataFrame([("b a a a c c",)], "text string"), bpe.Ranks(pairs), bpe.PATTERN, 2).collect()
+    assert {r.word for r in few} == {" a", " c"}

@@ -4,8 +4,8 @@ A word (a match of the tokenizer's pattern) starts as single bytes; as long as s
 neighbours joined is in the vocabulary, the leftmost pair of the lowest rank is joined.
 
 * The DICTIONARY most frequent words of the whole corpus (counted exactly) are encoded by Spark
-  higher-order functions: ``aggregate`` folds the merges over an array of pieces, looking ranks up
-  in a literal hash table (an array of small maps). Bytes are held as Latin-1 characters.
+  higher-order functions: ``aggregate`` folds the merges over an array of piece ids, looking ranks
+  up in one flat literal, a hash table of packed numbers.
 * The result, of bounded size, goes to the tasks that encode the documents. The rarer words are
   merged there by the same rule, many words at a time; see the README for what folding all of them
   would cost.
@@ -38,7 +38,8 @@ PATTERN = public_tokenizers.PATTERN
 #: Words of the dictionary, and the bytes that one of them has at most.
 DICTIONARY = 65_536
 LONGEST = 32
-BUCKETS = 1 << 16
+#: Odd multipliers of the two slots of a key in the literal.
+MULTIPLIERS = (5_308_871, 7_654_321)
 #: White space as PATTERN has it (the Unicode property), and the spans between which PATTERN cuts.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPAN = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
@@ -53,50 +54,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
 
 
-class Ranks:
-    """Ranks as a Spark literal: BUCKETS maps from piece to rank, found by hash."""
-
-    def __init__(self, spark: SparkSession, ranks: dict[bytes, int]) -> None:
-        rows = spark.createDataFrame([(k.decode("latin-1"), v) for k, v in ranks.items()], "piece string, rank int")
-        buckets: list[dict] = [{} for _ in range(BUCKETS)]
-        for bucket, piece, rank in rows.select(F.pmod(F.hash("piece"), F.lit(BUCKETS)), "piece", "rank").collect():
-            buckets[bucket][piece] = rank
-        self.table = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
-        self.pieces = F.from_json(F.lit(json.dumps([k.decode("latin-1") for k, _ in sorted(ranks.items(), key=lambda x: x[1])])), "array<string>")
-
-    def of(self, piece: Column) -> Column:
-        bucket = F.element_at(self.table, F.pmod(F.hash(piece), F.lit(BUCKETS)) + 1)
-        return F.coalesce(F.element_at(bucket, piece), F.lit(NONE))
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def fold_word(word: Column, ranks: Ranks) -> Column:
-    """array<int>: the ids of a string column's words."""
-    none = F.array().cast("array<int>")
-
-    def join_at(s: Column, i: Column, x: Column) -> Column:
-        p, r = s["p"], s["r"]
-        left = F.when(i > 1, F.array(ranks.of(F.concat(F.get(p, i - 2), x)))).otherwise(none)
-        right = F.when(i < F.size(p) - 1, F.array(ranks.of(F.concat(x, F.get(p, i + 1))))).otherwise(none)
-        return F.struct(
-            F.concat(F.slice(p, 1, i - 1), F.array(x), F.slice(p, i + 2, F.size(p))).alias("p"), F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(p))).alias("r")
-        )
-
-    def merge(s: Column, _: Column) -> Column:
-        at = lambda low: F.array_position(s["r"], low).cast("int")
-        joined = lambda i: let(F.concat(F.get(s["p"], i - 1), F.get(s["p"], i)), lambda x: join_at(s, i, x))
-        return let(F.coalesce(F.array_min(s["r"]), F.lit(NONE)), lambda low: F.when(low >= NONE, s).otherwise(let(at(low), joined)))
-
-    start = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-    pairs = lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c)), lambda a, b: ranks.of(F.concat(a, b)))
-    state = lambda c: F.struct(c.alias("p"), F.when(F.size(c) > 1, pairs(c)).otherwise(none).alias("r"))
-    return let(start, lambda c: F.transform(F.aggregate(F.sequence(F.lit(1), F.size(c)), state(c), merge)["p"], ranks.of))
-
-
 class Pairs:
     """The merges as arrays: ids of a left and a right piece (as left * size + right, sorted), and the id of both joined."""
 
@@ -114,6 +76,80 @@ class Pairs:
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ids[at], NONE)
 
 
+def slots_of(keys: list[int], values: list[int]) -> list[int]:
+    """An open hash table as one flat list: each key stands, packed with its value, in one of the two
+    slots that ``slot`` names; -1 is an empty slot."""
+    size = 1 << max(2, (3 * len(keys)).bit_length())
+    shift = max(values, default=0).bit_length()
+    out = [-1] * size
+    for entry in (k << shift | v for k, v in zip(keys, values, strict=True)):
+        at = slot(entry >> shift, 0, size)
+        for _ in range(500):
+            entry, out[at] = out[at], entry
+            if entry < 0:
+                break
+            first, second = (slot(entry >> shift, n, size) for n in (0, 1))
+            at = second if at == first else first
+        else:
+            raise ValueError("the hash table is too full")
+    return out
+
+
+def slot(key: Column | int, which: int, size: int) -> Column | int:
+    """One of the two slots of a key below 2**40, for columns and numbers alike."""
+    x = key * MULTIPLIERS[which]
+    if isinstance(key, int):
+        return x >> 16 & size - 1
+    return F.shiftright(x, 16).bitwiseAND(F.lit(size - 1))
+
+
+class Ranks:
+    """The merges as one Spark literal, a flat hash table of packed numbers made in plain Python, and the pieces."""
+
+    def __init__(self, pairs: Pairs) -> None:
+        keys, ids = pairs.keys.tolist(), pairs.ids.tolist()
+        table_ = slots_of(keys, ids)
+        self.size, self.slots, self.shift = pairs.size, len(table_), max(ids, default=0).bit_length()
+        self.table = F.from_json(F.lit(json.dumps(table_, separators=(",", ":"))), "array<bigint>")
+        self.bytes = F.from_json(F.lit(json.dumps(pairs.bytes.tolist())), "array<int>")
+        pieces = [piece.decode("latin-1") for piece, _ in sorted(pairs.ranks.items(), key=lambda x: x[1])]
+        self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+
+    def of(self, table_: Column, left: Column, right: Column) -> Column:
+        """Rank of a pair of pieces given by their ids, which is the id of both joined; NONE where they don't join."""
+        entry = lambda k, n: F.get(table_, slot(k, n, self.slots))
+        is_of = lambda e, k: F.shiftright(e, self.shift) == k
+        value = lambda e: e.bitwiseAND(F.lit((1 << self.shift) - 1)).cast("int")
+        other = lambda k: let(entry(k, 1), lambda e: F.when(is_of(e, k), value(e)).otherwise(F.lit(NONE)))
+        found = lambda k: let(entry(k, 0), lambda e: F.when(is_of(e, k), value(e)).otherwise(other(k)))
+        return let(left.cast("long") * F.lit(self.size).cast("long") + right, found)
+
+
+def fold_word(word: Column, ranks: Ranks) -> Column:
+    """array<int>: the ids of a string column's words. The literal stands in the plan once."""
+    none = F.array().cast("array<int>")
+
+    def fold(table_: Column) -> Column:
+        def join_at(s: Column, i: Column, x: Column) -> Column:
+            p, r = s["p"], s["r"]
+            left = F.when(i > 1, F.array(ranks.of(table_, F.get(p, i - 2), x))).otherwise(none)
+            right = F.when(i < F.size(p) - 1, F.array(ranks.of(table_, x, F.get(p, i + 1)))).otherwise(none)
+            before, after = F.slice(r, 1, F.greatest(i - 2, F.lit(0))), F.slice(r, i + 2, F.size(p))
+            return F.struct(F.concat(F.slice(p, 1, i - 1), F.array(x), F.slice(p, i + 2, F.size(p))).alias("p"), F.concat(before, left, right, after).alias("r"))
+
+        def merge(s: Column, _: Column) -> Column:
+            at = lambda low: F.array_position(s["r"], low).cast("int")
+            return let(F.coalesce(F.array_min(s["r"]), F.lit(NONE)), lambda low: F.when(low >= NONE, s).otherwise(let(at(low), lambda i: join_at(s, i, low))))
+
+        pairs = lambda c: F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c)), lambda a, b: ranks.of(table_, a, b))
+        state = lambda c: F.struct(c.alias("p"), F.when(F.size(c) > 1, pairs(c)).otherwise(none).alias("r"))
+        chars = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
+        start = let(ranks.bytes, lambda b: F.transform(chars, lambda x: F.get(b, F.ascii(x))))
+        return let(start, lambda c: F.aggregate(F.sequence(F.lit(1), F.size(c)), state(c), merge)["p"])
+
+    return let(ranks.table, fold)
+
+
 def merged(word: bytes, ranks: dict[bytes, int]) -> np.ndarray:
     """The ids of one word of any length: the pairs wait in a heap, by rank and place."""
     p: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
@@ -212,7 +248,8 @@ class SpanIds:
 
 
 def dictionary(texts: DataFrame, ranks: Ranks, pattern: str, size: int = DICTIONARY) -> DataFrame:
-    """(word, ids) of the ``size`` most frequent words of all rows of ``texts`` (one string column)."""
+    """(word, ids) of the most frequent words of all rows of ``texts`` (one string column): at most
+    ``size``, all that occur more often than some number."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, find = spans(pattern), regex.compile(pattern).findall
@@ -234,19 +271,38 @@ def dictionary(texts: DataFrame, ranks: Ranks, pattern: str, size: int = DICTION
                     yield words()
         yield words()
 
-    counts = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = stored(counts.orderBy(F.desc("n"), "word").limit(size).select("word"), "words")
+    counts = stored(texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    words = counts.filter(F.col("n") > rare_up_to(counts, size)).select("word")
     return words.repartition(2 * texts.sparkSession.sparkContext.defaultParallelism).select("word", fold_word(F.col("word"), ranks).alias("ids"))
 
 
+def rare_up_to(counts: DataFrame, size: int, parts: int = 4096) -> int:
+    """The least number that at most ``size`` rows of ``counts`` (n) exceed, from histograms of at most
+    ``parts`` bars, each within the bar that the one before has found."""
+    low, high = 0, (counts.agg(F.max("n")).first()[0] or 0) + 1  # more than low: too many, perhaps; more than high - 1: few enough
+    above = 0
+    while True:
+        step = -(-(high - low) // parts)
+        bars = counts.filter((F.col("n") > low) & (F.col("n") < high)).groupBy(F.expr(f"(n - {low} - 1) div {step}").alias("bar")).count().collect()
+        for bar, rows in sorted(map(tuple, bars), reverse=True):
+            if above + rows > size:
+                low, high = low + bar * step, min(high, low + bar * step + step + 1)
+                break
+            above += rows
+        else:
+            return low
+        if step == 1:
+            return high - 1
+
+
 def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """Per row of ``docs``: its id and ``ids`` array<int>. Null and empty texts have no ids; repeated
     rows encode alike; other columns are ignored."""
     spark = docs.sparkSession
-    table_of = read_ranks(ranks_path)
+    pairs = Pairs(read_ranks(ranks_path))
     texts = docs.select(F.col(text_col).alias("text"))
-    known = {w: np.array(ids, dtype=np.int32).tobytes() for w, ids in dictionary(texts, Ranks(spark, table_of), pattern).collect()}  # at most DICTIONARY rows of LONGEST bytes
-    shared = spark.sparkContext.broadcast((Pairs(table_of), known))
+    known = {w: np.array(ids, dtype=np.int32).tobytes() for w, ids in dictionary(texts, Ranks(pairs), pattern).collect()}  # at most DICTIONARY rows of LONGEST bytes
+    shared = spark.sparkContext.broadcast((pairs, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, ids_of = spans(pattern), SpanIds(pattern, *shared.value).of
@@ -274,7 +330,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digests(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    ranks = Ranks(docs.sparkSession, read_ranks(RANKS))
+    ranks = Ranks(Pairs(read_ranks(RANKS)))
     ids = F.col("ids")
     text = F.array_join(F.transform(ids, lambda i: i.cast("string")), " ")
     return encode(docs).select(
