@@ -27,13 +27,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table
+from .common import small, stored, table
 
 ROWS = 5
 TABLES = 28
 HUB_ROUNDS = 2
 #: Pairs whose minhashes agree on less than this share aren't confirmed: 3.5 standard deviations below 0.8.
 LEAST_AGREEMENT = 0.715
+#: Rows (of one or two numbers) that are sent to every task, at most; more go through a shuffle.
+SENT = 1_000_000
+#: Blocks that the pairs of one document are dealt into.
+BLOCKS = 4096
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 AZ = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _random = np.random.default_rng(20240613)
@@ -87,7 +91,7 @@ def fold(parts: np.ndarray) -> np.ndarray:
     return out
 
 
-SIGNED = "d_id long, n_shingles long, set_key string, first array<long>, second array<long>, agree binary"
+SIGNED = "d_id long, n_shingles long, set_key binary, first array<long>, second array<long>, agree binary"
 
 
 def sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -106,13 +110,13 @@ def sign(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
                 m = minhashes(s)
                 sketches = m.astype(np.uint64).reshape(2 * TABLES, ROWS)
                 keys = fold(np.column_stack([np.arange(2 * TABLES, dtype=np.uint64), sketches])).view(np.int64)
-                rows["key"].append(xxhash.xxh3_128_hexdigest(s.tobytes()))
+                rows["key"].append(xxhash.xxh3_128_digest(s.tobytes()))
                 rows["first"].append(keys[:TABLES])
                 rows["second"].append(keys[TABLES:])
                 rows["agree"].append(((m ^ (m >> np.uint32(8))) & np.uint32(255)).astype(np.uint8).tobytes())
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(at, 1000).cast(pa.int64()), pa.array(rows["n"], pa.int64()), pa.array(rows["key"], pa.string()), pa.array(rows["first"], longs), pa.array(rows["second"], longs), pa.array(rows["agree"], pa.binary())],
+                [ids.slice(at, 1000).cast(pa.int64()), pa.array(rows["n"], pa.int64()), pa.array(rows["key"], pa.binary()), pa.array(rows["first"], longs), pa.array(rows["second"], longs), pa.array(rows["agree"], pa.binary())],
                 ["d_id", "n_shingles", "set_key", "first", "second", "agree"],
             )
 
@@ -123,7 +127,8 @@ def set_bytes(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         for at in range(0, len(batch), 500):
             part = batch.slice(at, 500)
             sets = [shingles(t, hashes, k).tobytes() for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], ["s_id", "s_set"])
+            keys = pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sets, pa.binary()), keys], ["s_id", "s_set", "set_key"])
 
 
 @F.pandas_udf(T.DoubleType())
@@ -134,15 +139,21 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(((x == y).mean(1) - 1 / 256) / (1 - 1 / 256))
 
 
-@F.pandas_udf(T.BooleanType())
-def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-    """100 * intersection >= 80 * union, on full sets."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        out.append(100 * both >= 80 * (len(x) + len(y) - both))
-    return pd.Series(out)
+def linked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (u, block, v, s_set) sorted by u, block and v, of which the one with a null v holds u's set:
+    (u, v) where 100 * intersection >= 80 * union, on full sets."""
+    held, own = None, np.zeros(0, dtype=np.uint64)
+    for batch in batches:
+        found = []
+        for u, block, v, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            other = np.frombuffer(raw, dtype=np.uint64)
+            if v is None:
+                held, own = (u, block), other
+            elif held == (u, block):
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                if 100 * both >= 80 * (len(own) + len(other) - both):
+                    found.append((u, v))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -175,18 +186,21 @@ def first_keys(reps: DataFrame) -> DataFrame:
     Sets of similarity 0.8 differ in size by a quarter at most, so sizes are cut into steps of 1.25
     and each set goes by its own step and by the next: keys hold sets of like size only.
     """
+    first = reps.select("d_id", "n", F.explode("first").alias("f"))
+    shared = stored(first.groupBy("f").count().filter("count > 1").select("f"), "shared")
     step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.25)))
-    first = reps.select("d_id", "n", F.explode("first").alias("f"), step.alias("step")).withColumn("k_step", F.explode(F.array("step", F.col("step") + 1))).withColumn("key", F.xxhash64("f", "k_step"))
-    twice = first.groupBy("key").count().filter("count > 1").select("key")
-    return stored(first.join(twice, "key", "left_semi"), "keys")
+    own = first.join(small(shared, SENT), "f", "left_semi").withColumn("step", step).withColumn("k_step", F.explode(F.array("step", F.col("step") + 1)))
+    own = stored(own.withColumn("key", F.xxhash64("f", "k_step")), "keys")
+    twice = stored(own.groupBy("key").count().filter("count > 1").select("key"), "keys")
+    return own.join(small(twice, SENT), "key", "left_semi")
 
 
 def hub_pairs(placed: DataFrame, round_: int) -> DataFrame:
-    """(u, v): each member of a key with the key's hub, if they are of like size and not yet connected."""
+    """(u, v): a key's hub with each of its members, if they are of like size and not yet connected."""
     order = F.col("d_id") if round_ == 0 else F.xxhash64("d_id", F.lit(round_))
     hubs = placed.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("d_id").alias("hub"), F.col("comp").alias("hub_comp"), F.col("n").alias("hub_n"))).alias("h")).select("key", "h.*")
     like = F.expr("comp <> hub_comp and 100 * least(n, hub_n) >= 80 * greatest(n, hub_n)")
-    return placed.join(hubs, "key").filter(like).select(F.least("d_id", "hub").alias("u"), F.greatest("d_id", "hub").alias("v")).distinct()
+    return placed.join(hubs, "key").filter(like).select(F.col("hub").alias("u"), F.col("d_id").alias("v")).distinct()
 
 
 def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -246,13 +260,14 @@ def rest_pairs(placed: DataFrame, reps: DataFrame, block: int = 1000) -> DataFra
 
 def confirmed(near: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """The links among the pairs ``near`` (u, v), confirmed on sets made anew from the texts."""
-    near = stored(near, "near")
-    ids = near.select(F.col("u").alias("d_id")).distinct().union(near.select("v").distinct()).distinct()
-    texts = docs.join(ids, "d_id", "left_semi").select("d_id", "text")
-    sets = texts.mapInArrow(lambda batches: set_bytes(batches, k), "s_id long, s_set binary")
-    # an id may stand on several rows: one of them counts
-    keyed = stored(sets, "sets").withColumn("set_hash", F.xxhash64("s_set")).groupBy("s_id").agg(F.min_by("s_set", "set_hash").alias("s_set"))
-    return near.join(keyed.toDF("u", "x"), "u").join(keyed.toDF("v", "y"), "v").filter(linked("x", "y")).select("u", "v")
+    near = stored(near.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(BLOCKS))), "near")
+    ids = stored(near.select(F.col("u").alias("d_id")).distinct().union(near.select("v").distinct()).distinct(), "ids")
+    texts = docs.join(small(ids, SENT), "d_id", "left_semi").select("d_id", "text")
+    sets = texts.mapInArrow(lambda batches: set_bytes(batches, k), "s_id long, s_set binary, set_key binary")
+    keyed = stored(sets.filter("length(s_set) > 0").groupBy("s_id").agg(F.min_by("s_set", "set_key").alias("s_set")), "sets")
+    of = lambda rows, c, v: rows.join(keyed, F.col(c) == F.col("s_id")).select("u", "block", v.alias("v"), "s_set")
+    dealt = of(near, "v", F.col("v")).union(of(near.select("u", "block").distinct(), "u", F.lit(None).cast("long")))
+    return dealt.repartition("u", "block").sortWithinPartitions("u", "block", F.asc_nulls_first("v")).mapInArrow(linked_rows, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = HUB_ROUNDS, k: int = 4) -> DataFrame:
@@ -260,16 +275,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Null, empty and blank texts have no shingle, link with nothing and stay. Rows with a null id
     take the component of other rows with their set, and stay only if there is none.
-    Repeated rows share id and set, hence component. Other columns are ignored.
+    Rows that repeat an id share a node; if their sets differ, the one of the least hash stands for it.
+    Ids are whole numbers, or texts of such; other texts raise. Other columns are ignored.
     A link of similarity exactly 0.8 is missed with a chance of about 1 in 4000, one of 0.81 of 1 in 20 000.
     """
     own = docs.select(F.col(id_col).cast("long").alias("d_id"), F.col(text_col).alias("text"))
     signed = stored(own.mapInArrow(lambda batches: sign(batches, k), SIGNED), "signed")
-    classes = signed.filter("n_shingles > 0").groupBy("set_key").agg(F.min("d_id").alias("rep"))
+    fields = F.struct(F.col("n_shingles").alias("n"), "first", "second", "agree")
+    classes = signed.filter("n_shingles > 0").groupBy("set_key").agg(F.min("d_id").alias("rep"), F.min_by(fields, "d_id").alias("of"))
     classes = stored(classes, "classes")
-    reps = signed.join(classes.filter("rep is not null"), (signed["set_key"] == classes["set_key"]) & (F.col("d_id") == F.col("rep")), "left_semi").dropDuplicates(["d_id"])
-    reps = stored(reps.select("d_id", F.col("n_shingles").alias("n"), "first", "second", "agree"), "reps")
-    placed = first_keys(reps).withColumn("comp", F.col("d_id"))
+    reps = classes.filter("rep is not null").select(F.col("rep").alias("d_id"), "of.*", "set_key")
+    again = stored(reps.groupBy("d_id").count().filter("count > 1").select("d_id"), "again")
+    if not again.isEmpty():
+        least = reps.join(again, "d_id", "left_semi").groupBy("d_id").agg(F.min_by(F.struct("n", "first", "second", "agree", "set_key"), "set_key").alias("of")).select("d_id", "of.*")
+        reps = reps.join(again, "d_id", "left_anti").union(least)
+    reps = reps.drop("set_key")
+    placed = stored(first_keys(reps), "placed")
+    near_ids = stored(placed.select("d_id").distinct(), "ids")
+    reps = stored(reps.join(small(near_ids, SENT), "d_id", "left_semi"), "reps")
+    placed = placed.withColumn("comp", F.col("d_id"))
     keys, links, comp = placed, None, None
     for r in range(hub_rounds + 1):
         if comp is not None:
@@ -282,7 +306,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         found = stored(confirmed(near, own, k), "found")
         links = found if links is None else links.union(found)
         comp = stored(components(links), "comp")
-    member = classes.join(comp, classes["rep"] == comp["node"], "left").select("set_key", F.coalesce("comp", "rep").alias("component"))
+    member = classes.select("set_key", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("comp", "rep").alias("component"))
     out = signed.select("d_id", "n_shingles", "set_key").join(member, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("d_id"))
     kept = F.coalesce(F.col("d_id") == component, component.isNull())
