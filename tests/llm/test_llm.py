@@ -6,6 +6,7 @@ import math
 import re
 import struct
 import zlib
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -450,3 +451,48 @@ def test_bpe_fold(spark):
     assert bpe.rare_up_to(counts.limit(0), 10) == 0
     few = bpe.dictionary(spark.createDataFrame([("b a a a c c",)], "text string"), bpe.Ranks(pairs), bpe.PATTERN, 2).collect()
     assert {r.word for r in few} == {" a", " c"}
+
+
+def test_toxicity_model():
+    """The fit against the likelihood written out from its definition, and scores against plain counting."""
+    r = np.random.default_rng(4)
+    bad, good = "kaka zuzu momo nini pupu rere".split(), "bread tea milk honey lemon butter cheese".split()
+    texts = [" ".join([*r.choice(bad, 1 + i % 6), *r.choice(good, 8)]) for i in range(60)] + [" ".join([*r.choice(bad, int(i % 9 == 0)), *r.choice(good, 10)]) for i in range(60)]
+    toxic = np.array([1] * 60 + [0] * 60)
+    model = toxicity.fit(texts, toxic, steps=3000, ridge=0.5)
+    index, row, col, val = toxicity.sparse(texts)
+    plain = collections.Counter((i, f) for i, t in enumerate(texts) for w in toxicity.TOKEN.findall(t) for f in toxicity.parts(w))
+    assert {(int(i), list(index)[j]): n for i, j, n in zip(row, col, val, strict=True)} == {k: n for k, n in plain.items() if k[1] in index}
+    grade = toxicity.grades_of(toxic, row, col, len(index))
+    assert set(grade[toxic == 1]) == {1, 2, 3} and not grade[toxic == 0].any()
+
+    def loss(w, theta):
+        out = 0.25 * sum(x * x for x in w.values())
+        for i, text in enumerate(texts):
+            n = collections.Counter(f for x in toxicity.TOKEN.findall(text) for f in toxicity.parts(x))
+            z = sum(w.get(f, 0) * math.log1p(k) for f, k in n.items())
+            below = [0, *(1 / (1 + math.exp(z - t)) for t in theta), 1]
+            out -= math.log(below[grade[i] + 1] - below[grade[i]])
+        return out
+
+    best = loss(model["w"], model["theta"])
+    assert model["theta"] == sorted(model["theta"])
+    for _ in range(20):
+        w = {f: x + r.normal() * 0.1 for f, x in model["w"].items()}
+        assert loss(w, [t + r.normal() * 0.1 for t in model["theta"]]) > best - 0.02
+    expected, p = toxicity.severity(model, [*texts[:3], None, "", "tea " * 5])
+    for text, e, q in zip([*texts[:3], "", "", "tea " * 5], expected, p, strict=True):
+        n = collections.Counter(f for x in toxicity.TOKEN.findall(text) for f in toxicity.parts(x))
+        z = sum(model["w"].get(f, 0) * math.log1p(k) for f, k in n.items())
+        above = [1 / (1 + math.exp(t - z)) for t in model["theta"]]
+        assert e == pytest.approx(sum(above)) and q == pytest.approx(above[0])
+
+
+def test_shared_dir(tmp_path):
+    """The setting is used as it is; without it, only a local session gets a folder of its own."""
+    session = lambda folder, master: SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: {"spark.checkpoint.dir": folder}, master=master, applicationId=str(tmp_path)))
+    assert common.shared_dir(session("hdfs:///x/", "yarn")) == "hdfs:///x"
+    assert common.shared_dir(session(None, "local[4]")) == common.shared_dir(session("", "local")) != ""
+    for master in ("yarn", "spark://x:7077", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.shared_dir(session(None, master))

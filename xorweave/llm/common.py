@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: A word: what stands between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Characters of a text that a classifier is fitted on, at most; longer labelled texts are scored like all, but not learned from.
+SAMPLE_CHARS = 200_000
 
 _own_dirs: dict[str, str] = {}
 
@@ -23,11 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset (a local session) a temporary folder stands in.
+    Only where that is unset and the session is local a temporary folder stands in; a cluster
+    without the setting raises.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not re.match(r"local(\[[^-]*)?$", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="xorweave-")
@@ -57,11 +63,12 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, keep: Column | None = None):
     """At most ``bound`` labelled rows (text, y), the ones with the smallest md5 of their id.
 
-    ``keep`` filters the labels first. Rows without a label, and rows of unknown documents, don't count.
+    ``keep`` filters the labels first. Rows without a label, rows of unknown documents, and texts of more
+    than SAMPLE_CHARS characters don't count.
     """
     rows = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).alias("y")).dropna()
     if keep is not None:
         rows = rows.filter(keep)
     rows = rows.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", "y").limit(bound)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= SAMPLE_CHARS)
     return texts.join(F.broadcast(rows), "doc_id").orderBy("doc_id", "y", "text").limit(2 * bound).toPandas()
