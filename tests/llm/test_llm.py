@@ -496,3 +496,35 @@ def test_shared_dir(tmp_path):
     for master in ("yarn", "spark://x:7077", "local-cluster[3,2,1000]"):
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             common.shared_dir(session(None, master))
+
+
+def test_ann_repeats(spark):
+    """Repeated ids and vectors, clashing columns: ten different ids come back, exactly those of brute force."""
+    r = np.random.default_rng(8)
+    x = r.normal(size=(300, 16))
+    rows = [(i, [float(v) for v in x[i]], 1.0) for i in range(300)]
+    rows += [(5, [float(v) for v in x[0] + 1e-3 * j], 2.0) for j in range(20)] + [(5, rows[5][1], 3.0)] * 20 + [(100, [float(v) for v in x[200]], 1.0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double").withColumn("v", F.lit("x")).withColumn("code", F.lit(1))
+    index, centres = ann.build_index(df)
+    got = collections.defaultdict(list)
+    for row in ann.search(index, centres, index.filter("v_id % 100 = 0"), epsilon=5.0).orderBy("query_id", "rank").collect():
+        got[row.query_id].append((row.vec_id, row.score))
+    for q in (0, 100, 200):
+        own = min(v for i, v, _ in rows if i == q)
+        dist = {}
+        for i, v, _ in rows:
+            if i != q:
+                dist[i] = min(dist.get(i, np.inf), math.dist(v, own))
+        want = sorted(dist.items(), key=lambda t: (t[1], t[0]))[:10]
+        assert [i for i, _ in got[q]] == [i for i, _ in want] and [s for _, s in got[q]] == pytest.approx([s for _, s in want])
+
+
+def test_ann_recall(spark):
+    """The query on the given table: recall against the exact SQL, and most vectors never compared exactly."""
+    sf = SF.replace("0.001", "0.1")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    want = {(q, v): s for q, _, v, s in c.sql(f"SELECT query_id, rank, vec_id, score FROM ({ann.OP9_SQL})").fetchall()}
+    got = {(r.query_id, r.vec_id): r.score for r in ann.op9_ann(spark, sf).collect()}
+    both = want.keys() & got.keys()
+    assert len(both) >= 0.95 * len(want) and len(got) == len(want) and all(got[x] == pytest.approx(want[x], abs=1e-9) for x in both)
