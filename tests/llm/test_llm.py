@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import struct
@@ -528,3 +529,64 @@ def test_ann_recall(spark):
     got = {(r.query_id, r.vec_id): r.score for r in ann.op9_ann(spark, sf).collect()}
     both = want.keys() & got.keys()
     assert len(both) >= 0.95 * len(want) and len(got) == len(want) and all(got[x] == pytest.approx(want[x], abs=1e-9) for x in both)
+
+
+def test_chat_viterbi():
+    """Paths against all paths, whole and in three ranges."""
+    r = np.random.default_rng(6)
+    for n in (1, 2, 6):
+        m = chat.Model(r.normal(size=6), r.normal(size=(6, 6)), r.normal(size=(6, 48)))
+        lines = [int(x) for x in r.integers(0, 48, n)]
+        total = lambda path: m.start[path[0]] + sum(m.move[a, b] for a, b in zip(path, path[1:], strict=False)) + sum(m.emit[s, x] for s, x in zip(path, lines, strict=True))  # noqa: B023, E731
+        best = max(itertools.product(range(6), repeat=n), key=total)
+        assert m.path(lines) == list(best)
+        if n == 6:
+            parts = [lines[:1], lines[1:4], lines[4:]]
+            table_of = lambda x: [*m.matrix(x).ravel(), *np.array([max((total_of(m, x, p) for p in itertools.product(range(6), repeat=len(x)) if p[-1] == e)) for e in range(6)])]  # noqa: B023, E731
+            ends = chat.joints([(i, 7, table_of(x)) for i, x in enumerate(parts)], m)
+            assert [s for i, x in enumerate(parts) for s in m.path(x, *ends[i, 7])] == list(best)
+
+
+def total_of(m, lines, path):
+    return m.start[path[0]] + sum(m.move[a, b] for a, b in zip(path, path[1:], strict=False)) + sum(m.emit[s, x] for s, x in zip(path, lines, strict=True))
+
+
+def test_chat_messages(spark):
+    """One hot conversation, null and repeated turns, clashing columns: the same chats for any range, and no text lost."""
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"text {i}?" + "\na) red\nb) blue\nNote: so" * (i % 3 == 0)) for i in range(400)]
+    rows += [(1, 400, "user", "again")] * 30 + [(2, None, None, None), (None, 3, "assistant", " x "), (None, None, "tool", "y"), (3, 1, "system", "Be brief."), (3, 2, "user", "pick one\na) red\nb) blue"), (3, 3, "assistant", "q: [maybe]\n\n- one")]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string").withColumn("line", F.lit("x")).withColumn("part", F.lit(1))
+    model = chat.fit_on(df)
+    lines = chat.written(df)
+    few, many = (chat.format_messages(lines, model, range_rows=n) for n in (10**6, 7))
+    assert sorted(map(tuple, few.collect()), key=repr) == sorted(map(tuple, many.collect()), key=repr)
+    text = {(x.conv_id, x.turn, x.role): x.text for x in few.collect()}
+    assert text[3, 2, "user"] == "pick one\na) red\nb) blue" and text[1, 3, "assistant"] == "text 3?\na) red\nb) blue\nNote: so" and text[2, 0, "user"] == ""
+    whole = {x.conv_id: x.chat for x in chat.format_chats(chat.transcripts(df), keep=("conv_id",), model=model).collect()}
+    chunks = collections.defaultdict(list)
+    for x in few.join(lines.selectExpr("conv_id c", "turn t", "role r", "line").distinct(), F.expr("conv_id <=> c and turn = t and role <=> r")).collect():
+        chunks[x.conv_id].append((x.turn, x.line, x.role, x.chunk))
+    assert "".join(x[-1] for x in sorted(chunks[3])) + "\n<|end|>\n" == whole[3]
+    assert few.filter("conv_id = 1").count() == 430 and chat.format_messages(lines.limit(0), model).count() == 0
+
+
+def test_chat_held_back(spark):
+    """A marker style, and names of no role, that the tables weren't counted on."""
+    df = common.table(spark, SF, "conversations")
+    for style in (chat.STYLES[1], chat.STYLES[2], chat.NAMES):
+        model = chat.fit_on(df, tuple(s for s in (*chat.STYLES, chat.NAMES) if s != style))
+        out = chat.format_chats(chat.transcripts(df, (style,)), keep=("true_roles",), model=model).collect()
+        right = sum(sum(a == b for a, b in zip(r.roles, r.true_roles, strict=False)) for r in out if len(r.roles) == len(r.true_roles))
+        assert right >= (0.97 if style in chat.STYLES else 0.0) * sum(len(r.true_roles) for r in out), style
+    model = chat.fit_on(df)
+    out = chat.format_chats(chat.transcripts(df, (chat.NAMES,)), keep=("true_roles",), model=model).collect()
+    assert sum(r.roles == r.true_roles for r in out) >= 0.7 * len(out)
+    plain = chat.format_chats(chat.transcripts(df), keep=("transcript",), model=model).collect()
+    for r in plain:  # what is left of the transcript, without markers and white space at the ends of turns
+        rest = re.sub(r"\s", "", r.transcript)
+        for t in r.texts:
+            t = re.sub(r"\s", "", t)
+            at = rest.index(t)
+            assert len(rest[:at]) <= 20
+            rest = rest[at + len(t) :]
+        assert rest == ""

@@ -1,97 +1,158 @@
 """Chat formatting: roles of transcript lines by a hidden Markov model, then canonical turns.
 
 The hidden state of a line is its speaker (system, user, assistant) and whether the line starts a
-turn or goes on with one. What is seen of a line is a class of marker at its start (of each role, a
-marker of no known role, none) and a few traits of the line. Viterbi finds the likeliest states;
-marker text is cut off, and each turn is rendered the same way.
+turn or goes on with one. What is seen of a line is the kind of marker at its start (of each role, a
+marker of no known role, none, a blank line) and a few traits. The tables of the model are counted on
+a bounded sample of conversations, written out in each of STYLES. Viterbi finds the likeliest states;
+the markers of lines that start a turn are cut off, nothing else, and each turn is rendered the same way.
+
+``format_chats`` takes a transcript per row. ``format_messages`` takes conversations as rows of
+messages, of any number: the sorted rows are dealt to ranges, and where a conversation runs over the
+end of a range, the best scores from each state to each state (a 6 x 6 table per range) carry the
+path over, so that the result doesn't depend on where the ranges end.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 ROLES = ("system", "user", "assistant")
 #: States: role r starts a turn (r), or goes on with it (r + 3).
 N_STATES = 6
+#: A marker has its brackets on both sides, or a colon; one letter needs the colon.
 MARKER = re.compile(
-    r"^\s*(?:[#>*\-]+\s*)?(?:\[|\(|<\|?)?\s*(?:(?P<system>system|instructions?|context)|(?P<user>user|human|customer|question|q|me|you)|(?P<assistant>assistant|bot|ai|model|agent|answer|a)|(?P<other>[a-z][\w ]{0,14}))\s*(?:(?:\|?>|\]|\))\s*:?|\s*:)[*\s]*", re.I
+    r"^\s*(?:[#>*\-]+\s*)?(?P<open>\[|\(|<\|?)?\s*(?:(?P<system>system|instructions?|context)|(?P<user>user|human|customer|question|q|me|you)|(?P<assistant>assistant|bot|ai|model|agent|answer|a)|(?P<other>[a-z][\w ]{0,14}))\s*(?(open)(?:\|?>|\]|\))\s*:?|:)[*\s]*", re.I
 )
-GO_ON = 0.02
-#: How transcripts name the roles; each conversation has one of these styles.
+LIST = re.compile(r"\s*(?:[-*\u2022]|\w{1,3}[.)])\s")
+KINDS, TRAITS = 6, 8
+#: Rows (messages) that the tables are counted on, at most, and characters of each.
+SAMPLE, SAMPLE_CHARS = 20_000, 20_000
+#: Messages per range, about.
+RANGE = 20_000
+#: How transcripts name the roles; each conversation has one of these styles. Names are of no known role.
 STYLES = (
     ("System: ", "User: ", "Assistant: "),
     ("[system] ", "[human] ", "[bot] "),
     ("### Instructions: ", "### Question: ", "### Answer: "),
     ("<|system|> ", "<|user|> ", "<|assistant|> "),
 )
+NAMES = ("Setup: ", "Kim: ", "Lee: ")
+
+
+def seen(line: str) -> int:
+    """The class of a line: the kind of its marker, and three traits."""
+    m = MARKER.match(line)
+    kind = 5 if not line.strip() else next((k for k, name in enumerate(ROLES) if m and m[name]), 3 if m else 4)
+    return kind * TRAITS + 4 * line.rstrip().endswith("?") + 2 * (len(line) > 200) + bool(LIST.match(line))
+
+
+class Model:
+    """Log probabilities of the first state, the next state, and what is seen in a state."""
+
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
+        self.start, self.move, self.emit = start, move, emit
 
+    def matrix(self, lines: list[int]) -> np.ndarray:
+        """Best scores from the state before the lines to that of the last one."""
+        s = self.move + self.emit[:, lines[0]]
+        for x in lines[1:]:
+            s = (s[:, :, None] + self.move).max(1) + self.emit[:, x]
+        return s
 
-def transitions() -> tuple[np.ndarray, np.ndarray]:
-    """Log probabilities of the first state and of the next one."""
-    start = np.log(np.array([0.3, 0.6, 0.1, 1e-6, 1e-6, 1e-6]))
-    after = {0: (0.1, 0.8, 0.1), 1: (0.02, 0.08, 0.9), 2: (0.02, 0.9, 0.08)}  # role of the next turn
-    move = np.full((N_STATES, N_STATES), 1e-9)
+    def path(self, lines: list[int], before: int | None = None, end: int | None = None) -> list[int]:
+        """The likeliest states, given the state before the lines and the last one's, if known."""
+        score = (self.start if before is None else self.move[before]) + self.emit[:, lines[0]]
+        back = []
+        for x in lines[1:]:
+            s = score[:, None] + self.move
+            back.append(s.argmax(0))
+            score = s.max(0) + self.emit[:, x]
+        state = int(score.argmax()) if end is None else end
+        out = [state]
+        for b in reversed(back):
+            state = int(b[state])
+            out.append(state)
+        return out[::-1]
+
+
+def fit(conversations: list[list[tuple[str, str]]], styles: tuple = (*STYLES, NAMES)) -> Model:
+    """Counts over (role, text) of the turns of each conversation, written out in each of ``styles``.
+
+    Every move and class is counted a little beforehand. A conversation starts with a turn, and a
+    line goes on only with the role before it."""
+    start, move, emit = np.full(N_STATES, 1e-6), np.full((N_STATES, N_STATES), 1e-6), np.full((N_STATES, KINDS * TRAITS), 0.05)
+    start[:3] += 1.0
     for role in range(3):
-        for s in (role, role + 3):
-            move[s, role + 3] = 0.6
-            move[s, :3] = 0.4 * np.array(after[role])
-    return start, np.log(move)
+        move[[role, role + 3], role + 3] += 1.0
+        move[[role, role + 3], :3] += 0.5
+        emit[role, role * TRAITS : (role + 1) * TRAITS] += 1.0
+        emit[role + 3, 4 * TRAITS : 5 * TRAITS] += 1.0
+    for style in styles:
+        for turns in conversations:
+            last = -1
+            for role, text in turns:
+                if role not in ROLES:
+                    continue
+                r = ROLES.index(role)
+                for i, line in enumerate((style[r] + text).split("\n")):
+                    state = r + 3 * (i > 0)
+                    if last < 0:
+                        start[state] += 1
+                    else:
+                        move[last, state] += 1
+                    emit[state, seen(line)] += 1
+                    last = state
+    return Model(np.log(start / start.sum()), np.log(move / move.sum(1, keepdims=True)), np.log(emit / emit.sum(1, keepdims=True)))
 
 
-START, MOVE = transitions()
+def fit_on(conversations: DataFrame, styles: tuple = (*STYLES, NAMES), sample: int = SAMPLE) -> Model:
+    """Fit on ``sample`` messages at most, of the conversations with the smallest md5 of their id; longer texts
+    than SAMPLE_CHARS don't count."""
+    rows = conversations.select("conv_id", F.coalesce("turn", F.lit(0)).cast("long").alias("turn"), "role", "text").dropna().filter(F.length("text") <= SAMPLE_CHARS)
+    rows = rows.orderBy(F.md5(F.col("conv_id").cast("string").cast("binary")), "conv_id", "turn", "role", "text").limit(sample).collect()
+    by: dict[object, list[tuple[str, str]]] = {}
+    for r in rows:
+        by.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    return fit(list(by.values()), styles)
 
 
-def emission(line: str) -> np.ndarray:
+def pieces(line: str, state: int) -> tuple[str | None, str]:
+    """The role that a line starts a turn of, if it does, and its text without the marker."""
+    if state >= 3:
+        return None, line
     m = MARKER.match(line)
-    kind = next((k for k, name in enumerate(ROLES) if m and m[name]), 3 if m else 4)
-    p = np.empty(N_STATES)
-    for role in range(3):
-        p[role] = 0.9 if kind == role else 0.02 if kind < 3 else 0.01 if kind == 3 else 0.05
-        p[role + 3] = GO_ON / 3 if kind < 3 else 0.08 if kind == 3 else 0.9
-    if kind == 4:
-        asks = line.rstrip().endswith("?")
-        p[[1, 4]] *= 2.0 if asks else 1.0
-        p[[2, 5]] *= 1.5 if len(line) > 200 else 1.0
-    return np.log(p)
-
-
-def viterbi(lines: list[str]) -> list[int]:
-    score = START + emission(lines[0])
-    back = []
-    for line in lines[1:]:
-        s = score[:, None] + MOVE
-        back.append(s.argmax(0))
-        score = s.max(0) + emission(line)
-    state = int(score.argmax())
-    path = [state]
-    for b in reversed(back):
-        state = int(b[state])
-        path.append(state)
-    return path[::-1]
-
-
-def parse(transcript: str | None) -> list[tuple[str, str]]:
-    """(role, text) of each turn; nothing for a blank transcript."""
+    return ROLES[state], line[m.end() :] if m else line
+
+
+@functools.cache
+def prior() -> Model:
+    """The model before any conversation was seen."""
+    return fit([])
+
+
+def parse(transcript: str | None, model: Model | None = None) -> list[tuple[str, str]]:
+    """(role, text) of each turn; nothing for a blank transcript. Without a model: by ``prior``."""
+    model = model or prior()
     if not transcript or not transcript.strip():
         return []
     lines = transcript.split("\n")
     turns: list[tuple[str, list[str]]] = []
-    for line, state in zip(lines, viterbi(lines), strict=True):
-        role = ROLES[state % 3]
-        m = MARKER.match(line)
-        if state < 3 or not turns:
-            marked = m and any(m[name] for name in ROLES)
-            turns.append((role, [line[m.end() :] if marked else line]))
+    for line, state in zip(lines, model.path([seen(x) for x in lines]), strict=True):
+        role, text = pieces(line, state)
+        if role is None and turns:
+            turns[-1][1].append(text)
         else:
-            turns[-1][1].append(line)
+            turns.append((role or ROLES[state % 3], [text]))
     return [(role, "\n".join(own).strip()) for role, own in turns]
 
 
@@ -99,40 +160,146 @@ def render(turns: list[tuple[str, str]]) -> str:
     return "".join(f"<|{role}|>\n{text}\n<|end|>\n" for role, text in turns)
 
 
-def formatted(transcript: Column) -> Column:
+def formatted(transcript: Column, model: Model) -> Column:
     """struct(roles array<string>, texts array<string>, chat string) of a transcript column."""
 
     @F.pandas_udf("roles array<string>, texts array<string>, chat string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for column in batches:
-            turns = [parse(t) for t in column]
+            turns = [parse(t, model) for t in column]
             yield pd.DataFrame({"roles": [[r for r, _ in t] for t in turns], "texts": [[x for _, x in t] for t in turns], "chat": [render(t) for t in turns]})
 
     return run(transcript)
 
 
-def transcripts(conversations: DataFrame, segment: int = 64) -> DataFrame:
-    """(conv_id, segment, n_turns, true_roles, transcript): turns written line by line in the style of
-    their conversation. A conversation is cut into segments of ``segment`` turn numbers, so that a
-    very long one is spread over tasks; null turns count as turn 0, null roles as user."""
+def written(conversations: DataFrame, styles: tuple = STYLES) -> DataFrame:
+    """(conv_id, turn, role, line): each message with the marker of its role in its conversation's style. Null
+    turns count as turn 0, null roles as user, null texts as empty; another role is its own marker."""
     role = F.coalesce(F.col("role"), F.lit("user"))
-    style = F.pmod(F.xxhash64("conv_id"), F.lit(len(STYLES)))
-    table_ = F.array(*[F.create_map(*[F.lit(x) for k, name in enumerate(ROLES) for x in (name, own[k])]) for own in STYLES])
-    marker = F.coalesce(F.element_at(F.element_at(table_, (style + 1).cast("int")), role), F.concat(role, F.lit(": ")))
-    turn = F.coalesce(F.col("turn"), F.lit(0)).cast("long")
-    lines = conversations.select("conv_id", F.floor(turn / segment).alias("segment"), F.struct(turn.alias("turn"), F.concat(marker, F.coalesce("text", F.lit(""))).alias("line"), role.alias("role")).alias("row"))
-    rows = lines.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list("row")).alias("rows"))
-    return rows.select("conv_id", "segment", F.size("rows").cast("long").alias("n_turns"), F.col("rows.role").alias("true_roles"), F.array_join("rows.line", "\n").alias("transcript"))
+    style = F.pmod(F.xxhash64("conv_id"), F.lit(len(styles)))
+    markers = F.array(*[F.create_map(*[F.lit(x) for k, name in enumerate(ROLES) for x in (name, own[k])]) for own in styles])
+    marker = F.coalesce(F.element_at(F.element_at(markers, (style + 1).cast("int")), role), F.concat(role, F.lit(": ")))
+    return conversations.select("conv_id", F.coalesce("turn", F.lit(0)).cast("long").alias("turn"), role.alias("role"), F.concat(marker, F.coalesce("text", F.lit(""))).alias("line"))
+
 
+def transcripts(conversations: DataFrame, styles: tuple = STYLES) -> DataFrame:
+    """(conv_id, n_turns, true_roles, transcript): whole conversations, each of which has to fit a cell;
+    format_messages is for those of any length."""
+    rows = written(conversations, styles).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "line", "role"))).alias("rows"))
+    return rows.select("conv_id", F.size("rows").cast("long").alias("n_turns"), F.col("rows.role").alias("true_roles"), F.array_join("rows.line", "\n").alias("transcript"))
 
-def format_chats(rows: DataFrame, *, keep: tuple, transcript_col: str = "transcript") -> DataFrame:
+
+def format_chats(rows: DataFrame, *, keep: tuple, model: Model | None = None, transcript_col: str = "transcript") -> DataFrame:
     """Per row: the columns ``keep``, roles, texts, chat. Null and blank transcripts have no turns and an
-    empty chat; repeated rows format alike; other columns are ignored."""
-    out = rows.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], formatted(F.col(transcript_col)).alias("f"))
+    empty chat; repeated rows format alike; other columns are ignored. Without a model: by ``prior``."""
+    out = rows.select(*[F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)], formatted(F.col(transcript_col), model or prior()).alias("f"))
     return out.select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], "f.roles", "f.texts", "f.chat")
 
 
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows (part, conv_id, ...) sorted by part and conversation: the rows of each, without these two columns."""
+    held: list[tuple] = []
+    key = None
+    for batch in batches:
+        for part, conv, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (part, conv) != key:
+                if held:
+                    yield key, held
+                key, held = (part, conv), []
+            held.append(tuple(row))
+    if held:
+        yield key, held
+
+
+def joints(pieces_: list[tuple], model: Model) -> dict[tuple, tuple[int | None, int]]:
+    """From (part, conv_id, matrix) of the ranges of conversations: the state before each range (None before the
+    first), and its last one, on the likeliest path of the whole conversation. The first state of a
+    conversation is weighed as if a move led to it: start stands for the move."""
+    out: dict[tuple, tuple[int | None, int]] = {}
+    by: dict[object, list[tuple]] = {}
+    for part, conv, m in pieces_:
+        by.setdefault(conv, []).append((part, np.array(m).reshape(-1, N_STATES)))
+    for conv, own in by.items():
+        own.sort(key=lambda x: x[0])
+        scores = [own[0][1][N_STATES]]  # the row below the square one: from the start
+        for _, m in own[1:]:
+            scores.append((scores[-1][:, None] + m[:N_STATES]).max(0))
+        end = int(scores[-1].argmax())
+        for i in range(len(own) - 1, -1, -1):
+            before = int((scores[i - 1] + own[i][1][:N_STATES][:, end]).argmax()) if i else None
+            out[own[i][0], conv] = (before, end)
+            end = before if i else end
+    return out
+
+
+def format_messages(lines: DataFrame, model: Model, *, range_rows: int = RANGE) -> DataFrame:
+    """Per row of ``lines`` (conv_id, turn, role, line): conv_id, turn, role, roles (of the turns that start in
+    it), text (without the markers), chunk. The chunks of a conversation, joined in the order of turn, line
+    and role, are its canonical chat but for the last end mark. Rows that are alike are interchangeable."""
+    order = ["conv_id", "turn", "line", "role"]
+    kind = lines.schema["conv_id"].dataType.simpleString()
+    whole = kind in ("bigint", "int", "smallint", "tinyint")
+    conv_id, id_type, own_type = F.col("conv_id").cast("bigint" if whole else "string"), "bigint" if whole else "string", pa.int64() if whole else pa.string()
+    own = stored(lines.select(*order).withColumn("conv_id", conv_id).withColumn("rep", F.monotonically_increasing_id()), "messages")
+    spark = own.sparkSession
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-own.count() // range_rows))
+    ranged = stored(own.repartitionByRange(parts, *order, "rep").withColumn("part", F.spark_partition_id()), "ranged")
+    cut = ranged.groupBy("conv_id").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select(F.col("conv_id").alias("cut_id"))
+    sort = lambda df: df.select("part", *order, "rep").repartition("part").sortWithinPartitions("part", *order, "rep")
+
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (part, conv), rows in runs(batches):
+            first, *rest = [seen(x) for r in rows for x in r[1].split("\n")]
+            m = model.matrix([first, *rest])
+            s = (model.start + model.emit[:, first])[None, :]
+            for x in rest:
+                s = (s[:, :, None] + model.move).max(1) + model.emit[:, x]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([conv], own_type), pa.array([np.concatenate([m, s]).ravel().tolist()])], ["part", "conv_id", "m"])
+
+    ids = F.broadcast(cut)  # at most one conversation per end of a range
+    met = ranged.join(ids, F.col("conv_id").eqNullSafe(F.col("cut_id")), "left_semi")
+    wanted = sort(met).mapInArrow(matrices, f"part int, conv_id {id_type}, m array<double>")
+    ends = joints([(r["part"], r["conv_id"], r["m"]) for r in wanted.collect()], model)  # two per range at most
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for (part, conv), rows in runs(batches):
+            before, end = ends.get((part, conv), (None, None))
+            split = [r[1].split("\n") for r in rows]
+            states = iter(model.path([seen(x) for lines_ in split for x in lines_], before, end))
+            first = before is None
+            for row, lines_ in zip(rows, split, strict=True):
+                roles, texts, chunk = [], [], []
+                for i, line in enumerate(lines_):
+                    state = next(states)
+                    role, text = pieces(line, state)
+                    if role is None and first:
+                        role = ROLES[state % 3]
+                    if role is not None:
+                        roles.append(role)
+                        chunk.append(("" if first else "\n<|end|>\n") + f"<|{role}|>\n")
+                    else:
+                        chunk.append("\n")
+                    first = False
+                    texts.append(text)
+                    chunk.append(text)
+                out.append((conv, row[0], row[2], roles, "\n".join(texts), "".join(chunk)))
+            if len(out) >= 1000:
+                yield batch_of(out)
+                out = []
+        yield batch_of(out)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (own_type, pa.int64(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["conv_id", "turn", "role", "roles", "text", "chunk"])
+
+    found = sort(ranged).mapInArrow(decode, f"conv_id {id_type}, turn bigint, role string, roles array<string>, text string, chunk string")
+    return found.withColumn("conv_id", F.col("conv_id").cast(kind))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = format_chats(transcripts(table(spark, sf_dir, "conversations")), keep=("conv_id", "segment", "n_turns", "true_roles"))
-    right = F.size(F.filter(F.arrays_zip("roles", "true_roles"), lambda x: x["roles"] == x["true_roles"]))
-    return rows.select("conv_id", "segment", "n_turns", F.size("roles").cast("long").alias("n_found"), right.cast("long").alias("n_right"), F.array_join("roles", " ").alias("roles"), F.sha2(F.col("chat").cast("binary"), 256).alias("chat_sha256"), "chat")
+    """Per message: its conversation, turn and true role, the roles found, and its part of the canonical chat."""
+    conversations = table(spark, sf_dir, "conversations")
+    rows = format_messages(written(conversations), fit_on(conversations))
+    right = F.col("roles") == F.array("role")
+    return rows.select("conv_id", "turn", "role", F.lit(1).cast("long").alias("n_turns"), F.size("roles").cast("long").alias("n_found"), right.cast("long").alias("n_right"), F.array_join("roles", " ").alias("roles"), "text", "chunk")
