@@ -59,6 +59,12 @@ def matvec(x: Column, rows: list[int]) -> Column:
     return reduce(lambda a, b: a.bitwiseXOR(b), terms)
 
 
+def parity_bits(x: Column, masks: list[int]) -> Column:
+    """A number whose bit i is the parity of the bits of x under masks[i]: a linear map over GF(2)."""
+    bits = [F.shiftleft(F.bit_count(x.bitwiseAND(F.lit(signed(m)))).bitwiseAND(F.lit(1)).cast("long"), i) for i, m in enumerate(masks)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits, F.lit(0).cast("long"))
+
+
 def hash_key(tag: str, ident: Column, bits: int) -> Column:
     """The first 60 bits of sha256(tag || id), masked to the low ``bits``."""
     digest = F.sha2(F.concat(F.lit(tag), ident.cast("string")).cast("binary"), 256)
