@@ -72,5 +72,16 @@ def dedup_shares(shares: DataFrame) -> DataFrame:
     return shares.groupBy("extraNonce2", "extraNonce1", "nonce", "ntime", "kind").agg(F.max("difficulty").alias("difficulty"))
 
 
+def duplicate_shares(shares: DataFrame) -> DataFrame:
+    """One row n_dups: shares beyond the first of their nonces, time and kind."""
+    n = shares.groupBy("extraNonce2", "extraNonce1", "nonce", "ntime", "kind").count()
+    return n.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("n_dups"))
+
+
+def winner_text() -> Column:
+    """How a share of the best solution is printed."""
+    return F.format_string('Share("%08x", "%08x", "%08x", kind=%d, D=%d, extranonce1="%08x")', "extraNonce2", "nonce", "ntime", "kind", "difficulty", "extraNonce1")
+
+
 def share_text() -> Column:
     return F.format_string("(%d) -- %08x | %08x | %08x | %08x", "kind", "extraNonce2", "extraNonce1", "nonce", "ntime")

@@ -51,11 +51,40 @@ def event_ledger(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return every, events.filter("event_type = 'purchase'").select(F.col("event_id").alias("task_id"), F.round(F.abs("value"), 4).alias("duration"))
 
 
+def repeated_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of which some repeat with another difficulty, and some are of a kind that doesn't exist."""
+    rows = share_rows(spark, sf_dir)
+    again = rows.filter("ntime <= 2").withColumn("difficulty", (F.col("difficulty") + F.col("ntime") - 1).cast("short"))
+    return rows.union(again).union(rows.filter("ntime = 7").withColumn("kind", F.lit(7).cast("short")))
+
+
+def matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Stand-in solutions (a, b), and the shares that they need, by permutation 3: a from keys of kind 2, b from
+    those of kind 0, of one order, masked to 16 bits, so that many of them have no third share."""
+    own = shares.with_key(repeated_shares(spark, sf_dir)).select("kind", "difficulty", "extraNonce2", "extraNonce1", "nonce", "ntime", F.col("h").bitwiseAND(F.lit(0xFFFF)).alias("h"))
+    a, b = own.filter("kind = 2").select("nonce", F.col("h").alias("a")), own.filter("kind = 0").select("nonce", F.col("h").alias("b"))
+    found = a.join(b, "nonce").select("a", "b").distinct()
+    return found, match.matched_shares(found, own, 3)
+
+
+def share_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, own = matched(spark, sf_dir)
+    return match.share_preimages(found, own, ["nonce", "ntime", "kind", "difficulty", "extraNonce2", "extraNonce1"])
+
+
+def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger in which events are records of the task user_id, so that tasks are recorded many times."""
+    pair = lambda i: F.struct((F.col("event_id") * 7 + i).alias("a"), (F.col("user_id") * 3).alias("b"))
+    found = F.transform(F.slice(F.array(*[F.lit(i).cast("long") for i in range(4)]), 1, (F.col("event_id") % 4).cast("int")), pair)
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").cast("double").alias("start_time"), F.round(F.abs("value"), 4).alias("duration"), F.lit("x").alias("hostname"), found.alias("solutions"))
+
+
 def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Solutions with the digests of their records."""
+    """Solutions with stand-in digests of their records, in which all but 4 bits of word 6 are zero."""
     a, b, c = three(spark, sf_dir)
     rows = match.preimages(solutions(spark, sf_dir), a, b, c)
-    sha = lambda tag, col: F.sha2(F.concat(F.lit(tag), F.col(col).cast("string")).cast("binary"), 256)
+    whole = lambda tag, col: F.sha2(F.concat(F.lit(tag), F.col(col).cast("string")).cast("binary"), 256)
+    sha = lambda tag, col: F.overlay(whole(tag, col), F.lit("0000000"), F.lit(50))
     return rows.select("a_id", "b_id", "c_id", sha("A", "a_id").alias("d_a"), sha("B", "b_id").alias("d_b"), sha("C", "c_id").alias("d_c"))
 
 
@@ -99,6 +128,21 @@ FROM (SELECT DISTINCT * FROM ({join_sql()})) s
 JOIN (SELECT h, min(id) AS id FROM {list_sql('A')} GROUP BY h) a ON a.h = s.a
 JOIN (SELECT h, min(id) AS id FROM {list_sql('B')} GROUP BY h) b ON b.h = s.b
 JOIN (SELECT h, min(id) AS id FROM {list_sql('C')} GROUP BY h) c ON c.h = xor(s.a, s.b)"""
+REPEATED_SQL = f"""(SELECT * FROM {SHARES_SQL} UNION ALL SELECT kind, CAST(difficulty + ntime - 1 AS SMALLINT), "extraNonce2", "extraNonce1", nonce, ntime FROM {SHARES_SQL} WHERE ntime <= 2
+  UNION ALL SELECT 7::SMALLINT, difficulty, "extraNonce2", "extraNonce1", nonce, ntime FROM {SHARES_SQL} WHERE ntime = 7)"""
+MATCH_SQL = f"""WITH own AS (SELECT kind, difficulty, "extraNonce2", "extraNonce1", nonce, ntime, CAST('0x' || substr(digest, 41, 2) || substr(digest, 39, 2) AS BIGINT) AS h, CAST(CASE kind WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS INTEGER) AS role
+  FROM {DIGEST_SQL.replace(SHARES_SQL, REPEATED_SQL)} WHERE kind BETWEEN 0 AND 2),
+s AS (SELECT DISTINCT a.h AS a, b.h AS b FROM own a JOIN own b ON a.kind = 2 AND b.kind = 0 AND a.nonce = b.nonce),
+needed AS (SELECT 0 AS role, a AS h FROM s UNION SELECT 1, b FROM s UNION SELECT 2, xor(a, b) FROM s),
+matched AS (SELECT own.* FROM own SEMI JOIN needed USING (role, h))"""
+
+
+def xor_word_sql(at: int) -> str:
+    """XOR of the three digests' word that starts at a character of the text; of word 6, only the first 4 bits are there."""
+    word = lambda tag, col: f"CAST('0x' || substr(sha256('{tag}' || {col}), {at}, {1 if at == 49 else 8}) AS BIGINT)"
+    return f"xor(xor({word('A', 'a_id')}, {word('B', 'b_id')}), {word('C', 'c_id')})"
+
+
 UNION_SQL = " UNION ALL ".join(f"SELECT h FROM {list_sql(t)}" for t in "ABC")
 
 
@@ -155,9 +199,33 @@ _ALL: dict[str, tuple] = {
     "preimages": q(lambda s, d: match.preimages(solutions(s, d), *three(s, d)), PREIMAGE_SQL),
     "solution_keys": q(lambda s, d: match.solution_keys(solutions(s, d)), f"WITH s AS ({join_sql()}) SELECT 0 AS role, a AS h FROM s UNION SELECT 1, b FROM s UNION SELECT 2, xor(a, b) FROM s"),
     "rank_best": q(
-        lambda s, d: match.best(digests(s, d).select("a_id", "b_id", "c_id", bits.score(bits.xor_hex(F.col("d_a"), F.col("d_b"), F.col("d_c"))).alias("score")), "score", "a_id"),
-        f"""WITH x AS (SELECT a_id, b_id, c_id, xor(xor(CAST('0x' || substr(sha256('A' || a_id), 33, 8) AS BIGINT), CAST('0x' || substr(sha256('B' || b_id), 33, 8) AS BIGINT)), CAST('0x' || substr(sha256('C' || c_id), 33, 8) AS BIGINT)) AS w FROM ({PREIMAGE_SQL}))
-SELECT a_id, b_id, c_id, CAST(CASE WHEN w = 0 THEN 32 ELSE bit_count(xor(w - 1, w)) - 1 END AS INTEGER) AS score FROM x ORDER BY score DESC, a_id LIMIT 1""",
+        lambda s, d: match.best(match.ranked(digests(s, d)), "score", "a_id").select("a_id", "b_id", "c_id", "score", F.col("width").cast("int").alias("width")),
+        f"""WITH x AS (SELECT a_id, b_id, c_id, {xor_word_sql(33)} AS w, {xor_word_sql(49)} AS six FROM ({PREIMAGE_SQL}))
+SELECT *, CAST(score + 96 AS INTEGER) AS width FROM (SELECT a_id, b_id, c_id, CAST(CASE WHEN w = 0 THEN 32 ELSE bit_count(xor(w - 1, w)) - 1 END AS INTEGER) AS score FROM x WHERE six = 0) ORDER BY score DESC, a_id LIMIT 1""",
+    ),
+    "share_purge": q(lambda s, d: shares.dedup_shares(repeated_shares(s, d)), f'SELECT "extraNonce2", "extraNonce1", nonce, ntime, kind, max(difficulty) AS difficulty FROM {REPEATED_SQL} GROUP BY ALL'),
+    "share_dup_count": q(lambda s, d: shares.duplicate_shares(repeated_shares(s, d)), f'SELECT count(*) - count(DISTINCT ("extraNonce2", "extraNonce1", nonce, ntime, kind)) AS n_dups FROM {REPEATED_SQL}'),
+    "share_kinds": q(
+        lambda s, d: shares.with_key(repeated_shares(s, d)).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.substring("digest", 64, 1) == "0").alias("ends")),
+        f"SELECT kind, count(*) AS n, count(*) FILTER (substr(digest, 64, 1) = '0') AS ends FROM {DIGEST_SQL.replace(SHARES_SQL, REPEATED_SQL)} WHERE kind BETWEEN 0 AND 2 GROUP BY kind",
+    ),
+    "role_matches": q(lambda s, d: match.role_matches(matched(s, d)[1]), f"{MATCH_SQL} SELECT role, count(*) AS n FROM matched GROUP BY role"),
+    "share_preimages": q(
+        lambda s, d: share_solutions(s, d).select("a", "b", "c", *[F.col(f"share_{x}.{f}").alias(f"{x}_{f}") for x in "abc" for f in ("nonce", "ntime")]),
+        f"{MATCH_SQL}, one AS (SELECT role, h, min((nonce, ntime)) AS r FROM matched GROUP BY role, h) SELECT s.a, s.b, xor(s.a, s.b) AS c, {', '.join(f'{x}.r[1] AS {x}_nonce, {x}.r[2] AS {x}_ntime' for x in 'abc')} FROM s JOIN one a ON a.role = 0 AND a.h = s.a JOIN one b ON b.role = 1 AND b.h = s.b JOIN one c ON c.role = 2 AND c.h = xor(s.a, s.b)",
+    ),
+    "winner_lines": q(
+        lambda s, d: share_solutions(s, d).selectExpr("a", "b", "inline(array(share_a, share_b, share_c))").select("a", "b", "kind", shares.winner_text().alias("line")),
+        f"""{MATCH_SQL}, one AS (SELECT role, h, min((nonce, ntime, kind, difficulty, "extraNonce2", "extraNonce1")) AS r FROM matched GROUP BY role, h), t AS (SELECT s.a, s.b, unnest([a.r, b.r, c.r]) AS r FROM s JOIN one a ON a.role = 0 AND a.h = s.a JOIN one b ON b.role = 1 AND b.h = s.b JOIN one c ON c.role = 2 AND c.h = xor(s.a, s.b))
+SELECT a, b, r[3] AS kind, printf('Share("%08x", "%08x", "%08x", kind=%d, D=%d, extranonce1="%08x")', r[5], r[1], r[2], r[3], r[4], r[6]) AS line FROM t""",
+    ),
+    "ledger_totals": q(
+        lambda s, d: ledger.totals(ledger.first_records(ledger_rows(s, d))),
+        "SELECT count(*) AS tasks, CAST(sum(k) AS BIGINT) AS solutions, round(sum(sec), 4) AS seconds FROM (SELECT user_id, arg_min(event_id % 4, event_id) AS k, arg_min(round(abs(value), 4), event_id) AS sec FROM events GROUP BY user_id)",
+    ),
+    "ledger_solutions": q(
+        lambda s, d: ledger.solutions(ledger.first_records(ledger_rows(s, d))),
+        "SELECT e * 7 + i AS a, user_id * 3 AS b, xor(e * 7 + i, user_id * 3) AS c FROM (SELECT user_id, min(event_id) AS e FROM events GROUP BY user_id), range(4) r(i) WHERE i < e % 4",
     ),
     "pending_tasks": q(lambda s, d: ledger.pending(*event_ledger(s, d)), "SELECT event_id AS task_id FROM events WHERE event_type <> 'purchase' OR event_type IS NULL"),
     "task_states": q(
