@@ -590,3 +590,47 @@ def test_chat_held_back(spark):
             assert len(rest[:at]) <= 20
             rest = rest[at + len(t) :]
         assert rest == ""
+
+
+@pytest.mark.parametrize("quarter", [4, 10**6])
+def test_lm_brute(spark, monkeypatch, quarter):
+    """Scores against modified Kneser-Ney written out from its definition, with few and with all contexts held frequent."""
+    if quarter > 4:
+        monkeypatch.setattr(lm, "frequent", lambda texts, n, real=lm.frequent: real(texts, n * quarter))
+    r = np.random.default_rng(9)
+    texts = [" ".join(r.choice([f"v{i}" for i in range(40)], int(r.integers(0, 60)), p=np.arange(40, 0, -1) / 820)) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train, held = docs.filter("doc_id % 7 <> 2"), [*enumerate(texts), (100, "v0 v1 unseen v1 V2"), (101, None)]
+    n = collections.Counter()
+    for i, t in enumerate(texts):
+        if i % 7 != 2:
+            w = ["<s>", *t.split(), "</s>"]
+            n.update(zip(w, w[1:], strict=False))
+    cont, of_u = collections.Counter(v for _, v in n), collections.defaultdict(list)
+    for (u, _), k in n.items():
+        of_u[u].append(k)
+
+    def discount(counts):
+        c = [0, *(sum(k == j for k in counts) for j in (1, 2, 3, 4))]
+        if not c[1] or not c[2]:
+            return [0, 0.5, 1.0, 1.5]
+        y = c[1] / (c[1] + 2 * c[2])
+        d = [j - (j + 1) * y * c[j + 1] / c[j] if c[j] else 0.5 * j for j in (1, 2, 3)]
+        return [0, *(min(j, max(0.1, x)) for j, x in zip((1, 2, 3), d, strict=True))]
+
+    d2, d1 = discount(n.values()), discount(cont.values())
+    spread = sum(d1[min(k, 3)] for k in cont.values()) / len(n)
+    low = lambda v: (cont[v] - d1[min(cont[v], 3)] if cont[v] else 0) / len(n) + spread / (len(cont) + 1)
+
+    def p(u, v):
+        own = of_u[u]
+        if not own:
+            return low(v)
+        return ((n[u, v] - d2[min(n[u, v], 3)]) if n[u, v] else 0) / sum(own) + sum(d2[min(k, 3)] for k in own) / sum(own) * low(v)
+
+    model = lm.train(train)
+    got = {x.doc_id: x.score for x in lm.score(spark.createDataFrame(held, "doc_id long, text string"), model).collect()}
+    for i, t in held:
+        w = ["<s>", *lower(t).split(), "</s>"]
+        assert got[i] == pytest.approx(sum(math.log10(p(*x)) for x in zip(w, w[1:], strict=False)), rel=1e-9)
+    assert len(model["hot"]) > (25 if quarter > 4 else 0)

@@ -1,9 +1,11 @@
 """Language-model scoring: interpolated modified Kneser-Ney, order 2.
 
 Counting: tasks hash words to 64 bits, sum bigrams per Arrow batch, and a shuffle by the context's
-hash brings each bigram together. Every part of the hash range is then sorted and written to the
-shared folder as plain arrays: bigram hashes and counts, contexts and their statistics, and, after
-a second, smaller shuffle, words with their counts and continuation counts.
+hash brings each bigram together. Bigrams of frequent contexts (by a sample of the texts, and the start
+of a text) are dealt by the hash of both words instead, and what is known of such a context is summed
+over the parts. Every part of the hash range is then sorted and written to the shared folder as plain
+arrays: bigram hashes and counts, contexts and their statistics, and, after a second, smaller shuffle,
+words with their counts and continuation counts.
 
 Scoring: workers memory-map those arrays and look up the distinct bigrams of a block of documents
 by binary search. Only a handful of sums (discounts, totals) pass through the driver.
@@ -34,6 +36,9 @@ from .dedup import AZ, MIX, WORDS, WordHashes, scramble
 START = np.uint64(0x5354415254)
 END = np.uint64(0x454E44)
 BLOCK = 2000
+#: Texts that frequent contexts are found on, about; which ones are found decides where bigrams are counted, not how.
+SAMPLE = 10_000
+STATS = ("total", "n1", "n2", "n3")
 
 
 def tokens(texts: list[str | None], hashes: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,6 +85,19 @@ def put(folder: str, name: str, **arrays: np.ndarray) -> None:
         where.move(temporary, f"{path}/{name}-{key}.npy")
 
 
+def among(keys: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``keys`` are in the sorted array ``some``, and where."""
+    if not len(some):
+        return np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=np.int64)
+    at = np.minimum(np.searchsorted(some, keys), len(some) - 1)
+    return some[at] == keys, at
+
+
+def route(u: np.ndarray, v: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """What decides the part of a bigram."""
+    return np.where(among(u, hot)[0], pair_hash(u, v), scramble(u))
+
+
 _maps: dict[str, np.ndarray | None] = {}
 
 
@@ -87,6 +105,8 @@ def get(folder: str, name: str, key: str) -> np.ndarray | None:
     """A memory-mapped array, None if no part of that name was written."""
     full = f"{folder}/{name}-{key}.npy"
     if full not in _maps:
+        if _maps and not next(iter(_maps)).startswith(folder):
+            _maps.clear()  # of another model
         where, path = fs.FileSystem.from_uri(full)
         if where.get_file_info(path).type == fs.FileType.NotFound:
             _maps[full] = None
@@ -120,7 +140,8 @@ def find(folder: str, kind: str, bits: int, route: np.ndarray, keys: np.ndarray,
 
 
 def discounts(n: list[int]) -> list[float]:
-    """D1, D2, D3+ from the numbers of n-grams seen once, twice, three and four times."""
+    """D1, D2, D3+ from the numbers of n-grams seen once, twice, three and four times; fixed ones where
+    none are seen once, or none twice, and the estimates aren't defined."""
     if min(n[:2]) <= 0:
         return [0.5, 1.0, 1.5]
     y = n[0] / (n[0] + 2 * n[1])
@@ -131,6 +152,24 @@ def cut(count: np.ndarray, d: list[float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(count, 3).astype(np.int64)]
 
 
+def frequent(texts: DataFrame, n_parts: int) -> np.ndarray:
+    """Sorted hashes of the contexts with over a quarter of a part's share of the tokens of a sample, at
+    most 4 * n_parts, and of the start of a text."""
+    every = max(1, texts.count() // SAMPLE)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            u, n = np.unique(tokens(batch.column(0).to_pylist(), hashes)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n)], ["u", "n"])
+
+    some = texts.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).mapInArrow(count, "u long, n long").groupBy("u").agg(F.sum("n").alias("n"))
+    some = stored(some, "lm-sample")
+    total = some.agg(F.sum("n")).first()[0] or 0
+    rows = some.filter(F.col("n") * 4 * n_parts > total).collect()
+    return np.unique(np.array([START, *[np.int64(r["u"]).view(np.uint64) for r in rows]], dtype=np.uint64))
+
+
 def train(docs: DataFrame, *, text_col: str = "text") -> dict:
     """Count all rows of ``docs`` and write the model; returns what is needed to score with it."""
     spark = docs.sparkSession
@@ -142,6 +181,8 @@ def train(docs: DataFrame, *, text_col: str = "text") -> dict:
     texts = docs.select(F.col(text_col).alias("text"))
     n_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * texts.rdd.getNumPartitions())
     bits = int(np.ceil(np.log2(n_parts)))
+    n_parts = 1 << bits
+    hot = frequent(texts, n_parts)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -152,7 +193,7 @@ def train(docs: DataFrame, *, text_col: str = "text") -> dict:
             at = runs(u, v) if len(u) else np.zeros(0, dtype=np.int64)
             n = np.diff(np.append(at, len(u)))
             u, v = u[at], v[at]
-            yield pa.RecordBatch.from_arrays([pa.array(part_of(scramble(u), bits)), pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(n)], ["part", "u", "v", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(part_of(route(u, v, hot), bits)), pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.array(n)], ["part", "u", "v", "n"])
 
     def write_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [[np.asarray(c) for c in b.columns] for b in batches if len(b)]
@@ -168,8 +209,11 @@ def train(docs: DataFrame, *, text_col: str = "text") -> dict:
             at = runs(pu, pv)
             pn, pu, pv = np.add.reduceat(pn, at), pu[at], pv[at]
             at = runs(pu)
-            kinds = {f"n{k}": np.add.reduceat((np.minimum(pn, 3) == k).astype(np.int64), at) for k in (1, 2, 3)}
-            put(folder, f"context-{p}", key=pu[at], total=np.add.reduceat(pn, at), **kinds)
+            stats = {"total": np.add.reduceat(pn, at), **{f"n{k}": np.add.reduceat((np.minimum(pn, 3) == k).astype(np.int64), at) for k in (1, 2, 3)}}
+            own, shared = pu[at], among(pu[at], hot)[0]
+            put(folder, f"context-{p}", key=own[~shared], **{f: x[~shared] for f, x in stats.items()})
+            for i, f in enumerate(STATS):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(shared.sum(), 2 + i, dtype=np.int32), own[shared].view(np.int64), stats[f][shared], np.zeros(shared.sum(), dtype=np.int64))], ["kind", "w", "c", "cont"])
             h = pair_hash(pu, pv)
             order = np.argsort(h, kind="stable")
             put(folder, f"pair-{p}", key=h[order], n=pn[order].astype(np.uint32) if pn.max() < 2**32 else pn[order])
@@ -195,22 +239,24 @@ def train(docs: DataFrame, *, text_col: str = "text") -> dict:
         sums = np.array([len(w), c.sum(), cont.sum(), *of], dtype=np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([int(x)]) for x in sums], ["v", "n", "pairs", "k1", "k2", "k3", "k4", "k5"])
 
-    counted = texts.mapInArrow(count, "part int, u long, v long, n long").repartition(n_parts, "part")
+    counted = texts.mapInArrow(count, "part int, u long, v long, n long").repartitionById(n_parts, "part")
     rows = stored(counted.mapInArrow(write_pairs, "kind int, w long, c long, cont long"), "lm")
     n2 = {r["w"]: r["c"] for r in rows.filter("kind = 1").groupBy("w").agg(F.sum("c").alias("c")).collect()}
+    known = {(r["kind"], r["w"]): r["c"] for r in rows.filter("kind >= 2").groupBy("kind", "w").agg(F.sum("c").alias("c")).collect()}  # of the frequent contexts
+    of_hot = {f: np.array([known.get((2 + i, int(w)), 0) for w in hot.view(np.int64)], dtype=np.int64) for i, f in enumerate(STATS)}
     words = rows.filter("kind = 0").groupBy("w").agg(F.sum("c").alias("c"), F.sum("cont").alias("cont"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(part_of(scramble(np.asarray(b.column(0)).view(np.uint64)), bits)), *b.columns], ["part", "w", "c", "cont"])
 
-    placed = words.mapInArrow(place, "part int, w long, c long, cont long").repartition(n_parts, "part")
+    placed = words.mapInArrow(place, "part int, w long, c long, cont long").repartitionById(n_parts, "part")
     fields = ["v", "n", "pairs", "k1", "k2", "k3", "k4", "k5"]
     sums = stored(placed.mapInArrow(write_words, ", ".join(f"{f} long" for f in fields)), "lm-sums").agg(*[F.sum(f).alias(f) for f in fields]).first()
     t = {f: int(sums[f] or 0) for f in fields}
     d1 = discounts([t["k1"], t["k2"], t["k3"], t["k4"]])
     spread = (d1[0] * t["k1"] + d1[1] * t["k2"] + d1[2] * (t["k3"] + t["k4"] + t["k5"])) / t["pairs"] if t["pairs"] else 1.0
-    return {"folder": folder, "bits": bits, "words": t["v"], "tokens": t["n"], "pairs": t["pairs"], "d1": d1, "d2": discounts([int(n2.get(k, 0)) for k in (1, 2, 3, 4)]), "spread": spread}
+    return {"folder": folder, "bits": bits, "words": t["v"], "tokens": t["n"], "pairs": t["pairs"], "d1": d1, "d2": discounts([int(n2.get(k, 0)) for k in (1, 2, 3, 4)]), "spread": spread, "hot": hot, "of_hot": of_hot}
 
 
 def score_block(model: dict, texts: list[str | None], hashes: dict) -> tuple[np.ndarray, ...]:
@@ -221,8 +267,11 @@ def score_block(model: dict, texts: list[str | None], hashes: dict) -> tuple[np.
     _, first, back = np.unique(h, return_index=True, return_inverse=True)
     du, dv, dh = u[first], v[first], h[first]
     word = find(folder, "word", bits, scramble(dv), dv, {"c": np.int64, "cont": np.int64})
-    context = find(folder, "context", bits, scramble(du), du, {"total": np.int64, "n1": np.int64, "n2": np.int64, "n3": np.int64})
-    pair = find(folder, "pair", bits, scramble(du), dh, {"n": np.int64})["n"]
+    context = find(folder, "context", bits, scramble(du), du, dict.fromkeys(STATS, np.int64))
+    shared, at = among(du, model["hot"])
+    for f in STATS:
+        context[f][shared] = model["of_hot"][f][at[shared]]
+    pair = find(folder, "pair", bits, route(du, dv, model["hot"]), dh, {"n": np.int64})["n"]
     p = np.maximum(word["cont"] - cut(word["cont"], model["d1"]), 0) / max(1, model["pairs"]) + model["spread"] / (model["words"] + 1)
     d = model["d2"]
     total = np.maximum(context["total"], 1)
