@@ -6,6 +6,7 @@ import itertools
 import math
 import re
 import struct
+import timeit
 import zlib
 from types import SimpleNamespace
 
@@ -634,3 +635,24 @@ def test_lm_brute(spark, monkeypatch, quarter):
         w = ["<s>", *lower(t).split(), "</s>"]
         assert got[i] == pytest.approx(sum(math.log10(p(*x)) for x in zip(w, w[1:], strict=False)), rel=1e-9)
     assert len(model["hot"]) > (25 if quarter > 4 else 0)
+
+
+def test_pages_comments():
+    """Reader comments go, whatever element holds them and however long they are."""
+    prose = "the cat is on the mat and it was in the house "
+    inner, want = f"<h1>A title</h1><p>{prose * 6}</p>", f"A title\n{prose * 6}".strip()
+    for block in ('<article class="comment"><p>{}</p></article>', '<article id="comment-12"><p>{}</p></article>', '<div class="comments"><article class="comment">{}</article><article class="comment">{}</article></div>'):
+        assert pages.main_text(f"<article>{inner}</article>{block.format(prose * 40, prose * 40)}") == want, block
+    assert pages.main_text(f'<article class="post comments-open">{inner}</article>') == want
+
+
+@pytest.mark.parametrize("piece", ["<![CDATA[ x ", "<svg>", "<!x ", "<form>some text that is long enough to count as a block of its own, and then some more", '<a b="', "<p>x</q>", "<nav>"])
+def test_pages_hostile(piece):
+    """Pages made to be slow take time in proportion to their length."""
+
+    def seconds(n):
+        page = "<div>" * (n // 4) + "</x>" * (n // 4) + piece * n
+        return min(timeit.repeat(lambda: pages.main_text(page), number=1, repeat=2))
+
+    low, high = seconds(4000), seconds(32_000)
+    assert high < 24 * low + 0.2

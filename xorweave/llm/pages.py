@@ -14,6 +14,7 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 RAW = frozenset("script style noscript template svg math iframe object textarea select title head".split())
 AWAY = frozenset("nav header footer aside form menu dialog button fieldset".split())
@@ -36,6 +37,8 @@ BLOCK = frozenset(
 UNWANTED = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header menu nav navbar navigation newsletter notice pagination popup promo related respond share sharing sidebar social sponsor sponsored subscribe widget complementary contentinfo".split()
 )
+#: Those of reader comments.
+READER = frozenset("comment comments disqus respond".split())
 FIRM = frozenset("comment comments disqus respond related sidebar footer menu nav navbar navigation complementary contentinfo".split())
 #: Words that may stand beside them in a hyphenated name (site-footer, cookie-box).
 BESIDE = frozenset("site page global main top bottom left right primary secondary inner outer box block bar list links area container wrapper wrap section item items message text form button buttons icons".split())
@@ -62,7 +65,7 @@ class Block:
 
 class Mark:
     """An <article> or <main> element, or an unwanted one; the first stands for the page. ``kind``: tag
-    (a closed <nav> and the like), firm or soft (by a class, a <form>, or never closed), or empty."""
+    (a closed <nav> and the like), reader, firm or soft (by a class, a <form>, or never closed), or empty."""
 
     __slots__ = ("parent", "main", "kind", "away", "text", "free")
 
@@ -72,7 +75,7 @@ class Mark:
 
 @functools.lru_cache(10_000)
 def class_kind(said: str, heading: bool) -> str:
-    """firm, soft or empty: what the class, id and role say of an element. A name counts as a whole:
+    """reader, firm, soft or empty: what the class, id and role say of an element. A name counts as a whole:
     with-sidebar, entry-header and related-work say nothing. ``heading``: header and banner say nothing."""
     kind = ""
     for name in said.lower().split():
@@ -80,9 +83,11 @@ def class_kind(said: str, heading: bool) -> str:
         of = UNWANTED.intersection(parts)
         if not of or heading and of <= {"header", "banner"} or not all(x in UNWANTED or x in BESIDE for x in parts):
             continue
+        if of & READER:
+            return "reader"
         if of & FIRM:
-            return "firm"
-        kind = "soft"
+            kind = "firm"
+        kind = kind or "soft"
     return kind
 
 
@@ -91,12 +96,13 @@ def settle(found: list[Block], marks: list[Mark]) -> None:
 
     An <article> or <main> starts afresh, unless it stands in a tag or firm element and there is main
     text elsewhere (comments, teasers). A firm or soft element whose text, but for what starts afresh, is
-    most of the unlinked text of the page or of the <article> around it is no boilerplate.
+    most of the unlinked text of the page or of the <article> around it is no boilerplate; reader comments
+    are, if there is main text elsewhere.
     """
     own = [len(b.text) - b.linked for b in found]
     inside = [False] * len(marks)
     for i, m in enumerate(marks[1:], 1):
-        inside[i] = m.kind in ("tag", "firm") or inside[m.parent]
+        inside[i] = m.kind in ("tag", "firm", "reader") or inside[m.parent]
     elsewhere = sum(n for n, b in zip(own, found, strict=True) if b.main and not inside[b.mark]) >= LONG
 
     def down() -> None:
@@ -110,12 +116,12 @@ def settle(found: list[Block], marks: list[Mark]) -> None:
     for m in marks[:0:-1]:
         marks[m.parent].text += m.text
         marks[m.parent].free += m.free
-    for m in marks[1:]:
-        if m.kind in ("firm", "soft") and m.text - m.free >= SHORT:
-            around = marks[m.parent]
-            while around.parent >= 0 and not (around.main and not around.away):
-                around = marks[around.parent]
-            gain = m.text - m.free
+    hosts = [0] * len(marks)  # of each, the <article> around it that counts, or the page
+    for i, m in enumerate(marks[1:], 1):
+        over = marks[m.parent]
+        hosts[i] = m.parent if over.main and not over.away else hosts[m.parent]
+        if m.kind in (("firm", "soft") if elsewhere else ("firm", "soft", "reader")) and m.text - m.free >= SHORT:
+            around, gain = marks[hosts[i]], m.text - m.free
             if 2 * gain > around.text and gain > 3 * around.free:
                 m.kind = ""
     down()
@@ -129,7 +135,9 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     pieces: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int]] = []  # open elements, and the mark around each that is marked, else -1
+    stack: list[tuple[str, int, bool]] = []  # open elements, the mark around each that is marked, else -1, and if it is main
+    opened: Counter = Counter()  # how many of a name are open
+    ends: set[str] = set()  # what isn't found any more from here on: end tags of raw elements, ]]>, >
     marks = [Mark(-1, False, "")]
     mark = main = links = heads = low = 0
     at = 0
@@ -153,24 +161,37 @@ def blocks(page: str | None) -> list[Block]:
         """Ends the open elements from the k-th on; only the k-th is ``closed``, if any."""
         nonlocal mark, main, links, heads, low
         for i in range(len(stack) - 1, k - 1, -1):
-            tag, around = stack[i]
+            tag, around, is_main = stack[i]
+            opened[tag] -= 1
             if around >= 0:
                 if marks[mark].kind == "tag" and not (closed and i == k):
                     marks[mark].kind = "soft"
                 mark = around
-            main -= tag in MAIN
+            main -= is_main
             links -= tag == "a"
             heads -= tag in HEADS
         del stack[k:]
         low = min(low, len(stack))
 
+    def after(text: str, start: int) -> int:
+        """Where the next ``text`` ends, or -1; looked for once only if there is none."""
+        k = -1 if text in ends else page.find(text, start)
+        if k < 0:
+            ends.add(text)
+        return k + len(text) if k >= 0 else -1
+
     while m := TAG.search(page, at):
         add(page[at : m.start()])
         at, name = m.end(), (m[2] or "").lower()
         if not name:
+            if m[0] == "<![CDATA[":
+                to = after("]]>", at)
+                at = to if to >= 0 else max(at, after(">", at))
             continue
         if name in RAW and not m[1]:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            end = None if name in ends else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            if end is None:
+                ends.add(name)
             if name != "head" or end is None:
                 close() if name in BLOCK else None
                 at = end.end() if end else (len(page) if name in ("script", "style") else at)
@@ -178,7 +199,7 @@ def blocks(page: str | None) -> list[Block]:
         if name in BLOCK:
             close()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1 if opened[name] else -1, -1, -1):
                 if stack[k][0] == name:
                     leave(k, True)
                     break
@@ -187,14 +208,18 @@ def blocks(page: str | None) -> list[Block]:
                 leave(len(stack) - 1, True)
             said = " ".join(x or y or z for _, x, y, z in ATTRIBUTE.findall(m[3])) if m[3] else ""
             kind = "soft" if name == "form" else "tag" if name in AWAY and not (name == "header" and main) else ""
-            if not kind and said and name not in MAIN and name not in ("html", "body"):
-                kind = class_kind(said, name in HEADS or main > 0)
+            if not kind and said and name not in ("html", "body"):
+                kind = (class_kind if len(said) < 1000 else class_kind.__wrapped__)(said, name in HEADS or main > 0)
+            is_main = name in MAIN and kind != "reader"
+            if is_main:
+                kind = ""
             around = -1
-            if kind or name in MAIN:
-                marks.append(Mark(mark, name in MAIN, kind))
+            if kind or is_main:
+                marks.append(Mark(mark, is_main, kind))
                 around, mark = mark, len(marks) - 1
-            stack.append((name, around))
-            main += name in MAIN
+            stack.append((name, around, is_main))
+            opened[name] += 1
+            main += is_main
             links += name == "a"
             heads += name in HEADS
     add(page[at:])
