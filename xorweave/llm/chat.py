@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import small, stored, table
 
 ROLES = ("system", "user", "assistant")
 #: States: role r starts a turn (r), or goes on with it (r + 3).
@@ -37,6 +37,8 @@ LIST = re.compile(r"\s*(?:[-*\u2022]|\w{1,3}[.)])\s")
 KINDS, TRAITS = 6, 8
 #: Rows (messages) that the tables are counted on, at most, and characters of each.
 SAMPLE, SAMPLE_CHARS = 20_000, 20_000
+#: Messages of a conversation that they are counted on, at most.
+SAMPLE_TURNS = 200
 #: Messages per range, about.
 RANGE = 20_000
 #: How transcripts name the roles; each conversation has one of these styles. Names are of no known role.
@@ -116,10 +118,14 @@ def fit(conversations: list[list[tuple[str, str]]], styles: tuple = (*STYLES, NA
 
 
 def fit_on(conversations: DataFrame, styles: tuple = (*STYLES, NAMES), sample: int = SAMPLE) -> Model:
-    """Fit on ``sample`` messages at most, of the conversations with the smallest md5 of their id; longer texts
-    than SAMPLE_CHARS don't count."""
+    """Fit on ``sample`` messages at most: of conversations drawn by a hash of their id, as many as should
+    hold that many messages. Conversations of more than SAMPLE_TURNS messages and texts of more than
+    SAMPLE_CHARS characters don't count."""
     rows = conversations.select("conv_id", F.coalesce("turn", F.lit(0)).cast("long").alias("turn"), "role", "text").dropna().filter(F.length("text") <= SAMPLE_CHARS)
-    rows = rows.orderBy(F.md5(F.col("conv_id").cast("string").cast("binary")), "conv_id", "turn", "role", "text").limit(sample).collect()
+    drawn = F.pmod(F.xxhash64(F.col("conv_id").cast("string")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, rows.count())))
+    rows = stored(rows.filter(drawn), "sample")
+    short = rows.groupBy("conv_id").count().filter(F.col("count") <= SAMPLE_TURNS).select("conv_id")
+    rows = rows.join(small(short, sample), "conv_id", "left_semi").orderBy("conv_id", "turn", "role", "text").limit(sample).collect()
     by: dict[object, list[tuple[str, str]]] = {}
     for r in rows:
         by.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
