@@ -4,7 +4,8 @@ The hidden state of a line is its speaker (system, user, assistant) and whether
 turn or goes on with one. What is seen of a line is the kind of marker at its start (of each role, a
 marker of no known role, none, a blank line) and a few traits. The tables of the model are counted on
 a bounded sample of conversations, written out in each of STYLES. Viterbi finds the likeliest states;
-the markers of lines that start a turn are cut off, nothing else, and each turn is rendered the same way.
+the markers of known roles are cut off lines that start a turn, nothing else is (a name stays, as it may
+be text), and each turn is rendered the same way.
 
 ``format_chats`` takes a transcript per row. ``format_messages`` takes conversations as rows of
 messages, of any number: the sorted rows are dealt to ranges, and where a conversation runs over the
@@ -137,7 +138,7 @@ def pieces(line: str, state: int) -> tuple[str | None, str]:
     if state >= 3:
         return None, line
     m = MARKER.match(line)
-    return ROLES[state], line[m.end() :] if m else line
+    return ROLES[state], line[m.end() :] if m and not m["other"] else line
 
 
 @functools.cache

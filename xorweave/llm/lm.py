@@ -37,7 +37,7 @@ START = np.uint64(0x5354415254)
 END = np.uint64(0x454E44)
 BLOCK = 2000
 #: Texts that frequent contexts are found on, about; which ones are found decides where bigrams are counted, not how.
-SAMPLE = 10_000
+SAMPLE = 2_000
 STATS = ("total", "n1", "n2", "n3")
 
 
