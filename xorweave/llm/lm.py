@@ -139,6 +139,12 @@ def find(folder: str, kind: str, bits: int, route: np.ndarray, keys: np.ndarray,
     return out
 
 
+def find_words(folder: str, kind: str, bits: int, words: np.ndarray, fields: dict[str, type]) -> dict[str, np.ndarray]:
+    """``find`` for words or contexts, which repeat: each distinct one is looked up once."""
+    some, back = np.unique(words, return_inverse=True)
+    return {f: x[back] for f, x in find(folder, kind, bits, scramble(some), some, fields).items()}
+
+
 def discounts(n: list[int]) -> list[float]:
     """D1, D2, D3+ from the numbers of n-grams seen once, twice, three and four times; fixed ones where
     none are seen once, or none twice, and the estimates aren't defined."""
@@ -266,8 +272,8 @@ def score_block(model: dict, texts: list[str | None], hashes: dict) -> tuple[np.
     h = pair_hash(u, v)
     _, first, back = np.unique(h, return_index=True, return_inverse=True)
     du, dv, dh = u[first], v[first], h[first]
-    word = find(folder, "word", bits, scramble(dv), dv, {"c": np.int64, "cont": np.int64})
-    context = find(folder, "context", bits, scramble(du), du, dict.fromkeys(STATS, np.int64))
+    word = find_words(folder, "word", bits, dv, {"c": np.int64, "cont": np.int64})
+    context = find_words(folder, "context", bits, du, dict.fromkeys(STATS, np.int64))
     shared, at = among(du, model["hot"])
     for f in STATS:
         context[f][shared] = model["of_hot"][f][at[shared]]
