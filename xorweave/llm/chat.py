@@ -8,9 +8,10 @@ the markers of known roles are cut off lines that start a turn, nothing else is
 be text), and each turn is rendered the same way.
 
 ``format_chats`` takes a transcript per row. ``format_messages`` takes conversations as rows of
-messages, of any number: the sorted rows are dealt to ranges, and where a conversation runs over the
-end of a range, the best scores from each state to each state (a 6 x 6 table per range) carry the
-path over, so that the result doesn't depend on where the ranges end.
+messages, of any number. Conversations of up to RANGE messages are shuffled by their id, once. The
+sorted rows of longer ones are dealt to ranges, and where a conversation runs over the end of a range,
+the best scores from each state to each state (a 6 x 6 table per range) carry the path over, so that
+the result doesn't depend on where the ranges end.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ KINDS, TRAITS = 6, 8
 SAMPLE, SAMPLE_CHARS = 20_000, 20_000
 #: Messages of a conversation that they are counted on, at most.
 SAMPLE_TURNS = 200
-#: Messages per range, about.
+#: Messages per range, about; a conversation of more is dealt to ranges.
 RANGE = 20_000
 #: How transcripts name the roles; each conversation has one of these styles. Names are of no known role.
 STYLES = (
@@ -247,12 +248,20 @@ def format_messages(lines: DataFrame, model: Model, *, range_rows: int = RANGE)
     kind = lines.schema["conv_id"].dataType.simpleString()
     whole = kind in ("bigint", "int", "smallint", "tinyint")
     conv_id, id_type, own_type = F.col("conv_id").cast("bigint" if whole else "string"), "bigint" if whole else "string", pa.int64() if whole else pa.string()
-    own = stored(lines.select(*order).withColumn("conv_id", conv_id).withColumn("rep", F.monotonically_increasing_id()), "messages")
-    spark = own.sparkSession
-    parts = max(2 * spark.sparkContext.defaultParallelism, -(-own.count() // range_rows))
-    ranged = stored(own.repartitionByRange(parts, *order, "rep").withColumn("part", F.spark_partition_id()), "ranged")
-    cut = ranged.groupBy("conv_id").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi").select(F.col("conv_id").alias("cut_id"))
-    sort = lambda df: df.select("part", *order, "rep").repartition("part").sortWithinPartitions("part", *order, "rep")
+    own = lines.select(*order).withColumn("conv_id", conv_id)
+    sizes = stored(own.groupBy("conv_id").agg(F.count("*").alias("size")), "sizes")
+    ranges = lambda rows: max(2 * own.sparkSession.sparkContext.defaultParallelism, -(-rows // range_rows))
+    n_rows = sizes.agg(F.sum("size")).first()[0] or 0
+    long = sizes.filter(F.col("size") > range_rows).select(F.col("conv_id").alias("long_id"))
+    n_long = long.count()
+
+    def of(how: str) -> DataFrame:
+        """The rows of the long conversations, or of the others (left_anti); long ids are one per ``range_rows`` rows at most."""
+        return own.join(F.broadcast(long), F.col("conv_id").eqNullSafe(F.col("long_id")), how)
+
+    short = (of("left_anti") if n_long else own).withColumn("part", F.lit(0)).select("part", *order)
+    short = short.repartition(ranges(n_rows), "conv_id").sortWithinPartitions(*order)
+    result = f"conv_id {id_type}, turn bigint, role string, roles array<string>, text string, chunk string"
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (part, conv), rows in runs(batches):
@@ -263,12 +272,7 @@ def format_messages(lines: DataFrame, model: Model, *, range_rows: int = RANGE)
                 s = (s[:, :, None] + model.move).max(1) + model.emit[:, x]
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([conv], own_type), pa.array([np.concatenate([m, s]).ravel().tolist()])], ["part", "conv_id", "m"])
 
-    ids = F.broadcast(cut)  # at most one conversation per end of a range
-    met = ranged.join(ids, F.col("conv_id").eqNullSafe(F.col("cut_id")), "left_semi")
-    wanted = sort(met).mapInArrow(matrices, f"part int, conv_id {id_type}, m array<double>")
-    ends = joints([(r["part"], r["conv_id"], r["m"]) for r in wanted.collect()], model)  # two per range at most
-
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def decode(batches: Iterator[pa.RecordBatch], ends: dict) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for (part, conv), rows in runs(batches):
             before, end = ends.get((part, conv), (None, None))
@@ -300,7 +304,14 @@ def format_messages(lines: DataFrame, model: Model, *, range_rows: int = RANGE)
         kinds = (own_type, pa.int64(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["conv_id", "turn", "role", "roles", "text", "chunk"])
 
-    found = sort(ranged).mapInArrow(decode, f"conv_id {id_type}, turn bigint, role string, roles array<string>, text string, chunk string")
+    found = short.mapInArrow(lambda batches: decode(batches, {}), result)
+    if n_long:
+        rows = stored(of("left_semi").withColumn("rep", F.monotonically_increasing_id()), "messages")
+        ranged = stored(rows.repartitionByRange(ranges(rows.count()), *order, "rep").withColumn("part", F.spark_partition_id()), "ranged")
+        dealt = ranged.select("part", *order, "rep").repartition("part").sortWithinPartitions("part", *order, "rep")
+        met = dealt.mapInArrow(matrices, f"part int, conv_id {id_type}, m array<double>")
+        ends = joints([(r["part"], r["conv_id"], r["m"]) for r in met.collect()], model)  # one per range and one per long conversation at most
+        found = found.union(dealt.mapInArrow(lambda batches: decode(batches, ends), result))
     return found.withColumn("conv_id", F.col("conv_id").cast(kind))
 
 
