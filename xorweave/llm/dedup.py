@@ -160,7 +160,7 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, comp) of every node in ``links`` (u, v): comp is the smallest node reachable.
 
     Large-star then small-star, each a shuffle of the links with map-side minima, until the stars
-    stay as they are; every round is written to the shared folder.
+    stay as they are; every round is written to the shared folder. Raises after ``rounds`` rounds.
     """
     e = stored(links.select("u", "v").filter("u <> v").distinct(), "links")
     last = None
