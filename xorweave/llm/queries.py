@@ -1,6 +1,6 @@
 """The queries of this folder, and the SQL of those that SQL can express."""
 
-from . import ann, bpe, chat, dedup, lm, media, mixing, pages, quality, toxicity
+from . import ann, bpe, chat, dedup, lm, media, mixing, negatives, pages, quality, repair, shards, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_html": pages.op8_html,
     "op9_ann": ann.op9_ann,
     "op10_chat": chat.op10_chat,
+    "op11_repair": repair.op11_repair,
+    "op12_sharding": shards.op12_sharding,
+    "op13_negatives": negatives.op13_negatives,
 }
-SQL = {"op1_mixing": mixing.OP1_SQL, "op3_near_dedup": dedup.OP3_SQL}
+SQL = {"op1_mixing": mixing.OP1_SQL, "op3_near_dedup": dedup.OP3_SQL, "op13_negatives": negatives.OP13_SQL}
