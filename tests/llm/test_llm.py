@@ -138,11 +138,11 @@ def test_toxicity(spark, docs, none):
     assert toxicity.fit([], np.zeros(0))["w"] == {}
 
 
-def components(rows):
+def components(rows, k=4):
     sets = []
     for i, text in rows:
         w = WORD.findall(lower(text))
-        sets.append((i, {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if w else set()))
+        sets.append((i, {tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()))
     comp = list(range(len(sets)))
     for x, (_, s) in enumerate(sets):
         for y in range(x):
@@ -416,7 +416,7 @@ def test_pipeline(spark, docs, none):
     rows = [r for r, s in zip(rows, severe, strict=True) if s < toxicity.THRESHOLD]
     lines = quality.line_marginals(quality.fit_on(d, lab), [r[1] for r in rows])
     rows = [r for r, (x, k) in zip(rows, lines, strict=True) if (x * k).sum() / k.sum() >= 0.3]
-    low = {i: comp for i, _, comp in components([r[:2] for r in rows])}
+    low = {i: comp for i, _, comp in components([r[:2] for r in rows], 5)}
     rows = [r for r in rows if low[r[0]] == r[0]]
     c = duckdb.connect()
     documents = pd.DataFrame(rows, columns=d.columns)  # noqa: F841
@@ -578,7 +578,7 @@ def test_chat_held_back(spark):
         model = chat.fit_on(df, tuple(s for s in (*chat.STYLES, chat.NAMES) if s != style))
         out = chat.format_chats(chat.transcripts(df, (style,)), keep=("true_roles",), model=model).collect()
         right = sum(sum(a == b for a, b in zip(r.roles, r.true_roles, strict=False)) for r in out if len(r.roles) == len(r.true_roles))
-        assert right >= (0.97 if style in chat.STYLES else 0.0) * sum(len(r.true_roles) for r in out), style
+        assert right >= (0.97 if style in chat.STYLES else 0.5) * sum(len(r.true_roles) for r in out), style
     model = chat.fit_on(df)
     out = chat.format_chats(chat.transcripts(df, (chat.NAMES,)), keep=("true_roles",), model=model).collect()
     assert sum(r.roles == r.true_roles for r in out) >= 0.7 * len(out)
@@ -656,3 +656,69 @@ def test_pages_hostile(piece):
 
     low, high = seconds(4000), seconds(32_000)
     assert high < 24 * low + 0.2
+
+
+def test_chat_one_style(spark):
+    """What looks like a marker of another style is text, and stays."""
+    model = chat.fit_on(common.table(spark, "/root/testdata/sf0.01", "conversations"))
+    for text in ("Compare these\nA: red\nB: blue\nSystem: Linux", "ok\nModel: X1", "Q: why?\nA: so", "x\n[bot] y\n### Answer: z", "Me: one\nYou: two"):
+        turns = [("user", "Hello there."), ("assistant", "Yes."), ("user", text), ("assistant", "Fine.")]
+        for style in chat.STYLES[:1] + chat.STYLES[3:]:
+            got = chat.parse("\n".join(style[chat.ROLES.index(r)] + t for r, t in turns), model)
+            assert got == turns, (style, text, got)
+    assert chat.parse("Hello.\nHow are you?", model) == [("user", "Hello.\nHow are you?")]
+    assert chat.parse("Q: one?\nA: two.\nUser: not me", model) == [("user", "one?"), ("assistant", "two.\nUser: not me")]
+    names = chat.parse("Kim: Hello.\nLee: Yes.\nKim: So?\nLee: A: no.", model)
+    assert "".join(t for _, t in names) == "Kim: Hello.Lee: Yes.Kim: So?Lee: A: no."
+
+
+def test_op10_plain(spark):
+    """The query against a parse of each whole transcript."""
+    df = common.table(spark, SF, "conversations")
+    model = chat.fit_on(df)
+    plain = {r.conv_id: chat.parse(r.transcript, model) for r in chat.transcripts(df).collect()}
+    chunks = collections.defaultdict(list)
+    for r in chat.op10_chat(spark, SF).collect():
+        chunks[r.conv_id].append((r.turn, r.chunk, r.n_found, r.n_right, r.roles, r.role))
+        assert r.n_found == len(r.roles.split()) and r.n_right == (r.roles == r.role)
+    assert {c: "".join(x[1] for x in sorted(own)) + "\n<|end|>\n" for c, own in chunks.items()} == {c: chat.render(t) for c, t in plain.items()}
+    assert {c: " ".join(x[4] for x in sorted(own) if x[4]) for c, own in chunks.items()} == {c: " ".join(r for r, _ in t) for c, t in plain.items()}
+
+
+def test_pages_linked_items():
+    """Links of the article stay, menus at its ends don't."""
+    prose = "the cat is on the mat and it was in the house "
+    one, two = f"<p>{prose * 6}1</p>", f"<p>{prose * 6}2</p>"
+    a, b = (f"{prose * 6}{i}" for i in (1, 2))
+    links = "<ul><li><a href=x>First thing</a></li><li><a href=y>Second thing</a></li></ul>"
+    assert pages.main_text(f"<article>{one}{links}{two}</article>") == f"{a}\nFirst thing\nSecond thing\n{b}"
+    assert pages.main_text(f"<article>{one}<p><a href=x>{prose} is all one link.</a></p>{two}</article>") == f"{a}\n{prose}is all one link.\n{b}".replace("house is", "house is")
+    assert pages.main_text(f"<article>{one}{two}{links}</article>") == f"{a}\n{b}"
+    assert pages.main_text(f"<article>{one}<ul><li>Plain</li><li><a href=x>Linked</a></li></ul></article>") == f"{a}\nPlain\nLinked"
+    assert pages.main_text(f"<nav>{links}</nav><article>{one}</article>{links}") == a
+
+
+@pytest.mark.parametrize("name", ['class="user-comments"', 'class="commentlist"', 'id="gdpr-consent"', 'class="post-comments"', 'class="ad-slot"', 'class="newsletter-signup"', 'id="userComments"', 'class="x left-sidebar"'])
+def test_pages_names(name):
+    prose = "the cat is on the mat and it was in the house "
+    inner, want = f"<h1>A title</h1><p>{prose * 6}</p>", f"A title\n{prose * 6}".strip()
+    assert pages.main_text(f"<article>{inner}</article><div {name}><p>{prose * 7}</p></div>") == want
+    assert pages.main_text(f"<article>{inner}<div {name}><p>{prose * 5}</p></div></article>") == want
+
+
+@pytest.mark.parametrize("name", ['class="with-sidebar"', 'class="no-comments"', 'class="entry-header"', 'class="related-work"', 'class="comments-open"', 'class="page has-ads"'])
+def test_pages_names_that_say_nothing(name):
+    prose = "the cat is on the mat and it was in the house "
+    assert pages.main_text(f"<article><h1>A title</h1><p>{prose * 6}</p><div {name}><p>{prose * 7}</p></div></article>").count("\n") == 2
+
+
+def test_op8_query(spark):
+    """The query against the function on each page, and the article's own blocks of the given pages."""
+    given = pd.read_parquet(f"{SF}/pages.parquet")
+    got = {r.page_id: r for r in pages.op8_html(spark, SF).collect()}
+    assert len(got) == len(given)
+    for page in given.itertuples():
+        r = got[page.page_id]
+        assert (r.url, r.text, r.n_chars) == (page.url, pages.main_text(page.html), len(r.text))
+        article = re.sub(r"\s+", " ", " ".join(re.findall(r"<article.*?</article>", page.html, re.S)))
+        assert r.text and all(re.sub(r"[^\w]", "", x)[:8] in re.sub(r"<[^>]*>|[^\w]", "", __import__("html").unescape(article)) for x in r.text.split("\n"))

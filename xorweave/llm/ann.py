@@ -94,7 +94,10 @@ class Block:
 
     def best(self, rows: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest ids among ``rows``, each by its nearest vector; ties to the smaller id."""
-        dist = np.sqrt(((self.x[rows] - v) ** 2).sum(1))
+        total = np.zeros(len(rows))
+        for part in ((self.x[rows] - v) ** 2).T:  # one after the other, as SQL sums them
+            total += part
+        dist = np.sqrt(total)
         order = np.lexsort((self.ids[rows], dist))
         ids, dist = self.ids[rows][order], dist[order]
         keep = np.sort(np.unique(ids, return_index=True)[1])[:k]

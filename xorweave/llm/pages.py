@@ -4,7 +4,8 @@ Blocks are what stands between block-level tags. Blocks inside a navigation, hea
 form or similar element, or inside one whose class or id says so, are boilerplate from the start;
 an <article> or <main> inside starts afresh, and wrappers that hold most of the text don't count.
 Pass 1 calls all others good, bad, near-good or short by length, link density and stop-word density;
-to stand inside an <article> or <main> element is one more feature, which raises a block by a step.
+to stand inside an <article> or <main> element is one more feature, which raises a block by a step. Blocks of it
+that are nothing but a link count as short between its paragraphs and in lists that hold other items, else as bad.
 Pass 2 gives near-good and short blocks the label of the nearest decided block, nearest by the inner
 element that holds both and then by blocks; page edges and boilerplate elements don't count.
 """
@@ -35,13 +36,18 @@ BLOCK = frozenset(
 )
 #: Class, id or role words that mark boilerplate; those of FIRM say so of an <article> inside as well.
 UNWANTED = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer header menu nav navbar navigation newsletter notice pagination popup promo related respond share sharing sidebar social sponsor sponsored subscribe widget complementary contentinfo".split()
+    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer header menu nav navbar navigation newsletter notice pagination popup promo related respond share sharing sidebar social sponsor sponsored subscribe widget complementary contentinfo".split()
 )
 #: Those of reader comments.
-READER = frozenset("comment comments disqus respond".split())
-FIRM = frozenset("comment comments disqus respond related sidebar footer menu nav navbar navigation complementary contentinfo".split())
+READER = frozenset("comment comments commentlist disqus respond".split())
+FIRM = frozenset("comment comments commentlist disqus respond related sidebar footer menu nav navbar navigation complementary contentinfo".split())
 #: Words that may stand beside them in a hyphenated name (site-footer, cookie-box).
 BESIDE = frozenset("site page global main top bottom left right primary secondary inner outer box block bar list links area container wrapper wrap section item items message text form button buttons icons".split())
+#: Those that say so as the last part of any hyphenated name (user-comments, gdpr-consent), and as the first of any (ad-slot), unless
+#: a word of UNLESS stands in the name (with-sidebar, no-comments).
+LAST = frozenset("ad ads advert adverts advertisement breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus nav navbar navigation newsletter pagination popup promo sharing sidebar sponsored subscribe".split())
+FRONT = frozenset("ad ads advert adverts advertisement breadcrumb breadcrumbs comment comments commentlist cookie cookies disqus navbar newsletter pagination popup promo sponsor sponsored subscribe".split())
+UNLESS = frozenset("with without no not non has have is hide hidden open closed off free enabled disabled".split())
 #: Frequent function words of the languages of the pages.
 STOP = frozenset(
     "the of and to in a is that for it with as was on by this are be from or at an not have has der die das und in den von zu mit ist des dem ein eine nicht auch für auf als le la les des et de un une du est que qui dans en pour pas au sur ce el los las y del que se un una por con para es al lo como".split()
@@ -55,12 +61,12 @@ SHORT, LINKS, LONG, STOP_LOW, STOP_HIGH, LINKS_ONLY = 70, 0.33, 200, 0.15, 0.30,
 
 
 class Block:
-    """``low`` is the least depth of open elements since the block before; ``head``: a heading."""
+    """``low`` is the least depth of open elements since the block before; ``head``: a heading; ``item``: of a list."""
 
-    __slots__ = ("text", "linked", "mark", "away", "main", "low", "head", "label")
+    __slots__ = ("text", "linked", "mark", "away", "main", "low", "head", "item", "label")
 
-    def __init__(self, text: str, linked: int, mark: int, main: bool, low: int, head: bool) -> None:
-        self.text, self.linked, self.mark, self.away, self.main, self.low, self.head, self.label = text, linked, mark, False, main, low, head, ""
+    def __init__(self, text: str, linked: int, mark: int, main: bool, low: int, head: bool, item: bool) -> None:
+        self.text, self.linked, self.mark, self.away, self.main, self.low, self.head, self.item, self.label = text, linked, mark, False, main, low, head, item, ""
 
 
 class Mark:
@@ -75,13 +81,17 @@ class Mark:
 
 @functools.lru_cache(10_000)
 def class_kind(said: str, heading: bool) -> str:
-    """reader, firm, soft or empty: what the class, id and role say of an element. A name counts as a whole:
-    with-sidebar, entry-header and related-work say nothing. ``heading``: header and banner say nothing."""
+    """reader, firm, soft or empty: what the class, id and role say of an element. A name counts as a whole, or by its last
+    or first part: with-sidebar, entry-header and related-work say nothing. ``heading``: header and banner say nothing."""
     kind = ""
-    for name in said.lower().split():
+    for name in re.sub("(?<=[a-z])(?=[A-Z])", "-", said).lower().split():
         parts = [x for x in re.split("[-_]+", name) if x and not x.isdigit()]
         of = UNWANTED.intersection(parts)
-        if not of or heading and of <= {"header", "banner"} or not all(x in UNWANTED or x in BESIDE for x in parts):
+        if not of or heading and of <= {"header", "banner"}:
+            continue
+        if not all(x in UNWANTED or x in BESIDE for x in parts):
+            of = {x for x, said_by in ((parts[-1], LAST), (parts[0], FRONT)) if x in said_by and not UNLESS.intersection(parts)}
+        if not of:
             continue
         if of & READER:
             return "reader"
@@ -146,7 +156,7 @@ def blocks(page: str | None) -> list[Block]:
         nonlocal low
         text = SPACE.sub(" ", html.unescape("".join(pieces))).strip()
         if text:
-            out.append(Block(text, len(SPACE.sub(" ", html.unescape("".join(linked))).strip()), mark, main > 0, low, heads > 0))
+            out.append(Block(text, len(SPACE.sub(" ", html.unescape("".join(linked))).strip()), mark, main > 0, low, heads > 0, opened["li"] > 0))
             low = len(stack)
         pieces.clear()
         linked.clear()
@@ -235,7 +245,7 @@ def stop_share(text: str) -> float:
 
 
 def first_pass(b: Block, known: bool) -> str:
-    """good, bad, neargood or short. ``known``: the page's language is one that STOP covers; if not,
+    """good, bad, neargood, short, or linked: nothing but a link, in the main element. ``known``: the page's language is one that STOP covers; if not,
     stop-word density says nothing, and length and links decide alone."""
     n = len(b.text)
     density = b.linked / n
@@ -244,7 +254,7 @@ def first_pass(b: Block, known: bool) -> str:
     stop = stop_share(b.text) if n >= SHORT else 0.0
     if density > LINKS:
         # inside the main element headings, sentences and blocks with text of their own are left to their neighbours
-        return "short" if b.main and (b.head or density <= LINKS_ONLY or stop >= STOP_HIGH) else "bad"
+        return "bad" if not b.main else "short" if b.head or density <= LINKS_ONLY else "linked"
     if n < SHORT:
         return "short"
     if not known or stop >= STOP_HIGH:
@@ -275,11 +285,34 @@ def neighbours(found: list[Block], labels: list[str]) -> list[tuple]:
     return list(zip(scan(range(len(found)), 1), ahead, strict=True))
 
 
+def settle_linked(found: list[Block], labels: list[str]) -> None:
+    """What is nothing but a link in a main element is short where text of the element stands before and after it, or if half of its list
+    isn't of this kind; else it is bad."""
+    ends: dict[int, tuple[int, int]] = {}
+    for i, (b, own) in enumerate(zip(found, labels, strict=True)):
+        if own in ("good", "neargood") and b.main:
+            ends[b.mark] = (ends.get(b.mark, (i, i))[0], i)
+    of_list, at = {}, 0
+    while at < len(found):
+        end = at + 1
+        if found[at].item:
+            while end < len(found) and found[end].item and found[end].mark == found[at].mark:
+                end += 1
+            linked = sum(x == "linked" for x in labels[at:end])
+            of_list.update(dict.fromkeys(range(at, end), 2 * linked <= end - at))
+        at = end
+    for i, b in enumerate(found):
+        if labels[i] == "linked":
+            first, last = ends.get(b.mark, (i, i))
+            labels[i] = "short" if first < i < last or of_list.get(i) else "bad"
+
+
 def classify(found: list[Block]) -> None:
     """Sets the label of each block to good or bad."""
     prose = [b for b in found if not b.away and len(b.text) >= SHORT and b.linked <= LINKS * len(b.text)]
     known = any(stop_share(b.text) >= STOP_LOW for b in prose)
     decided = [first_pass(b, known) for b in found]
+    settle_linked(found, decided)
     labels = list(decided)
     for i, sides in enumerate(neighbours(found, decided)):
         if decided[i] == "neargood":

@@ -17,4 +17,4 @@ QUERIES = {
     "op12_sharding": shards.op12_sharding,
     "op13_negatives": negatives.op13_negatives,
 }
-SQL = {"op1_mixing": mixing.OP1_SQL, "op3_near_dedup": dedup.OP3_SQL, "op13_negatives": negatives.OP13_SQL}
+SQL = {"op1_mixing": mixing.OP1_SQL, "op3_near_dedup": dedup.OP3_SQL, "op9_ann": ann.OP9_SQL, "op13_negatives": negatives.OP13_SQL}
