@@ -43,8 +43,9 @@ def hex16(x: Column) -> Column:
     return F.lpad(F.lower(F.hex(x)), 16, "0")
 
 
-def bin64(x: Column) -> Column:
-    return F.lpad(F.bin(x), 64, "0")
+def vector_text(x: Column, n: int = 64) -> Column:
+    """The top n bits in brackets, a space for each zero."""
+    return F.concat(F.lit("["), F.translate(F.substring(F.lpad(F.bin(x), 64, "0"), 1, n), "0", " "), F.lit("]"))
 
 
 def trailing_zeros(x: Column) -> Column:
@@ -59,6 +60,18 @@ def matvec(x: Column, rows: list[int]) -> Column:
     return reduce(lambda a, b: a.bitwiseXOR(b), terms)
 
 
+def byte_tables(x: Column, rows: list[int]) -> Column:
+    """As ``matvec``, for up to 64 rows, by a table of 256 sums for each byte of x: eight lookups in place of 64 tests."""
+    found = []
+    for byte in range(0, len(rows), 8):
+        own = [0]
+        for row in rows[byte : byte + 8]:
+            own += [row ^ v for v in own]
+        table = F.expr(f"array({', '.join(f'{signed(v)}L' for v in own)})")
+        found.append(F.get(table, F.shiftrightunsigned(x, byte).bitwiseAND(F.lit(len(own) - 1)).cast("int")))
+    return reduce(lambda a, b: a.bitwiseXOR(b), found, F.lit(0).cast("long"))
+
+
 def parity_bits(x: Column, masks: list[int]) -> Column:
     """A number whose bit i is the parity of the bits of x under masks[i]: a linear map over GF(2)."""
     bits = [F.shiftleft(F.bit_count(x.bitwiseAND(F.lit(signed(m)))).bitwiseAND(F.lit(1)).cast("long"), i) for i, m in enumerate(masks)]

@@ -18,6 +18,8 @@ PREFIXES = (
 COINBASE_HEAD = "01000000010000000000000000000000000000000000000000000000000000000000000000ffffffff20020862062f503253482f04b8864e5008"
 COINBASE_TAIL = "072f736c7573682f000000000100f2052a010000001976a914d23fcdf86f7e756a64a7a9688ef9903327048ed988ac00000000"
 MARK = "deadbeef"
+#: What shares that are the same have in common.
+SHARE_KEY = ("extraNonce2", "extraNonce1", "nonce", "ntime", "kind")
 
 
 def big_endian(x: Column) -> Column:
@@ -53,6 +55,20 @@ def with_key(shares: DataFrame, *, strict: bool = False) -> DataFrame:
     return rows.filter("ok") if strict else rows
 
 
+#: What reject_reason says of a share.
+REASONS = ("ok", "kind", "null", "digest")
+
+
+def reject_reason(shares: DataFrame, zero_bits: int = 32) -> DataFrame:
+    """Adds h and reason: ``kind`` for another kind than 0..2, ``null`` if a number of its block is missing (h is null in both
+    cases), ``digest`` if the digest doesn't end with so many zero bits (a multiple of 4), else ``ok``."""
+    rows = shares.withColumn("digest", double_sha(block_hex()))
+    ends = F.right("digest", F.lit(zero_bits // 4)) == "0" * (zero_bits // 4)
+    known = F.coalesce(F.col("kind").between(0, 2), F.lit(False))
+    reason = F.when(~known, "kind").when(F.col("digest").isNull(), "null").when(~ends, "digest").otherwise("ok")
+    return rows.withColumn("h", key_of(F.col("digest"))).withColumn("reason", reason).drop("digest")
+
+
 def kind_stats(shares: DataFrame) -> DataFrame:
     """Per kind: number of shares, and the sum of cube roots of difficulty."""
     return shares.groupBy("kind").agg(F.count("*").alias("n"), F.round(F.sum(F.cbrt(F.col("difficulty").cast("double"))), 4).alias("work"))
@@ -69,12 +85,12 @@ def part_of(n: int) -> Column:
 
 def dedup_shares(shares: DataFrame) -> DataFrame:
     """One row per nonces, time and kind: the one of highest difficulty."""
-    return shares.groupBy("extraNonce2", "extraNonce1", "nonce", "ntime", "kind").agg(F.max("difficulty").alias("difficulty"))
+    return shares.groupBy(*SHARE_KEY).agg(F.max("difficulty").alias("difficulty"))
 
 
 def duplicate_shares(shares: DataFrame) -> DataFrame:
     """One row n_dups: shares beyond the first of their nonces, time and kind."""
-    n = shares.groupBy("extraNonce2", "extraNonce1", "nonce", "ntime", "kind").count()
+    n = shares.groupBy(*SHARE_KEY).count()
     return n.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("n_dups"))
 
 

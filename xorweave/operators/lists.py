@@ -48,10 +48,18 @@ def duplicate_count(keys: DataFrame) -> DataFrame:
     return keys.groupBy("h").count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("n_dups"))
 
 
-def repeats(keys: DataFrame, order: str) -> DataFrame:
-    """Rows after the first of their key, by ``order``: h, the column, and rank (2 for the second)."""
-    nth = F.row_number().over(Window.partitionBy("h").orderBy(order))
-    return keys.select("h", order).withColumn("nth", nth).filter("nth > 1")
+def repeats(keys: DataFrame, order: str, ranges: int = 64) -> DataFrame:
+    """Rows after the first of their key, by ``order``: h, the column, and rank (2 for the second).
+
+    Ranks are counted within ``ranges`` ranges of each key, cut by the column between its least and greatest value, and
+    what the ranges before hold is added; so a key that repeats often is ranked by many tasks. ``order`` is a whole number without nulls."""
+    least = keys.groupBy("h").agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    span = (F.col("high") - F.col("low")).cast("double") + 1
+    own = keys.select("h", order).join(least, "h").withColumn("r", F.floor((F.col(order) - F.col("low")) / span * ranges))
+    counts = own.groupBy("h", "r").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("h").orderBy("r")) - F.col("n")).drop("n")
+    nth = F.row_number().over(Window.partitionBy("h", "r").orderBy(order)) + F.col("before")
+    return own.join(before, ["h", "r"]).select("h", order, nth.cast("int").alias("nth")).filter("nth > 1")
 
 
 def bucket_counts(keys: DataFrame, k: int, width: int = 64) -> DataFrame:

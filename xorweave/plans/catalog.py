@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits, shares
-from ..operators import join, lists, match
+from ..operators import basis, join, lists, match
+from ..sources import binary, stores
+from ..sources.shared import new_path, stored
 from ..streaming import ledger
 
 BITS = 26
@@ -59,24 +61,23 @@ def repeated_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Stand-in solutions (a, b), and the shares that they need, by permutation 3: a from keys of kind 2, b from
-    those of kind 0, of one order, masked to 16 bits, so that many of them have no third share."""
-    own = shares.with_key(repeated_shares(spark, sf_dir)).select("kind", "difficulty", "extraNonce2", "extraNonce1", "nonce", "ntime", F.col("h").bitwiseAND(F.lit(0xFFFF)).alias("h"))
+    """Stand-in solutions (a, b), and the shares that they may need: a from keys of kind 2, b from those of kind 0, of one
+    order, masked to 16 bits, so that many of them have no third share. Shares are hashed once, and written."""
+    keyed = shares.with_key(repeated_shares(spark, sf_dir))
+    own = stored(keyed.select("kind", "difficulty", "extraNonce2", "extraNonce1", "nonce", "ntime", F.col("h").bitwiseAND(F.lit(0xFFFF)).alias("h")), "shares")
     a, b = own.filter("kind = 2").select("nonce", F.col("h").alias("a")), own.filter("kind = 0").select("nonce", F.col("h").alias("b"))
-    found = a.join(b, "nonce").select("a", "b").distinct()
-    return found, match.matched_shares(found, own, 3)
+    return a.join(b, "nonce").select("a", "b").distinct(), own
 
 
 def share_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, own = matched(spark, sf_dir)
-    return match.share_preimages(found, own, ["nonce", "ntime", "kind", "difficulty", "extraNonce2", "extraNonce1"])
+    return match.share_preimages(*matched(spark, sf_dir), 3, ["nonce", "ntime", "kind", "difficulty", "extraNonce2", "extraNonce1"])
 
 
 def ledger_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A ledger in which events are records of the task user_id, so that tasks are recorded many times."""
     pair = lambda i: F.struct((F.col("event_id") * 7 + i).alias("a"), (F.col("user_id") * 3).alias("b"))
     found = F.transform(F.slice(F.array(*[F.lit(i).cast("long") for i in range(4)]), 1, (F.col("event_id") % 4).cast("int")), pair)
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").cast("double").alias("start_time"), F.round(F.abs("value"), 4).alias("duration"), F.lit("x").alias("hostname"), found.alias("solutions"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").cast("double").alias("start_time"), F.round(F.abs("value"), 4).alias("duration"), F.concat(F.lit("h"), (F.col("event_id") % 3).cast("string")).alias("hostname"), found.alias("solutions"), (F.col("event_id") % 1000).alias("pairs"))
 
 
 def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +89,70 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("a_id", "b_id", "c_id", sha("A", "a_id").alias("d_a"), sha("B", "b_id").alias("d_b"), sha("C", "c_id").alias("d_c"))
 
 
+TASK_BITS = 3
+
+
+def sorted_list(spark: SparkSession, sf_dir: str, keys_: DataFrame) -> str:
+    """A list's keys as a sorted folder in the shared folder."""
+    binary.register(spark)
+    path = new_path(spark, "sorted")
+    stores.save_sorted(keys_, path)
+    return path
+
+
+def resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of a join by tasks that was broken off after one batch and resumed; and whose first batch was then appended again."""
+    binary.register(spark)
+    saved = tuple(stores.save_list(x, new_path(spark, "list"), TASK_BITS, BITS) for x in three(spark, sf_dir))
+    path = new_path(spark, "ledger")
+    ledger.run_pending(spark, saved, TASK_BITS, path, batch=40, batches=1)
+    again = stored(spark.read.schema(ledger.SCHEMA).parquet(path), "again")
+    ledger.run_pending(spark, saved, TASK_BITS, path, batch=40)
+    ledger.append(again.withColumn("start_time", F.col("start_time") + 1), path)
+    return ledger.read(spark, path)
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals by host of a stream over records that come in three times, the last before the first, over a restart."""
+    path, target, checkpoint = (new_path(spark, x) for x in ("records", "changes", "state"))
+    rows = ledger_rows(spark, sf_dir).select("task_id", "start_time", "duration", "hostname", "solutions", "pairs").withColumn("task_id", F.col("task_id").cast("int"))
+    for part in ("start_time % 2 = 1", "start_time % 4 = 0", "start_time % 2 = 0"):
+        ledger.append(rows.filter(part), path)
+        ledger.follow(spark, path, target, checkpoint)
+    return ledger.followed(spark, target)
+
+
+def reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(reason, n) of shares that are written with a folder for each reason; the counts are those of the write."""
+    path = new_path(spark, "rejects")
+    seen = stores.write_accounted(repeated_shares(spark, sf_dir), path, 4)
+    n = spark.read.parquet(path).groupBy("reason").agg(F.count("*").alias("n"))
+    return n.withColumn("counted", F.element_at(F.create_map(*[F.lit(x) for pair in seen.items() for x in pair]), F.col("reason")).cast("long"))
+
+
+def purged_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "bucketed")
+    return stores.purged_by_part(stores.bucket_shares(repeated_shares(spark, sf_dir), path.rpartition("/")[2].replace("-", "_"), path, 16))
+
+
+def images(spark: SparkSession, sf_dir: str, tag: str) -> DataFrame:
+    """(id, h): keys sent to 64 bits by MATRIX, so that they span 26 dimensions of 64."""
+    return keys(spark, sf_dir, tag).select("id", bits.byte_tables(F.col("h"), MATRIX).alias("h"))
+
+
+def identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(bit, product): M times its inverse, for each unit vector."""
+    change = basis.basis_change(basis.basis(images(spark, sf_dir, "B")))
+    rows = [r["m"] for r in change.orderBy("bit").collect()]  # 64 numbers
+    return change.select("bit", bits.byte_tables(F.col("m_inv"), rows).alias("product"))
+
+
+def spanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, inside): the keys of A that are sums of keys of B of the first ten ids."""
+    own = basis.vectors(basis.basis(keys(spark, sf_dir, "B").filter("id <= 10")))
+    return keys(spark, sf_dir, "A").select("id", basis.in_span(F.col("h"), own).alias("inside"))
+
+
 def h_sql(tag: str, ident: str, width: int = BITS) -> str:
     return f"(CAST('0x' || substr(sha256('{tag}' || {ident}), 1, 15) AS BIGINT) & {(1 << width) - 1})"
 
@@ -143,6 +208,26 @@ def xor_word_sql(at: int) -> str:
     return f"xor(xor({word('A', 'a_id')}, {word('B', 'b_id')}), {word('C', 'c_id')})"
 
 
+TABLE_ROWS = [(0x9E3779B97F4A7C15 * (2 * i + 1) ^ 0x0123456789ABCDEF << (i % 9)) & (2**64 - 1) for i in range(64)]
+TABLES_SQL = "0::BIGINT"
+for _i, _row in enumerate(TABLE_ROWS):
+    TABLES_SQL = f"xor({TABLES_SQL}, CASE WHEN {'h < 0' if _i == 63 else f'(h >> {_i}) & 1 = 1'} THEN ({bits.signed(_row)})::BIGINT ELSE 0 END)"
+
+
+def echelon_sql(source: str) -> str:
+    """CTEs up to ``basis`` (pivot, vector), the reduced echelon basis of the h of a query: bit by bit from the top, one key that has it is
+    taken off the others; then each vector off those above."""
+    out = [f"k64 AS MATERIALIZED (SELECT DISTINCT h FROM ({source}))"]
+    has = lambda x, i: f"{x} < 0" if i == 63 else f"({x} >> {i}) & 1 = 1"
+    for i in range(63, -1, -1):
+        out.append(f"p{i} AS MATERIALIZED (SELECT max(h) AS p FROM k{i + 1} WHERE {has('h', i)})")
+        out.append(f"k{i} AS MATERIALIZED (SELECT DISTINCT CASE WHEN {has('h', i)} THEN xor(h, p) ELSE h END AS h FROM k{i + 1}, p{i})")
+    out.append("v64 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT {i} AS top, p AS vector FROM p{i} WHERE p IS NOT NULL" for i in range(64)) + ")")
+    for i in range(63, -1, -1):
+        out.append(f"v{i} AS MATERIALIZED (SELECT top, CASE WHEN top > {i} AND {has('vector', i)} THEN xor(vector, coalesce((SELECT vector FROM v{i + 1} WHERE top = {i}), 0)) ELSE vector END AS vector FROM v{i + 1})")
+    return "WITH " + ", ".join(out) + ", basis AS (SELECT CAST(top AS INTEGER) AS \"pivot\", vector FROM v0)"
+
+
 UNION_SQL = " UNION ALL ".join(f"SELECT h FROM {list_sql(t)}" for t in "ABC")
 
 
@@ -187,6 +272,22 @@ _ALL: dict[str, tuple] = {
         f"SELECT id, h >> 51 AS top, h & 127 AS low, h & ({bits.left_mask(12)})::BIGINT AS high FROM {list_sql('C', 60)}",
     ),
     "gf2_matvec": q(lambda s, d: keys(s, d, "C").select("id", bits.matvec(F.col("h"), MATRIX).alias("image")), f"SELECT id, {MATVEC_SQL} AS image FROM {list_sql('C')}"),
+    "gf2_tables": q(lambda s, d: mixed(keys(s, d, "C")).select("id", bits.byte_tables(F.col("h"), TABLE_ROWS).alias("image")), f"SELECT id, {TABLES_SQL} AS image FROM (SELECT id, xor(h << 37, h) AS h FROM {list_sql('C')})"),
+    "gf2_basis": q(lambda s, d: basis.basis(images(s, d, "A")), f"{echelon_sql(f'SELECT {MATVEC_SQL} AS h FROM {list_sql("A")}')} SELECT * FROM basis"),
+    "gf2_rank": q(lambda s, d: basis.rank(basis.basis(keys(s, d, "B").filter("id <= 20"))), f"{echelon_sql(f'SELECT h FROM {list_sql("B")} WHERE id <= 20')} SELECT count(*) AS rank FROM basis"),
+    "gf2_change": q(identity, "SELECT CAST(range AS INTEGER) AS bit, CASE WHEN range = 63 THEN -9223372036854775808 ELSE 1::BIGINT << range END AS product FROM range(64)"),
+    "gf2_span": q(
+        spanned,
+        f"WITH RECURSIVE g AS (SELECT h, row_number() OVER (ORDER BY id) AS n FROM {list_sql('B')} WHERE id <= 10), sums AS (SELECT 0::BIGINT AS s, 0::BIGINT AS n UNION ALL SELECT xor(s, w * h), g.n FROM sums JOIN g ON g.n = sums.n + 1, (SELECT unnest([0, 1])::BIGINT AS w)) SELECT id, h IN (SELECT s FROM sums) AS inside FROM {list_sql('A')}",
+    ),
+    "dup_positions": q(
+        lambda s, d: stores.duplicate_positions(s, sorted_list(s, d, mixed(lists.masked(keys(s, d, "A"), 26).withColumn("h", F.shiftright("h", 10))))).select("pos", bits.hex16(F.col("h")).alias("key_hex")),
+        f"SELECT pos, lpad(lower(printf('%x', h)), 16, '0') AS key_hex FROM (SELECT h, row_number() OVER w - 1 AS pos, lag(h) OVER w AS before FROM (SELECT xor((h >> 10) << 37, h >> 10) AS h FROM {list_sql('A')}) WINDOW w AS (ORDER BY h < 0, h)) WHERE h = before",
+    ),
+    "probed_index": q(lambda s, d: stores.probed_index(s, sorted_list(s, d, keys(s, d, "A")), 6, BITS), f"SELECT p.range AS prefix, CAST((SELECT count(*) FROM {list_sql('A')} WHERE h >> 20 < p.range) AS BIGINT) AS off FROM range(65) p"),
+    "keys_between": q(
+        lambda s, d: s.read.format("xor_keys").load(sorted_list(s, d, keys(s, d, "A"))).filter("h >= 1000000 AND h < 9000000"), f"SELECT h FROM {list_sql('A')} WHERE h >= 1000000 AND h < 9000000"
+    ),
     "pair_count": q(
         lambda s, d: join.tested_pairs(keys(s, d, "A"), keys(s, d, "B"), 4, BITS),
         f"SELECT u.range AS u, CAST(sum(na * nb) AS BIGINT) AS pairs FROM range(16) u, (SELECT h >> 22 AS pa, count(*) AS na FROM {list_sql('A')} GROUP BY 1) a, (SELECT h >> 22 AS pb, count(*) AS nb FROM {list_sql('B')} GROUP BY 1) b WHERE pb = xor(pa, u.range) GROUP BY 1",
@@ -195,6 +296,13 @@ _ALL: dict[str, tuple] = {
     "xor3_prefix": q(lambda s, d: join.prefix(*three(s, d), 4, BITS), join_sql()),
     "xor3_prefix_20": q(lambda s, d: join.prefix(*[lists.masked(x, 20) for x in three(s, d)], 4, 20), join_sql(20)),
     "xor3_slice": q(lambda s, d: join.by_slice(*three(s, d), BITS), join_sql()),
+    "xor3_stored": q(lambda s, d: join.xor3_join(*three(s, d), strategy="stored", width=BITS, k=TASK_BITS), join_sql()),
+    "xor3_resumed": q(lambda s, d: ledger.solutions(resumed(s, d)).select("a", "b"), join_sql()),
+    "task_pairs": q(
+        lambda s, d: ledger.task_pairs(resumed(s, d)).select("task_id", "pairs"),
+        f"WITH na AS (SELECT h >> {BITS - TASK_BITS} AS p, count(*) AS n FROM {list_sql('A')} GROUP BY 1), nb AS (SELECT h >> {BITS - TASK_BITS} AS p, count(*) AS n FROM {list_sql('B')} GROUP BY 1) SELECT CAST(v * 8 + u AS INTEGER) AS task_id, CAST(coalesce(na.n * nb.n, 0) AS BIGINT) AS pairs FROM range(8) x(v) CROSS JOIN range(8) y(u) LEFT JOIN na ON na.p = v LEFT JOIN nb ON nb.p = xor(u, v)",
+    ),
+    "solution_lines": q(lambda s, d: solutions(s, d).select(match.solution_text().alias("line")), f"SELECT printf('%016x ^ %016x ... --> 0', a, b) AS line FROM ({join_sql()})"),
     "xor3_auto": q(lambda s, d: join.xor3_join(*three(s, d), width=BITS), join_sql()),
     "preimages": q(lambda s, d: match.preimages(solutions(s, d), *three(s, d)), PREIMAGE_SQL),
     "solution_keys": q(lambda s, d: match.solution_keys(solutions(s, d)), f"WITH s AS ({join_sql()}) SELECT 0 AS role, a AS h FROM s UNION SELECT 1, b FROM s UNION SELECT 2, xor(a, b) FROM s"),
@@ -204,12 +312,21 @@ _ALL: dict[str, tuple] = {
 SELECT *, CAST(score + 96 AS INTEGER) AS width FROM (SELECT a_id, b_id, c_id, CAST(CASE WHEN w = 0 THEN 32 ELSE bit_count(xor(w - 1, w)) - 1 END AS INTEGER) AS score FROM x WHERE six = 0) ORDER BY score DESC, a_id LIMIT 1""",
     ),
     "share_purge": q(lambda s, d: shares.dedup_shares(repeated_shares(s, d)), f'SELECT "extraNonce2", "extraNonce1", nonce, ntime, kind, max(difficulty) AS difficulty FROM {REPEATED_SQL} GROUP BY ALL'),
+    "share_purge_by_part": q(purged_by_part, f'SELECT "extraNonce2", "extraNonce1", nonce, ntime, kind, max(difficulty) AS difficulty FROM {REPEATED_SQL} GROUP BY ALL'),
+    "reject_counts": q(
+        reject_counts,
+        f"SELECT reason, count(*) AS n, count(*) AS counted FROM (SELECT CASE WHEN kind NOT BETWEEN 0 AND 2 THEN 'kind' WHEN digest IS NULL THEN 'null' WHEN substr(digest, 64, 1) <> '0' THEN 'digest' ELSE 'ok' END AS reason FROM {DIGEST_SQL.replace(SHARES_SQL, REPEATED_SQL)}) GROUP BY reason",
+    ),
+    "share_lines": q(
+        lambda s, d: share_rows(s, d).select("nonce", "ntime", shares.share_text().alias("line")), f"""SELECT nonce, ntime, printf('(%d) -- %08x | %08x | %08x | %08x', kind, "extraNonce2", "extraNonce1", nonce, ntime) AS line FROM {SHARES_SQL}"""
+    ),
+    "vector_lines": q(lambda s, d: keys(s, d, "C").select("id", bits.vector_text(F.shiftleft("h", 38), BITS).alias("line")), f"SELECT id, '[' || translate(lpad(bin(h), {BITS}, '0'), '0', ' ') || ']' AS line FROM {list_sql('C')}"),
     "share_dup_count": q(lambda s, d: shares.duplicate_shares(repeated_shares(s, d)), f'SELECT count(*) - count(DISTINCT ("extraNonce2", "extraNonce1", nonce, ntime, kind)) AS n_dups FROM {REPEATED_SQL}'),
     "share_kinds": q(
         lambda s, d: shares.with_key(repeated_shares(s, d)).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.substring("digest", 64, 1) == "0").alias("ends")),
         f"SELECT kind, count(*) AS n, count(*) FILTER (substr(digest, 64, 1) = '0') AS ends FROM {DIGEST_SQL.replace(SHARES_SQL, REPEATED_SQL)} WHERE kind BETWEEN 0 AND 2 GROUP BY kind",
     ),
-    "role_matches": q(lambda s, d: match.role_matches(matched(s, d)[1]), f"{MATCH_SQL} SELECT role, count(*) AS n FROM matched GROUP BY role"),
+    "role_matches": q(lambda s, d: match.role_matches(match.matched_shares(*matched(s, d), 3)), f"{MATCH_SQL} SELECT role, count(*) AS n FROM matched GROUP BY role"),
     "share_preimages": q(
         lambda s, d: share_solutions(s, d).select("a", "b", "c", *[F.col(f"share_{x}.{f}").alias(f"{x}_{f}") for x in "abc" for f in ("nonce", "ntime")]),
         f"{MATCH_SQL}, one AS (SELECT role, h, min((nonce, ntime)) AS r FROM matched GROUP BY role, h) SELECT s.a, s.b, xor(s.a, s.b) AS c, {', '.join(f'{x}.r[1] AS {x}_nonce, {x}.r[2] AS {x}_ntime' for x in 'abc')} FROM s JOIN one a ON a.role = 0 AND a.h = s.a JOIN one b ON b.role = 1 AND b.h = s.b JOIN one c ON c.role = 2 AND c.h = xor(s.a, s.b)",
@@ -227,6 +344,10 @@ SELECT a, b, r[3] AS kind, printf('Share("%08x", "%08x", "%08x", kind=%d, D=%d,
         lambda s, d: ledger.solutions(ledger.first_records(ledger_rows(s, d))),
         "SELECT e * 7 + i AS a, user_id * 3 AS b, xor(e * 7 + i, user_id * 3) AS c FROM (SELECT user_id, min(event_id) AS e FROM events GROUP BY user_id), range(4) r(i) WHERE i < e % 4",
     ),
+    "ledger_stream": q(
+        streamed,
+        "SELECT 'h' || (e % 3) AS hostname, count(*) AS tasks, CAST(sum(e % 4) AS BIGINT) AS solutions, CAST(sum(e % 1000) AS BIGINT) AS pairs, round(sum(sec), 4) AS seconds FROM (SELECT user_id, min(event_id) AS e, arg_min(round(abs(value), 4), event_id) AS sec FROM events GROUP BY user_id) GROUP BY 1",
+    ),
     "pending_tasks": q(lambda s, d: ledger.pending(*event_ledger(s, d)), "SELECT event_id AS task_id FROM events WHERE event_type <> 'purchase' OR event_type IS NULL"),
     "task_states": q(
         lambda s, d: ledger.states(*event_ledger(s, d)).select("state", "n", F.round("cpu_seconds", 2).alias("cpu_seconds")),
