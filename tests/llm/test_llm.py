@@ -189,6 +189,26 @@ def test_dedup_chain(spark):
     assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=repr) == components(rows)
 
 
+def test_dedup_rest(spark, monkeypatch):
+    """Groups that no hub connects, in one block and in many: one large group of pairs on either side of 0.8."""
+    r = np.random.default_rng(4)
+    base = [f"b{i}" for i in range(300)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for j in r.choice(300, int(r.integers(2, 9)), replace=False):
+            words[j] = f"x{i}_{j}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, rows[i][1]) for i in range(10)] + [(200, " ".join(base[:150])), (201, "alone " * 50)]
+    df, want = spark.createDataFrame(rows, "doc_id long, text string"), components(rows)
+    for members in (1000, 20):
+        monkeypatch.setattr(dedup, "MEMBERS", members)
+        for rounds in (0, 2):
+            got = dedup.near_duplicates(df, hub_rounds=rounds).collect()
+            assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got), key=repr) == want, (members, rounds)
+    assert 1 < len({c for *_, c in want}) < 80
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 55), (70, 70)]
     got = {r.node: r.comp for r in dedup.components(spark.createDataFrame(links, "u long, v long")).collect()}
@@ -593,20 +613,12 @@ def test_chat_held_back(spark):
         assert rest == ""
 
 
-@pytest.mark.parametrize("quarter", [4, 10**6])
-def test_lm_brute(spark, monkeypatch, quarter):
-    """Scores against modified Kneser-Ney written out from its definition, with few and with all contexts held frequent."""
-    if quarter > 4:
-        monkeypatch.setattr(lm, "frequent", lambda texts, n, real=lm.frequent: real(texts, n * quarter))
-    r = np.random.default_rng(9)
-    texts = [" ".join(r.choice([f"v{i}" for i in range(40)], int(r.integers(0, 60)), p=np.arange(40, 0, -1) / 820)) for _ in range(80)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    train, held = docs.filter("doc_id % 7 <> 2"), [*enumerate(texts), (100, "v0 v1 unseen v1 V2"), (101, None)]
+def kneser_ney(train):
+    """P(v | u) of interpolated modified Kneser-Ney over lists of words, by definition."""
     n = collections.Counter()
-    for i, t in enumerate(texts):
-        if i % 7 != 2:
-            w = ["<s>", *t.split(), "</s>"]
-            n.update(zip(w, w[1:], strict=False))
+    for words in train:
+        w = ["<s>", *words, "</s>"]
+        n.update(zip(w, w[1:], strict=False))
     cont, of_u = collections.Counter(v for _, v in n), collections.defaultdict(list)
     for (u, _), k in n.items():
         of_u[u].append(k)
@@ -622,13 +634,27 @@ def test_lm_brute(spark, monkeypatch, quarter):
     d2, d1 = discount(n.values()), discount(cont.values())
     spread = sum(d1[min(k, 3)] for k in cont.values()) / len(n)
     low = lambda v: (cont[v] - d1[min(cont[v], 3)] if cont[v] else 0) / len(n) + spread / (len(cont) + 1)
+    left = {u: (sum(own), sum(d2[min(k, 3)] for k in own)) for u, own in of_u.items()}
 
     def p(u, v):
-        own = of_u[u]
-        if not own:
+        if u not in left:
             return low(v)
-        return ((n[u, v] - d2[min(n[u, v], 3)]) if n[u, v] else 0) / sum(own) + sum(d2[min(k, 3)] for k in own) / sum(own) * low(v)
+        total, back = left[u]
+        return ((n[u, v] - d2[min(n[u, v], 3)]) if n[u, v] else 0) / total + back / total * low(v)
+
+    return p
 
+
+@pytest.mark.parametrize("quarter", [4, 10**6])
+def test_lm_brute(spark, monkeypatch, quarter):
+    """Scores against modified Kneser-Ney written out from its definition, with few and with all contexts held frequent."""
+    if quarter > 4:
+        monkeypatch.setattr(lm, "frequent", lambda texts, n, real=lm.frequent: real(texts, n * quarter))
+    r = np.random.default_rng(9)
+    texts = [" ".join(r.choice([f"v{i}" for i in range(40)], int(r.integers(0, 60)), p=np.arange(40, 0, -1) / 820)) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    train, held = docs.filter("doc_id % 7 <> 2"), [*enumerate(texts), (100, "v0 v1 unseen v1 V2"), (101, None)]
+    p = kneser_ney([t.split() for i, t in enumerate(texts) if i % 7 != 2])
     model = lm.train(train)
     got = {x.doc_id: x.score for x in lm.score(spark.createDataFrame(held, "doc_id long, text string"), model).collect()}
     for i, t in held:
@@ -722,3 +748,96 @@ def test_op8_query(spark):
         assert (r.url, r.text, r.n_chars) == (page.url, pages.main_text(page.html), len(r.text))
         article = re.sub(r"\s+", " ", " ".join(re.findall(r"<article.*?</article>", page.html, re.S)))
         assert r.text and all(re.sub(r"[^\w]", "", x)[:8] in re.sub(r"<[^>]*>|[^\w]", "", __import__("html").unescape(article)) for x in r.text.split("\n"))
+
+
+def test_op7_query(spark):
+    """The query against counts and probabilities by definition, over the whole table."""
+    rows = [(r.doc_id, [*WORD.findall(lower(r.text)), "</s>"]) for r in common.table(spark, SF, "documents").collect()]
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
+    train = [w for i, w in rows if not held[i]]
+    c = collections.Counter(x for w in train for x in w)
+    n, v, p = sum(c.values()), len(c), kneser_ney([w[:-1] for w in train])
+    got = {r.doc_id: r for r in lm.op7_lm_score(spark, SF).collect()}
+    assert len(got) == len(rows) and any(held.values())
+    for i, w in rows:
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w), sum(x in c for x in w), n)
+        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
+        assert r.score == pytest.approx(sum(math.log10(p(*x)) for x in zip(["<s>", *w], w, strict=False)), rel=1e-9)
+
+
+def test_op2_query(spark):
+    """The query against sums of probabilities, line by line, document by document."""
+    d, lab = (common.table(spark, SF, t) for t in ("documents", "labels"))
+    model = quality.fit_on(d, lab)
+    got = {r.doc_id: r for r in quality.op2_quality(spark, SF).collect()}
+    rows = d.collect()
+    assert len(got) == len(rows)
+    move = [[math.exp(model["trans"][a][b]) for b in (0, 1)] for a in (0, 1)]
+    for row in rows:
+        x, weight = quality.features(row.text)
+        show = [(1.0, math.exp(float(f @ model["w"]))) for f in x]
+        ahead, back = [show[0]], [(1.0, 1.0)]
+        scaled = lambda pair: tuple(v / sum(pair) for v in pair)
+        for e in show[1:]:
+            ahead.append(scaled(tuple(e[b] * sum(ahead[-1][a] * move[a][b] for a in (0, 1)) for b in (0, 1))))
+        for e in reversed(show[1:]):
+            back.append(scaled(tuple(sum(move[a][b] * e[b] * back[-1][b] for b in (0, 1)) for a in (0, 1))))
+        good = [f[1] * g[1] / (f[0] * g[0] + f[1] * g[1]) for f, g in zip(ahead, reversed(back), strict=True)]
+        lines = (row.text or "").split("\n")
+        score = sum(g * (len(t) + 1) for g, t in zip(good, lines, strict=True)) / sum(len(t) + 1 for t in lines)
+        r = got[row.doc_id]
+        assert r.score == pytest.approx(score, abs=1e-9) and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(row.doc_id).encode()) % 5 == 0)
+
+
+def test_op4_query(spark):
+    """The query against the sum over thresholds, document by document."""
+    d, lab = (common.table(spark, SF, t) for t in ("documents", "labels"))
+    model = toxicity.fit_on(d, lab)
+    got = {r.doc_id: r for r in toxicity.op4_toxicity(spark, SF).collect()}
+    rows = d.collect()
+    assert len(got) == len(rows) and model["w"]
+    for row in rows:
+        seen = collections.Counter()
+        for word in re.findall(r"\w+", (row.text or "").lower()):
+            seen.update([word, *(word[:n] + "-" for n in (3, 4, 5, 6) if len(word) > n)])
+        z = sum(model["w"][x] * math.log1p(n) for x, n in seen.items() if x in model["w"])
+        above = [1 / (1 + math.exp(-max(-40.0, min(40.0, z - t)))) for t in model["theta"]]
+        r = got[row.doc_id]
+        assert r.severity == pytest.approx(sum(above), abs=1e-9) and r.grade == math.floor(r.severity + 0.5) and r.toxic == (above[0] >= toxicity.THRESHOLD)
+
+
+def test_op5_query(spark):
+    """The query against the tiktoken library."""
+    import tiktoken
+
+    e = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=bpe.read_ranks(bpe.RANKS), special_tokens={})
+    want = []
+    for r in common.table(spark, SF, "documents").collect():
+        ids, raw = e.encode_ordinary(r.text or ""), (r.text or "").encode()
+        want.append((r.doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(raw).hexdigest()))
+    assert sorted(map(tuple, bpe.op5_bpe(spark, SF).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())) == sorted(want)
+
+
+def test_op6_query(spark):
+    """The query column by column; its features from the bytes themselves."""
+    rows = {r.doc_id: r.text or "" for r in common.table(spark, SF, "documents").collect()}
+    stored = {r.doc_id: r.media for r in media.to_media(common.table(spark, SF, "documents")).collect()}
+    by_text = collections.defaultdict(set)
+    got = media.op6_media(spark, SF).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        raw = rows[r.doc_id].encode()
+        payload = raw + b"\0" * (-len(raw) % 64 or 64 * (not raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored[r.doc_id]), hashlib.sha256(stored[r.doc_id]).hexdigest())
+        frames = -(-len(payload) // (64 * media.DOWN))
+        found = re.fullmatch(r"frames=(\d+);shots=(\d+);(.*)", r.feature)
+        clips = [re.fullmatch(r"([\d.]+)-([\d.]+):([\d.]+)", x).groups() for x in found[3].split(",")]
+        assert int(found[1]) == frames and int(found[2]) == len(clips) and float(clips[0][0]) == 0
+        assert all(x[1] == y[0] for x, y in itertools.pairwise(clips))
+        samples = np.frombuffer(payload.ljust(frames * 64 * media.DOWN, b"\0"), dtype=np.uint8)
+        if len(clips) == 1:
+            assert float(clips[0][2]) == pytest.approx(samples.mean(), abs=1e-3)
+        by_text[rows[r.doc_id]].add(tuple(r)[1:])
+    assert all(len(x) == 1 for x in by_text.values())

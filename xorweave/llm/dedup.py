@@ -9,7 +9,7 @@ first and a second sketch is a table key: TABLES**2 tables for 2 * TABLES * ROWS
    key is compared inside the group, so the TABLES**2 keys of a document are never written out.
 3. In each group, the members are compared with one hub, chosen anew each round (linear in the
    members); groups whose members have grown into one component are done. What is left after
-   HUB_ROUNDS is compared in blocks, across components only.
+   HUB_ROUNDS is compared in blocks, on full sets, across components only.
 4. Pairs that share a table key are first estimated from their minhashes, then confirmed on full sets.
 5. Links become components by large-star and small-star steps.
 """
@@ -34,6 +34,8 @@ HUB_ROUNDS = 2
 LEAST_AGREEMENT = 0.68
 #: Rows (of one or two numbers) that are sent to every task, at most; more go through a shuffle.
 SENT = 1_000_000
+#: Members of a group, and bytes of their sets, that a block holds, about.
+MEMBERS, SET_BYTES = 1000, 1 << 25
 #: Partners of a document that one task compares it with, about; pairs of one that has more are dealt into blocks.
 PARTNERS = 1000
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -238,9 +240,9 @@ def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, lo, hi, block, d_id, n, comp, second, agree, first, f, k_step, step) sorted by key,
-    lo, hi: pairs (u, v) of block lo with block hi that share a table key, aren't connected, and
-    agree often enough. A pair comes out under the first key that it shares only."""
+    """Rows (key, lo, hi, block, d_id, n, comp, second, agree, first, f, k_step, step, s_set) sorted by key,
+    lo, hi: the links (u, v) between block lo and block hi among pairs that share a table key and agree often enough,
+    reckoned on full sets. A pair is looked at under the first key that it shares only, and only while nothing connects it."""
     held: list[list] = []
 
     def pairs_of(rows: list[list]) -> Iterator[tuple[int, int]]:
@@ -250,12 +252,25 @@ def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         f, k_step, step = rows[0][10], rows[0][11], np.array([r[12] for r in rows])
         agree = np.frombuffer(b"".join(r[8] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
         of_lo, of_hi = (np.flatnonzero(np.array([r[3] for r in rows]) == b) for b in (lo, hi))
+        over: dict[int, int] = {}  # what links found here have made one
+
+        def top(c: int) -> int:
+            while c in over:
+                c = over[c]
+            return c
+
         for i in of_lo:
+            own, size = np.frombuffer(rows[i][13], dtype=np.uint64), len(rows[i][13]) // 8
             other = of_hi[of_hi > i] if lo == hi else of_hi
             other = other[(comp[other] != comp[i]) & (np.maximum(step[other], step[i]) == k_step) & (100 * np.minimum(n[other], n[i]) >= 80 * np.maximum(n[other], n[i]))]
             share = (agree[other] == agree[i]).mean(1)
             for j in other[(share - 1 / 256) / (1 - 1 / 256) >= LEAST_AGREEMENT]:
-                if first[i][(first[i] == first[j]).argmax()] == f and np.intersect1d(second[i], second[j]).size:
+                a, b = top(comp[i]), top(comp[j])
+                if a == b or first[i][(first[i] == first[j]).argmax()] != f or not np.intersect1d(second[i], second[j]).size:
+                    continue
+                both = len(np.intersect1d(own, np.frombuffer(rows[j][13], dtype=np.uint64), assume_unique=True))
+                if 100 * both >= 80 * (size + len(rows[j][13]) // 8 - both):
+                    over[max(a, b)] = min(a, b)
                     yield (min(ids[i], ids[j]), max(ids[i], ids[j]))
 
     def flush() -> pa.RecordBatch:
@@ -265,7 +280,7 @@ def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(13)]
+        columns = [batch.column(i).to_pylist() for i in range(14)]
         for row in zip(*columns, strict=True):
             if held and tuple(held[0][:3]) != row[:3]:
                 yield flush()
@@ -274,24 +289,29 @@ def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield flush()
 
 
-def rest_pairs(placed: DataFrame, reps: DataFrame, block: int = 1000) -> DataFrame:
-    """(u, v): all agreeing pairs of a key's members that aren't connected. Keys of more than
-    ``block`` members are cut into blocks, and pairs of blocks go to different tasks."""
-    sizes = placed.groupBy("key").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    own = placed.join(sizes, "key").join(reps.select("d_id", "first", "second", "agree"), "d_id").withColumn("block", F.pmod(F.xxhash64("d_id"), F.col("blocks")))
+def sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(d_id, s_set) of the ids (d_id), written: sets made anew from the texts; of rows that repeat an id, the one of the least hash."""
+    texts = docs.join(small(ids, SENT), "d_id", "left_semi").select("d_id", "text")
+    sets = texts.mapInArrow(lambda batches: set_bytes(batches, k), "s_id long, s_set binary, set_key binary")
+    return stored(sets.filter("length(s_set) > 0").groupBy(F.col("s_id").alias("d_id")).agg(F.min_by("s_set", "set_key").alias("s_set")), "sets")
+
+
+def rest_links(placed: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(u, v): links among a key's members that aren't connected, enough to connect what is linked. Keys of many or large
+    members are cut into blocks, and pairs of blocks go to different tasks; a set goes to as many tasks as its key has blocks."""
+    sizes = placed.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum("n") * 8 / SET_BYTES)).alias("blocks"))
+    sets = sets_of(stored(placed.select("d_id").distinct(), "ids"), docs, k)
+    own = placed.join(sizes, "key").join(reps.select("d_id", "first", "second", "agree"), "d_id").join(sets, "d_id").withColumn("block", F.pmod(F.xxhash64("d_id"), F.col("blocks")))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "d_id", "n", "comp", "second", "agree", "first", "f", "k_step", "step")
+    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "d_id", "n", "comp", "second", "agree", "first", "f", "k_step", "step", "s_set")
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(compare_blocks, "u long, v long").distinct()
 
 
 def confirmed(near: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The links among the pairs ``near`` (u, v), confirmed on sets made anew from the texts."""
+    """The links among the pairs ``near`` (u, v), confirmed on full sets."""
     near = stored(in_blocks(stored(near, "near")), "blocks")
     ids = stored(near.select(F.col("u").alias("d_id")).distinct().union(near.select("v").distinct()).distinct(), "ids")
-    texts = docs.join(small(ids, SENT), "d_id", "left_semi").select("d_id", "text")
-    sets = texts.mapInArrow(lambda batches: set_bytes(batches, k), "s_id long, s_set binary, set_key binary")
-    keyed = stored(sets.filter("length(s_set) > 0").groupBy(F.col("s_id").alias("d_id")).agg(F.min_by("s_set", "set_key").alias("s_set")), "sets")
-    return beside(near, keyed).mapInArrow(linked_rows, "u long, v long")
+    return beside(near, sets_of(ids, docs, k)).mapInArrow(linked_rows, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = HUB_ROUNDS, k: int = 4) -> DataFrame:
@@ -326,8 +346,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             keys = placed = stored(placed.join(split, "key", "left_semi"), "split")
             if placed.isEmpty():
                 break
-        near = agreeing(hub_pairs(placed, r), reps) if r < hub_rounds else rest_pairs(placed, reps)
-        found = stored(confirmed(near, own, k), "found")
+        found = stored(confirmed(agreeing(hub_pairs(placed, r), reps), own, k) if r < hub_rounds else rest_links(placed, reps, own, k), "found")
         links = found if links is None else links.union(found)
         comp = stored(components(links), "comp")
     member = classes.select("set_key", "rep").join(comp, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("comp", "rep").alias("component"))

@@ -26,7 +26,7 @@ from .ann import by_dimension
 from .common import stored, table
 
 #: Numbers (rows times dimension) of an index block, on average at most.
-BLOCK = 1 << 25
+BLOCK = 1 << 24
 #: Numbers per piece, centres per piece, and parts in which residual norms are kept.
 PIECE, CENTRES, GROUPS = 2, 256, 4
 #: Rows that the centres are fitted on, at most, and rounds of fitting.
