@@ -239,54 +239,70 @@ def agreeing(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return beside(near, reps.select("d_id", "second", "agree")).mapInArrow(agreeing_rows, "u long, v long")
 
 
-def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, lo, hi, block, d_id, n, comp, second, agree, first, f, k_step, step, s_set) sorted by key,
-    lo, hi: the links (u, v) between block lo and block hi among pairs that share a table key and agree often enough,
-    reckoned on full sets. A pair is looked at under the first key that it shares only, and only while nothing connects it."""
-    held: list[list] = []
-
-    def pairs_of(rows: list[list]) -> Iterator[tuple[int, int]]:
-        lo, hi = rows[0][1], rows[0][2]
-        ids, n, comp = (np.array([r[k] for r in rows]) for k in (4, 5, 6))
-        second, first = np.array([r[7] for r in rows]), np.array([r[9] for r in rows])
-        f, k_step, step = rows[0][10], rows[0][11], np.array([r[12] for r in rows])
-        agree = np.frombuffer(b"".join(r[8] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
-        of_lo, of_hi = (np.flatnonzero(np.array([r[3] for r in rows]) == b) for b in (lo, hi))
-        over: dict[int, int] = {}  # what links found here have made one
+DEALT = ("key", "lo", "hi", "block", "d_id", "n", "comp", "second", "agree", "first", "f", "k_step", "step")
+
+
+def candidates(rows: list[tuple]) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows (DEALT) of one key and pair of blocks: per row the later ones, or those of the other block, that share a table key with it
+    under this key first, aren't connected to it, and agree often enough."""
+    lo, hi = rows[0][1], rows[0][2]
+    n, comp, step = (np.array([r[k] for r in rows]) for k in (5, 6, 12))
+    second, first = np.array([r[7] for r in rows]), np.array([r[9] for r in rows])
+    f, k_step = rows[0][10], rows[0][11]
+    agree = np.frombuffer(b"".join(r[8] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
+    of_lo, of_hi = (np.flatnonzero(np.array([r[3] for r in rows]) == b) for b in (lo, hi))
+    for i in of_lo:
+        other = of_hi[of_hi > i] if lo == hi else of_hi
+        other = other[(comp[other] != comp[i]) & (np.maximum(step[other], step[i]) == k_step) & (100 * np.minimum(n[other], n[i]) >= 80 * np.maximum(n[other], n[i]))]
+        other = other[((agree[other] == agree[i]).mean(1) - 1 / 256) / (1 - 1 / 256) >= LEAST_AGREEMENT]
+        if len(other):
+            same = first[other] == first[i]
+            other = other[first[i][same.argmax(1)] == f]
+            other = other[(second[other][:, :, None] == second[i]).any((1, 2))]
+        if len(other):
+            yield int(i), other
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each key and pair of blocks, of rows sorted by them."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and held[0][:3] != row[:3]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def with_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, lo, hi, d_id) of the rows (DEALT) that have a candidate, or are one."""
+    for rows in runs(batches):
+        found = {x for i, other in candidates(rows) for x in (i, *other.tolist())}
+        yield pa.RecordBatch.from_arrays([pa.array([rows[x][k] for x in sorted(found)], pa.int64()) for k in (0, 1, 2, 4)], ["key", "lo", "hi", "d_id"])
+
+
+def linked_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (DEALT and s_set): the links (u, v) among candidates, on full sets; a pair is looked at only while no link found here connects it."""
+    for rows in runs(batches):
+        sets, over, found = [np.frombuffer(r[13], dtype=np.uint64) for r in rows], {}, []
 
         def top(c: int) -> int:
-            while c in over:
-                c = over[c]
+            while c in over:  # noqa: B023
+                c = over[c]  # noqa: B023
             return c
 
-        for i in of_lo:
-            own, size = np.frombuffer(rows[i][13], dtype=np.uint64), len(rows[i][13]) // 8
-            other = of_hi[of_hi > i] if lo == hi else of_hi
-            other = other[(comp[other] != comp[i]) & (np.maximum(step[other], step[i]) == k_step) & (100 * np.minimum(n[other], n[i]) >= 80 * np.maximum(n[other], n[i]))]
-            share = (agree[other] == agree[i]).mean(1)
-            for j in other[(share - 1 / 256) / (1 - 1 / 256) >= LEAST_AGREEMENT]:
-                a, b = top(comp[i]), top(comp[j])
-                if a == b or first[i][(first[i] == first[j]).argmax()] != f or not np.intersect1d(second[i], second[j]).size:
+        for i, other in candidates(rows):
+            for j in other.tolist():
+                a, b = top(rows[i][6]), top(rows[j][6])
+                if a == b:
                     continue
-                both = len(np.intersect1d(own, np.frombuffer(rows[j][13], dtype=np.uint64), assume_unique=True))
-                if 100 * both >= 80 * (size + len(rows[j][13]) // 8 - both):
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
                     over[max(a, b)] = min(a, b)
-                    yield (min(ids[i], ids[j]), max(ids[i], ids[j]))
-
-    def flush() -> pa.RecordBatch:
-        found = list(pairs_of(held)) if len(held) > 1 else []
-        held.clear()
-        u, v = (np.array(x, dtype=np.int64) for x in zip(*found, strict=True)) if found else (np.zeros(0, dtype=np.int64),) * 2
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-    for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(14)]
-        for row in zip(*columns, strict=True):
-            if held and tuple(held[0][:3]) != row[:3]:
-                yield flush()
-            held.append(list(row))
-    if held:
-        yield flush()
+                    found.append(sorted((rows[i][4], rows[j][4])))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
 
 def sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
@@ -298,13 +314,18 @@ def sets_of(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 def rest_links(placed: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """(u, v): links among a key's members that aren't connected, enough to connect what is linked. Keys of many or large
-    members are cut into blocks, and pairs of blocks go to different tasks; a set goes to as many tasks as its key has blocks."""
+    members are cut into blocks, and pairs of blocks go to different tasks. Sketches are compared first; only members that have a candidate send their
+    sets, once for each pair of blocks."""
     sizes = placed.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / MEMBERS, F.sum("n") * 8 / SET_BYTES)).alias("blocks"))
-    sets = sets_of(stored(placed.select("d_id").distinct(), "ids"), docs, k)
-    own = placed.join(sizes, "key").join(reps.select("d_id", "first", "second", "agree"), "d_id").join(sets, "d_id").withColumn("block", F.pmod(F.xxhash64("d_id"), F.col("blocks")))
+    own = placed.join(sizes, "key").join(reps.select("d_id", "first", "second", "agree"), "d_id").withColumn("block", F.pmod(F.xxhash64("d_id"), F.col("blocks")))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "d_id", "n", "comp", "second", "agree", "first", "f", "k_step", "step", "s_set")
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(compare_blocks, "u long, v long").distinct()
+    dealt = dealt.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).select(*DEALT)
+    at = ["key", "lo", "hi"]
+    some = dealt.repartition(*at).sortWithinPartitions(*at).mapInArrow(with_candidates, "key long, lo long, hi long, d_id long")
+    some = stored(some, "candidates")
+    sets = sets_of(stored(some.select("d_id").distinct(), "ids"), docs, k)
+    full = dealt.join(some, [*at, "d_id"]).select(*DEALT).join(sets, "d_id").select(*DEALT, "s_set")
+    return full.repartition(*at).sortWithinPartitions(*at).mapInArrow(linked_blocks, "u long, v long").distinct()
 
 
 def confirmed(near: DataFrame, docs: DataFrame, k: int) -> DataFrame:
