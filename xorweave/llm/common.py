@@ -60,8 +60,8 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, keep: Column | None = None):
-    """At most ``bound`` labelled rows (text, y), the ones with the smallest md5 of their id.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int, keep: Column | None = None) -> DataFrame:
+    """At most ``bound`` labelled rows (text, y), twice as many where ids repeat, the ones with the smallest md5 of their id.
 
     ``keep`` filters the labels first. Rows without a label, rows of unknown documents, and texts of more
     than SAMPLE_CHARS characters don't count.
@@ -71,4 +71,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int,
         rows = rows.filter(keep)
     rows = rows.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id", "y").limit(bound)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= SAMPLE_CHARS)
-    return texts.join(F.broadcast(rows), "doc_id").orderBy("doc_id", "y", "text").limit(2 * bound).toPandas()
+    return texts.join(F.broadcast(rows), "doc_id").orderBy("doc_id", "y", "text").limit(2 * bound)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, keep: Column | None = None):
+    """The rows of ``labelled_rows`` on the driver."""
+    return labelled_rows(docs, labels, label, bound, keep).toPandas()
