@@ -135,6 +135,47 @@ def purged_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.purged_by_part(stores.bucket_shares(repeated_shares(spark, sf_dir), path.rpartition("/")[2].replace("-", "_"), path, 16))
 
 
+def few_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares with few different numbers, so that many are alike but for their difficulty."""
+    rows = share_rows(spark, sf_dir)
+    return rows.withColumns({"extraNonce2": F.col("extraNonce2") % 7, "extraNonce1": F.col("extraNonce1") % 3, "nonce": F.col("nonce") % 500})
+
+
+def share_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of kind 1 and low difficulty, from files of 20 bytes a share."""
+    binary.register(spark)
+    path = new_path(spark, "files")
+    share_rows(spark, sf_dir).write.format("xor_shares").mode("append").save(path)
+    return spark.read.format("xor_shares").load(path).filter("kind = 1 and difficulty <= 10")
+
+
+def saved_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "index")
+    stores.save_index(keys(spark, sf_dir, "B"), path, 5, BITS)
+    return stores.load_index(spark, path, 5)
+
+
+def range_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys of prefixes 3 to 8 of 32, from folders by prefix."""
+    path = new_path(spark, "keys")
+    stores.save_keys(keys(spark, sf_dir, "A"), path, 5, BITS)
+    return stores.key_range(spark, path, 3, 9)
+
+
+def routed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "kinds")
+    stores.route_keys(shares.with_key(share_rows(spark, sf_dir)), path)
+    return spark.read.parquet(path).select(F.col("kind").cast("int").alias("kind"), bits.hex16(F.col("h")).alias("key_hex"))
+
+
+def purged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares split into parts, of which one is purged."""
+    parts, purged = new_path(spark, "parts"), new_path(spark, "purged")
+    stores.split_shares(few_shares(spark, sf_dir), parts, 4)
+    stores.purge_shares(spark, f"{parts}/part=2", purged)
+    return spark.read.parquet(purged)
+
+
 def images(spark: SparkSession, sf_dir: str, tag: str) -> DataFrame:
     """(id, h): keys sent to 64 bits by MATRIX, so that they span 26 dimensions of 64."""
     return keys(spark, sf_dir, tag).select("id", bits.byte_tables(F.col("h"), MATRIX).alias("h"))
@@ -169,6 +210,7 @@ def join_sql(width: int = BITS) -> str:
 
 SHARES_SQL = """(SELECT CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS SMALLINT) AS kind, CAST(l_quantity AS SMALLINT) AS difficulty,
   l_partkey AS "extraNonce2", l_suppkey AS "extraNonce1", l_orderkey AS nonce, CAST(l_linenumber AS BIGINT) AS ntime FROM lineitem)"""
+FEW_SQL = f'(SELECT * REPLACE ("extraNonce2" % 7 AS "extraNonce2", "extraNonce1" % 3 AS "extraNonce1", nonce % 500 AS nonce) FROM {SHARES_SQL})'
 MATRIX = [0x9E3779B97F4A7C15 >> (i % 7) ^ (0x0123456789ABCDEF << (i % 5)) & (2**64 - 1) for i in range(BITS)]
 
 
@@ -247,7 +289,17 @@ _ALL: dict[str, tuple] = {
         lambda s, d: shares.with_key(share_rows(s, d)).select("kind", "nonce", "ntime", "digest", bits.hex16(F.col("h")).alias("key_hex"), "ok"),
         f"SELECT kind, nonce, ntime, digest, {' || '.join(f'substr(digest, {2 * i + 1}, 2)' for i in range(26, 18, -1))} AS key_hex, substr(digest, 57, 8) = '00000000' AS ok FROM {DIGEST_SQL}",
     ),
-    "share_dedup": q(lambda s, d: shares.dedup_shares(share_rows(s, d)), f'SELECT "extraNonce2", "extraNonce1", nonce, ntime, kind, max(difficulty) AS difficulty FROM {SHARES_SQL} GROUP BY ALL'),
+    "share_dedup": q(lambda s, d: shares.dedup_shares(few_shares(s, d)), f'SELECT "extraNonce2", "extraNonce1", nonce, ntime, kind, max(difficulty) AS difficulty FROM {FEW_SQL} GROUP BY ALL'),
+    "share_files": q(share_files, f"SELECT * FROM {SHARES_SQL} WHERE kind = 1 AND difficulty <= 10"),
+    "saved_index": q(saved_index, f"SELECT p.range AS prefix, CAST((SELECT count(*) FROM {list_sql('B')} WHERE h >> 21 < p.range) AS BIGINT) AS off FROM range(33) p"),
+    "range_read": q(range_read, f"SELECT h FROM {list_sql('A')} WHERE h >> 21 BETWEEN 3 AND 8"),
+    "routed_keys": q(routed_keys, f"SELECT CAST(kind AS INTEGER) AS kind, {' || '.join(f'substr(digest, {2 * i + 1}, 2)' for i in range(26, 18, -1))} AS key_hex FROM {DIGEST_SQL}"),
+    "purged_files": q(purged_files, f'SELECT "extraNonce2", "extraNonce1", nonce, ntime, kind, max(difficulty) AS difficulty FROM {FEW_SQL} WHERE xor(xor("extraNonce2", nonce), ntime) % 4 = 2 GROUP BY ALL'),
+    "rotated": q(lambda s, d: keys(s, d, "A").select("id", bits.hex16(bits.rotate_left(F.col("h"), 50)).alias("key_hex")), f"SELECT id, lpad(lower(printf('%x', (CAST(h & 16383 AS UBIGINT) << 50) + CAST(h >> 14 AS UBIGINT))), 16, '0') AS key_hex FROM {list_sql('A')}"),
+    "plan_sizes": q(
+        lambda s, d: join.describe_plan(*three(s, d), 4, BITS).withColumn("log2_pairs", F.round("log2_pairs", 6)),
+        f"SELECT n_a, n_b, n_c, CAST(16 AS BIGINT) AS tasks, round(log2(n_a * n_b), 6) AS log2_pairs, CAST(ceil(n_c / greatest(1, {BITS} - ceil(log2(greatest(2, n_a, n_b))))) AS BIGINT) AS slices FROM (SELECT (SELECT count(*) FROM orders) AS n_a, (SELECT count(*) FROM customer) AS n_b, (SELECT count(*) FROM part) AS n_c)",
+    ),
     "kind_stats": q(lambda s, d: shares.kind_stats(share_rows(s, d)), f"SELECT kind, count(*) AS n, round(sum(cbrt(difficulty)), 4) AS work FROM {SHARES_SQL} GROUP BY kind"),
     "work_bits": q(lambda s, d: shares.work_bits(shares.kind_stats(share_rows(s, d))).select(F.round("bits", 6).alias("bits")), f"SELECT round(sum(log2(work)) + 32, 6) AS bits FROM (SELECT kind, round(sum(cbrt(difficulty)), 4) AS work FROM {SHARES_SQL} GROUP BY kind)"),
     "split_sizes": q(lambda s, d: share_rows(s, d).groupBy(shares.part_of(16).alias("part")).agg(F.count("*").alias("n")), f'SELECT xor(xor("extraNonce2", nonce), ntime) % 16 AS part, count(*) AS n FROM {SHARES_SQL} GROUP BY 1'),
@@ -297,6 +349,7 @@ _ALL: dict[str, tuple] = {
     "xor3_prefix_20": q(lambda s, d: join.prefix(*[lists.masked(x, 20) for x in three(s, d)], 4, 20), join_sql(20)),
     "xor3_slice": q(lambda s, d: join.by_slice(*three(s, d), BITS), join_sql()),
     "xor3_stored": q(lambda s, d: join.xor3_join(*three(s, d), strategy="stored", width=BITS, k=TASK_BITS), join_sql()),
+    "xor3_stored_slice": q(lambda s, d: join.stored_join(*three(s, d), BITS, TASK_BITS, kernel="slice"), join_sql()),
     "xor3_resumed": q(lambda s, d: ledger.solutions(resumed(s, d)).select("a", "b"), join_sql()),
     "task_pairs": q(
         lambda s, d: ledger.task_pairs(resumed(s, d)).select("task_id", "pairs"),

@@ -155,7 +155,9 @@ class RecordReader(DataSourceReader):
                 before = (p["path"], n - 1) if n else before
         return out
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there was no range to read
+            return
         where, _ = opened(partition.uri)
         place, front = partition.first, None
         if (self.positions or self.ascending) and partition.before:
@@ -206,18 +208,22 @@ class RecordWriter(DataSourceArrowWriter):
         message.part = TaskContext.get().partitionId()
         name = f"part-{message.part:07d}-{uuid.uuid4().hex}.bin"
         message.path, message.n, message.least, message.greatest = f"{path}/{name}", 0, 0, 0
-        with where.open_output_stream(f"{message.path}.tmp") as f:
-            for batch in batches:
-                rows = np.zeros(len(batch), dtype=self.kind)
-                for n in self.kind.names:
-                    rows[n] = batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False)
-                if self.ordered and len(rows):
-                    keys = rows["h"].view(np.uint64)
-                    if (keys[:-1] > keys[1:]).any() or message.n and int(keys[0]) < message.greatest:
-                        raise ValueError(f"part {message.part} isn't in ascending order")
-                    message.least, message.greatest = message.least if message.n else int(keys[0]), int(keys[-1])
-                message.n += len(rows)
-                f.write(rows.tobytes())
+        try:
+            with where.open_output_stream(f"{message.path}.tmp") as f:
+                for batch in batches:
+                    rows = np.zeros(len(batch), dtype=self.kind)
+                    for n in self.kind.names:
+                        rows[n] = batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False)
+                    if self.ordered and len(rows):
+                        keys = rows["h"].view(np.uint64)
+                        if (keys[:-1] > keys[1:]).any() or message.n and int(keys[0]) < message.greatest:
+                            raise ValueError(f"part {message.part} isn't in ascending order")
+                        message.least, message.greatest = message.least if message.n else int(keys[0]), int(keys[-1])
+                    message.n += len(rows)
+                    f.write(rows.tobytes())
+        except BaseException:
+            self.abort([message])
+            raise
         return message
 
     def commit(self, messages: list) -> None:
@@ -239,7 +245,7 @@ class RecordWriter(DataSourceArrowWriter):
     def abort(self, messages: list) -> None:
         where, _ = opened(self.uri)
         for m in messages:
-            if m is not None:
+            if m is not None and where.get_file_info(f"{m.path}.tmp").type == fs.FileType.File:
                 where.delete_file(f"{m.path}.tmp")
 
 
