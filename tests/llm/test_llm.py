@@ -840,3 +840,11 @@ def test_op6_query(spark):
             assert float(clips[0][2]) == pytest.approx(np.frombuffer(payload, dtype=np.uint8).mean(), abs=1e-3)
         by_text[rows[r.doc_id]].add(tuple(r)[1:])
     assert all(len(x) == 1 for x in by_text.values())
+
+
+@pytest.mark.parametrize("line", [" " * 40_000 + "x", "#" * 40_000, "- " * 20_000, "[" + " " * 40_000, "a" + " " * 40_000, "user" + " " * 40_000 + "x", "* " + "\t" * 40_000 + "["])
+def test_chat_hostile(line):
+    """Lines made to be slow take time in proportion to their length."""
+    assert timeit.timeit(lambda: chat.parse(f"User: hi\n{line}\nAssistant: ok"), number=1) < 2
+    found = "".join(t for _, t in chat.parse(f"User: hi\n{line}\nAssistant: ok"))
+    assert "".join(found.split()) == "".join(f"hi{line}ok".split())  # but for white space at the ends of turns

@@ -37,7 +37,7 @@ ROLES = ("system", "user", "assistant")
 N_STATES = 6
 #: A marker has its brackets on both sides, or a colon; one letter needs the colon.
 MARKER = re.compile(
-    r"^\s*(?P<sign>[#>*\-]+)?\s*(?P<open>\[|\(|<\|?)?\s*(?:(?P<system>system|instructions?|context)|(?P<user>user|human|customer|question|q|me|you)|(?P<assistant>assistant|bot|ai|model|agent|answer|a)|(?P<other>[a-z][\w ]{0,14}))\s*(?(open)(?:\|?>|\]|\))\s*:?|:)[*\s]*", re.I
+    r"^\s*(?:(?P<sign>[#>*\-]+)\s*)?(?:(?P<open>\[|\(|<\|?)\s*)?(?:(?P<system>system|instructions?|context)|(?P<user>user|human|customer|question|q|me|you)|(?P<assistant>assistant|bot|ai|model|agent|answer|a)|(?P<other>[a-z][\w ]{0,14}))\s*(?(open)(?:\|?>|\]|\))\s*:?|:)[*\s]*", re.I
 )
 #: Words for user and assistant that a transcript has together; any word for system goes with each. Those of SAME stand for each other.
 SAME = frozenset(("user", "human"))
