@@ -81,12 +81,12 @@ class Features(dict):
         return key[at] // width, key[at] % width, np.diff(np.append(at, len(key))).astype(float)
 
 
-def slices(texts: list[str | None]) -> Iterator[slice]:
-    """Runs of texts of AT_ONCE characters at most, or of one text."""
+def slices(texts: list[str | None], most: int = AT_ONCE) -> Iterator[slice]:
+    """Runs of texts of ``most`` characters at most, or of one text."""
     start = size = 0
     for i, text in enumerate(texts):
         size += len(text or "")
-        if size > AT_ONCE and i > start:
+        if size > most and i > start:
             yield slice(start, i)
             start, size = i, len(text or "")
     if start < len(texts):
@@ -100,15 +100,22 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 def sparse(texts: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
     """Features in MIN_DOCS texts at least, numbered; and (row, column, count) of each that occurs."""
     features = Features()
-    got = [(part.start, *features.counted(texts[part])) for part in slices(texts)]
-    row = np.concatenate([np.zeros(0, dtype=np.int64), *[start + r for start, r, _, _ in got]])
-    col, val = (np.concatenate([np.zeros(0, dtype=t), *[g[k] for g in got]]) for k, t in ((2, np.int64), (3, float)))
-    docs = np.bincount(col, minlength=len(features.index))
+    got = []
+    for part in slices(texts, AT_ONCE // 4):
+        row, col, n = features.counted(texts[part])
+        got.append(((part.start + row).astype(np.int32), col.astype(np.int32), n.astype(np.int32)))
+    docs = np.zeros(len(features.index), dtype=np.int64)
+    for _, col, _ in got:
+        docs += np.bincount(col, minlength=len(docs))
     names = sorted(x for x, i in features.index.items() if docs[i] >= MIN_DOCS)
-    number = np.full(len(docs), -1, dtype=np.int64)
+    number = np.full(len(docs), -1, dtype=np.int32)
     number[[features.index[x] for x in names]] = np.arange(len(names))
-    keep = number[col] >= 0 if len(col) else np.zeros(0, dtype=bool)
-    return {x: i for i, x in enumerate(names)}, row[keep], number[col[keep]], val[keep]
+    del features
+    for i, (row, col, n) in enumerate(got):
+        keep = number[col] >= 0
+        got[i] = (row[keep], number[col[keep]], n[keep])
+    row, col = (np.concatenate([np.zeros(0, dtype=np.int32), *[g[k] for g in got]]) for k in (0, 1))
+    return {x: i for i, x in enumerate(names)}, row, col, np.concatenate([np.zeros(0), *[g[2] for g in got]])
 
 
 def grades_of(toxic: np.ndarray, row: np.ndarray, col: np.ndarray, n_features: int) -> np.ndarray:
@@ -130,9 +137,10 @@ def fit(texts: list[str], toxic: np.ndarray, *, steps: int = 250, ridge: float =
     k = 3
     w = np.zeros(len(index))
     by_col = np.argsort(col, kind="stable")
-    col_row, col_val = row[by_col], val[by_col]
-    rows, row_at = np.unique(row, return_index=True)
-    cols, col_at = np.unique(col[by_col], return_index=True)
+    col_row, col_val, cols = row[by_col], val[by_col], col[by_col]
+    del by_col
+    row_at, col_at = (np.flatnonzero(np.diff(x, prepend=-1)) for x in (row, cols))  # both rise
+    rows, cols = row[row_at], cols[col_at]
     base, gaps = np.array([2.0]), np.zeros(k - 1)  # theta = base, base + exp(gaps[0]), ...
     m = [np.zeros_like(x) for x in (w, base, gaps)]
     v = [np.zeros_like(x) for x in (w, base, gaps)]
