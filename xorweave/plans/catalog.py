@@ -128,8 +128,8 @@ def reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def purged_by_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_path(spark, "bucketed")
-    return stores.purged_by_part(stores.bucket_shares(repeated_shares(spark, sf_dir), path.rpartition("/")[2].replace("-", "_"), path, 16))
+    path, rows = new_path(spark, "bucketed"), repeated_shares(spark, sf_dir)
+    return stores.purged_by_part(stores.bucket_shares(rows, path.rpartition("/")[2].replace("-", "_"), path, stores.buckets_for(rows.count())))
 
 
 def few_shares(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,10 @@ from .binary import Probe, manifest, opened
 from .tasks import index_path
 
 
+#: Shares of a bucket, about; buckets at most (Spark's limit); parts a bucket.
+BUCKET_SHARES, MOST_BUCKETS, PARTS = 500_000, 100_000, 16
+
+
 def save_keys(keys: DataFrame, path: str, k: int, width: int = 64) -> None:
     """Keys (h) in a folder per prefix of ``k`` bits, each sorted."""
     rows = keys.select("h", msb(F.col("h"), k, width).alias("prefix"))
@@ -126,9 +130,15 @@ def purge_shares(spark: SparkSession, source: str, target: str) -> int:
     return rows.count() - spark.read.parquet(target).count()
 
 
+def buckets_for(rows: int) -> int:
+    """Buckets of about BUCKET_SHARES shares each, 16 at least."""
+    return max(16, min(MOST_BUCKETS, -(-rows // BUCKET_SHARES)))
+
+
 def bucket_shares(shares: DataFrame, table: str, path: str, n: int) -> DataFrame:
-    """Shares as a table bucketed by their part, so that those that are alike stand in one bucket."""
-    rows = shares.withColumn("part", part_of(n))
+    """Shares as a table of n buckets by their part, so that those that are alike stand in one bucket. There are PARTS times more parts than buckets, so that
+    buckets, which take parts by hash, come out about even."""
+    rows = shares.withColumn("part", part_of(n * PARTS))
     rows.repartition(n, "part").write.bucketBy(n, "part").option("path", path).format("parquet").saveAsTable(table)
     return shares.sparkSession.table(table)
 
