@@ -457,6 +457,17 @@ def test_pipeline(spark, docs, none):
         assert stage(spark, docs, SF).columns == docs.columns and stage(spark, none, SF).count() == 0
 
 
+def test_bpe_dictionary_plan(spark, docs, capsys):
+    """The table of ranks isn't in the plan, which the driver holds and sends for every stage, and the ids are whole words'."""
+    ranks = bpe.Ranks(bpe.Pairs(bpe.read_ranks(bpe.RANKS)))
+    found = bpe.dictionary(docs.select("text"), ranks, bpe.PATTERN)
+    found.explain("extended")
+    assert len(capsys.readouterr().out) < 100_000
+    rows = found.toArrow()
+    assert bpe.id_bytes(rows) == {w: bpe.merged(w.encode(), ranks.pairs.ranks).tobytes() for w in rows.column("word").to_pylist()} != {}
+    assert bpe.id_bytes(rows.slice(3, 4)) == {w: bpe.merged(w.encode(), ranks.pairs.ranks).tobytes() for w in rows.column("word").to_pylist()[3:7]}
+
+
 def test_bpe_fold(spark):
     """The fold over the literal against tiktoken; the dictionary's threshold against sorting."""
     import tiktoken

@@ -5,7 +5,7 @@ neighbours joined is in the vocabulary, the leftmost pair of the lowest rank is
 
 * The DICTIONARY most frequent words of the whole corpus (counted exactly) are encoded by Spark
   higher-order functions: ``aggregate`` folds the merges over an array of piece ids, looking ranks
-  up in one flat literal, a hash table of packed numbers.
+  up in one flat array, a hash table of packed numbers, which is broadcast as a row.
 * The result, of bounded size, goes to the tasks that encode the documents. The rarer words are
   merged there by the same rule, many words at a time; see the README for what folding all of them
   would cost.
@@ -17,6 +17,7 @@ neighbours joined is in the vocabulary, the leftmost pair of the lowest rank is
 from __future__ import annotations
 
 import base64
+import functools
 import heapq
 import json
 import re
@@ -104,20 +105,34 @@ def slot(key: Column | int, which: int, size: int) -> Column | int:
 
 
 class Ranks:
-    """The merges as one Spark literal, a flat hash table of packed numbers made in plain Python, and the pieces."""
+    """The merges as a flat hash table of packed numbers made in plain Python, as one Spark literal, and the pieces; each made when it is asked for."""
 
     def __init__(self, pairs: Pairs) -> None:
-        keys, ids = pairs.keys.tolist(), pairs.ids.tolist()
-        table_ = slots_of(keys, ids)
-        self.size, self.slots, self.shift = pairs.size, len(table_), max(ids, default=0).bit_length()
-        self.table = F.from_json(F.lit(json.dumps(table_, separators=(",", ":"))), "array<bigint>")
+        self.pairs, self.size, self.shift = pairs, pairs.size, int(pairs.ids.max(initial=0)).bit_length()
         self.bytes = F.from_json(F.lit(json.dumps(pairs.bytes.tolist())), "array<int>")
-        pieces = [piece.decode("latin-1") for piece, _ in sorted(pairs.ranks.items(), key=lambda x: x[1])]
-        self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+
+    @functools.cached_property
+    def numbers(self) -> np.ndarray:
+        return np.array(slots_of(self.pairs.keys.tolist(), self.pairs.ids.tolist()), dtype=np.int64)
+
+    @property
+    def table(self) -> Column:
+        """As a literal. It stands in the plan, which the driver prints and sends for every stage: for much work, see ``row``."""
+        return F.from_json(F.lit(json.dumps(self.numbers.tolist(), separators=(",", ":"))), "array<bigint>")
+
+    def row(self, spark: SparkSession) -> DataFrame:
+        """One row (ranks) that holds the table."""
+        ends = pa.array([0, len(self.numbers)], pa.int32())
+        return spark.createDataFrame(pa.table({"ranks": pa.ListArray.from_arrays(ends, pa.array(self.numbers))}))
+
+    @functools.cached_property
+    def pieces(self) -> Column:
+        pieces = [piece.decode("latin-1") for piece, _ in sorted(self.pairs.ranks.items(), key=lambda x: x[1])]
+        return F.from_json(F.lit(json.dumps(pieces)), "array<string>")
 
     def of(self, table_: Column, left: Column, right: Column) -> Column:
         """Rank of a pair of pieces given by their ids, which is the id of both joined; NONE where they don't join."""
-        entry = lambda k, n: F.get(table_, slot(k, n, self.slots))
+        entry = lambda k, n: F.get(table_, slot(k, n, len(self.numbers)))
         is_of = lambda e, k: F.shiftright(e, self.shift) == k
         value = lambda e: e.bitwiseAND(F.lit((1 << self.shift) - 1)).cast("int")
         other = lambda k: let(entry(k, 1), lambda e: F.when(is_of(e, k), value(e)).otherwise(F.lit(NONE)))
@@ -125,8 +140,8 @@ class Ranks:
         return let(left.cast("long") * F.lit(self.size).cast("long") + right, found)
 
 
-def fold_word(word: Column, ranks: Ranks) -> Column:
-    """array<int>: the ids of a string column's words. The literal stands in the plan once."""
+def fold_word(word: Column, ranks: Ranks, table_: Column | None = None) -> Column:
+    """array<int>: the ids of a string column's words, by ``table_`` (a column of ``Ranks.row``) or the literal, which stands in the plan once."""
     none = F.array().cast("array<int>")
 
     def fold(table_: Column) -> Column:
@@ -147,7 +162,7 @@ def fold_word(word: Column, ranks: Ranks) -> Column:
         start = let(ranks.bytes, lambda b: F.transform(chars, lambda x: F.get(b, F.ascii(x))))
         return let(start, lambda c: F.aggregate(F.sequence(F.lit(1), F.size(c)), state(c), merge)["p"])
 
-    return let(ranks.table, fold)
+    return let(ranks.table if table_ is None else table_, fold)
 
 
 def merged(word: bytes, ranks: dict[bytes, int]) -> np.ndarray:
@@ -272,8 +287,12 @@ def dictionary(texts: DataFrame, ranks: Ranks, pattern: str, size: int = DICTION
         yield words()
 
     counts = stored(texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    words = counts.filter(F.col("n") > rare_up_to(counts, size)).select("word")
-    return words.repartition(2 * texts.sparkSession.sparkContext.defaultParallelism).select("word", fold_word(F.col("word"), ranks).alias("ids"))
+    spark = texts.sparkSession
+    parts = 2 * spark.sparkContext.defaultParallelism
+    words = counts.filter(F.col("n") > rare_up_to(counts, size)).select("word", F.pmod(F.hash("word"), F.lit(8 * parts)).alias("group"))
+    # the table is copied for each row that it is joined to, so a row holds many words
+    groups = words.repartition(parts, "group").groupBy("group").agg(F.collect_list("word").alias("words")).crossJoin(F.broadcast(ranks.row(spark)))
+    return groups.select(F.inline(F.transform("words", lambda w: F.struct(w.alias("word"), fold_word(w, ranks, F.col("ranks")).alias("ids")))))
 
 
 def rare_up_to(counts: DataFrame, size: int, parts: int = 4096) -> int:
@@ -298,11 +317,24 @@ def rare_up_to(counts: DataFrame, size: int, parts: int = 4096) -> int:
 def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """Per row of ``docs``: its id and ``ids`` array<int>. Null and empty texts have no ids; repeated
     rows encode alike; other columns are ignored."""
-    spark = docs.sparkSession
-    pairs = Pairs(read_ranks(ranks_path))
+    return encoded(docs, Ranks(Pairs(read_ranks(ranks_path))), id_col, text_col, pattern)
+
+
+def id_bytes(words: pa.Table) -> dict[str, bytes]:
+    """The ids of each word of (word, ids), as bytes of int32."""
+    known = {}
+    for batch in words.to_batches():
+        ids = batch.column("ids")
+        flat, ends = ids.flatten().to_numpy().astype(np.int32).tobytes(), (4 * ids.value_lengths().to_numpy().cumsum()).tolist()
+        known.update((w, flat[a:b]) for w, a, b in zip(batch.column("word").to_pylist(), [0, *ends], ends, strict=False))
+    return known
+
+
+def encoded(docs: DataFrame, ranks: Ranks, id_col: str = "doc_id", text_col: str = "text", pattern: str = PATTERN) -> DataFrame:
+    """``encode`` by ranks that have been read."""
     texts = docs.select(F.col(text_col).alias("text"))
-    known = {w: np.array(ids, dtype=np.int32).tobytes() for w, ids in dictionary(texts, Ranks(pairs), pattern).collect()}  # at most DICTIONARY rows of LONGEST bytes
-    shared = spark.sparkContext.broadcast((pairs, known))
+    known = id_bytes(dictionary(texts, ranks, pattern).toArrow())  # at most DICTIONARY rows of LONGEST bytes
+    shared = docs.sparkSession.sparkContext.broadcast((ranks.pairs, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, ids_of = spans(pattern), SpanIds(pattern, *shared.value).of
@@ -333,6 +365,6 @@ def digests(docs: DataFrame) -> DataFrame:
     ranks = Ranks(Pairs(read_ranks(RANKS)))
     ids = F.col("ids")
     text = F.array_join(F.transform(ids, lambda i: i.cast("string")), " ")
-    return encode(docs).select(
+    return encoded(docs, ranks).select(
         "doc_id", F.size(ids).cast("long").alias("n_tokens"), F.sha2(text.cast("binary"), 256).alias("ids_sha256"), F.sha2(decoded(ids, ranks), 256).alias("decoded_sha256")
     )
