@@ -9,8 +9,8 @@ neighbours joined is in the vocabulary, the leftmost pair of the lowest rank is
 * The result, of bounded size, goes to the tasks that encode the documents. The rarer words are
   merged there by the same rule, many words at a time; see the README for what folding all of them
   would cost.
-* PATTERN never joins what stands before and after the end of a SPAN, so texts are cut into spans
-  first, and PATTERN runs once per distinct span. Another pattern runs over whole texts.
+* No match of PATTERN goes from what isn't white space on to a blank, so Arrow splits texts there, and
+  PATTERN runs once per distinct span of some MB of text. Another pattern runs over whole texts.
 * Decoding maps ids to their pieces and joins them, in Spark expressions.
 """
 
@@ -20,14 +20,13 @@ import base64
 import functools
 import heapq
 import json
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,13 +40,14 @@ DICTIONARY = 65_536
 LONGEST = 32
 #: Odd multipliers of the two slots of a key in the literal.
 MULTIPLIERS = (5_308_871, 7_654_321)
-#: White space as PATTERN has it (the Unicode property), and the spans between which PATTERN cuts.
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SPAN = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
-#: Distinct spans that a task holds, and the characters that one of them has at most.
-HELD = 500_000
-SHORT = 100
-NONE = 1 << 30
+#: What a span can't end with if another follows: white space as PATTERN has it, or nothing.
+OPEN = pa.array(["", *(c for c in map(chr, range(0xD800)) if regex.match(r"\s", c))])
+#: Bytes of text that a task cuts at once (or one text), and rows that it then yields at once.
+CUT = 1 << 23
+YIELD = 500
+#: Greater than any rank; times PLACES, it is a 32-bit number still.
+NONE = 1 << 24
+PLACES = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -65,16 +65,22 @@ class Pairs:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks, self.size = ranks, max(ranks.values()) + 1
+        self.pieces, self.piece_ids = pa.array(list(ranks), pa.binary()), np.array(list(ranks.values()), dtype=np.int32)
         self.bytes = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         joined = {ranks[w[:i]] * self.size + ranks[w[i:]]: r for w, r in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks}
         self.keys = np.array(sorted(joined), dtype=np.int64)
         self.ids = np.array([joined[k] for k in self.keys.tolist()], dtype=np.int64)
+        self.shift = int(self.ids.max(initial=0)).bit_length()
+        self.slots = np.array(slots_of(self.keys.tolist(), self.ids.tolist()), dtype=np.int64)
 
     def of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs; NONE where they don't join, or where one is missing (-1)."""
-        key = left * self.size + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.ids[at], NONE)
+        key = np.where((left >= 0) & (right >= 0), left * self.size + right, -2)
+        out = np.full(key.shape, NONE)
+        for which in (0, 1):
+            entry = self.slots[slot(key, which, len(self.slots))]
+            np.copyto(out, entry & (1 << self.shift) - 1, where=entry >> self.shift == key)
+        return out
 
 
 def slots_of(keys: list[int], values: list[int]) -> list[int]:
@@ -96,25 +102,21 @@ def slots_of(keys: list[int], values: list[int]) -> list[int]:
     return out
 
 
-def slot(key: Column | int, which: int, size: int) -> Column | int:
+def slot(key: Column | int | np.ndarray, which: int, size: int) -> Column | int | np.ndarray:
     """One of the two slots of a key below 2**40, for columns and numbers alike."""
     x = key * MULTIPLIERS[which]
-    if isinstance(key, int):
-        return x >> 16 & size - 1
-    return F.shiftright(x, 16).bitwiseAND(F.lit(size - 1))
+    if isinstance(key, Column):
+        return F.shiftright(x, 16).bitwiseAND(F.lit(size - 1))
+    return x >> 16 & size - 1
 
 
 class Ranks:
     """The merges as a flat hash table of packed numbers made in plain Python, as one Spark literal, and the pieces; each made when it is asked for."""
 
     def __init__(self, pairs: Pairs) -> None:
-        self.pairs, self.size, self.shift = pairs, pairs.size, int(pairs.ids.max(initial=0)).bit_length()
+        self.pairs, self.size, self.shift, self.numbers = pairs, pairs.size, pairs.shift, pairs.slots
         self.bytes = F.from_json(F.lit(json.dumps(pairs.bytes.tolist())), "array<int>")
 
-    @functools.cached_property
-    def numbers(self) -> np.ndarray:
-        return np.array(slots_of(self.pairs.keys.tolist(), self.pairs.ids.tolist()), dtype=np.int64)
-
     @property
     def table(self) -> Column:
         """As a literal. It stands in the plan, which the driver prints and sends for every stage: for much work, see ``row``."""
@@ -185,81 +187,141 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> np.ndarray:
     return np.array([ranks[x] for x in p if x is not None], dtype=np.int32)
 
 
-def merged_rows(words: list[bytes], pairs: Pairs) -> list[bytes]:
-    """The ids of words of like length, as bytes of int32: a row of pieces each, all rows joining one pair at a time."""
-    size = np.array([len(w) for w in words])
-    width = int(size.max())
-    column = np.arange(width)
-    raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(-1, width)
-    p = np.where(column < size[:, None], pairs.bytes[raw], -1)
-    p = np.column_stack([p, np.full((len(p), 2), -1)])
-    r = np.column_stack([pairs.of(p[:, :width], p[:, 1 : width + 1]), np.full((len(p), 2), NONE)])
-    done, own = np.full((len(p), width), -1, dtype=np.int32), np.arange(len(p))
-    column = np.arange(width + 1)
+def merged_rows(raw: np.ndarray, pairs: Pairs) -> pa.ListArray:
+    """The ids of words of one length of at most PLACES bytes, each a column of ``raw``: all words join one pair at a time."""
+    width, n = raw.shape
+    rows = np.arange(width, dtype=np.int32)[:, None]
+    packed = lambda rank, place: (rank * PLACES + place).astype(np.int32)  # noqa: E731  (the leftmost of the lowest rank is the least)
+    p = np.vstack([pairs.bytes[raw], np.full((1, n), -1)])  # the last row stands for a neighbour that is missing
+    r = np.full((width + 1, n), NONE * PLACES, dtype=np.int32)
+    r[: width - 1] = packed(pairs.of(p[: width - 1], p[1:width]), rows[:-1])
+    before, after = np.repeat(np.vstack([rows - 1, [[0]]]), n, 1), np.repeat(rows + 1, n, 1)
     while True:
-        at = r.argmin(1)
-        low = r[np.arange(len(r)), at]
-        if (over := low >= NONE).any():
-            done[own[over]] = p[over, :width]
-            own, p, r, at, low = own[~over], p[~over], r[~over], at[~over], low[~over]
-        if not len(own):
+        low = r[:width].min(0)
+        word = np.flatnonzero(low < NONE * PLACES)
+        if not len(word):
             break
-        row, moved = np.arange(len(p)), column + (column > at[:, None])
-        p[row, at] = low
-        p[:, :-1], r[:, :-1] = np.take_along_axis(p, moved, 1), np.take_along_axis(r, moved, 1)
-        r[row, at] = pairs.of(low, p[row, at + 1])
-        some = at > 0
-        r[row[some], at[some] - 1] = pairs.of(p[row[some], at[some] - 1], low[some])
-    ends = (done >= 0).sum(1).cumsum() * 4
-    flat = done[done >= 0].tobytes()
-    return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-
-
-def merged_all(words: list[bytes], pairs: Pairs, rows: int = 4096) -> list[bytes]:
-    """The ids of each word, as bytes of int32; a word that is in the vocabulary is one piece."""
-    out: list[bytes] = [b""] * len(words)
-    short = []
-    for i, w in enumerate(words):
-        if (whole := pairs.ranks.get(w)) is not None:
-            out[i] = np.int32(whole).tobytes()
-        elif len(w) > LONGEST:
-            out[i] = merged(w, pairs.ranks).tobytes()
-        elif w:
-            short.append(i)
-    short.sort(key=lambda i: len(words[i]))
-    for start in range(0, len(short), rows):
-        part = short[start : start + rows]
-        for i, ids in zip(part, merged_rows([words[i] for i in part], pairs), strict=True):
-            out[i] = ids
-    return out
-
-
-def spans(pattern: str) -> Callable[[str], list[str]]:
-    """Cuts a text into spans that no match of ``pattern`` crosses."""
-    return SPAN.findall if pattern == PATTERN else lambda text: [text]
-
-
-class SpanIds:
-    """Ids of spans, as bytes of int32: those of short spans are kept, until there are many."""
-
-    def __init__(self, pattern: str, pairs: Pairs, frequent: dict[str, bytes]) -> None:
-        self.find, self.pairs, self.frequent, self.known = regex.compile(pattern).findall, pairs, frequent, {}
-
-    def of(self, texts: list[list[str]]) -> list[bytes]:
-        """The ids of texts that are given as spans."""
-        if len(self.known) > HELD:
-            self.known.clear()
-        new = list(set(chain.from_iterable(texts)).difference(self.known))
-        cut = [self.find(span) for span in new]
-        rare = list(set(chain.from_iterable(cut)).difference(self.frequent))
-        ids_of = dict(zip(rare, merged_all([w.encode("utf-8", "replace") for w in rare], self.pairs), strict=True))
-        frequent = self.frequent
-        self.known.update((span, b"".join([frequent.get(w) or ids_of[w] for w in words])) for span, words in zip(new, cut, strict=True))
-        out = [b"".join(map(self.known.__getitem__, text)) for text in texts]
-        for span in new:
-            if len(span) >= SHORT:
-                del self.known[span]
-        return out
+        rank, at = np.divmod(low[word].astype(np.int64), PLACES)
+        right, left = after[at, word], before[at, word]
+        beyond = after[right, word]
+        p[at, word], p[right, word], r[right, word] = rank, -1, NONE * PLACES
+        after[at, word], before[beyond, word] = beyond, at
+        r[at, word] = packed(pairs.of(rank, p[beyond, word]), at)
+        r[left, word] = packed(pairs.of(p[left, word], rank), left)
+    p = p[:width].T
+    return lists_of((p >= 0).sum(1), p[p >= 0])
+
+
+def lists_of(sizes: np.ndarray | list[int], values: np.ndarray) -> pa.ListArray:
+    """array<int>: ``values`` in lists of these sizes."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int32()))
+
+
+def merged_lists(words: pa.Array, pairs: Pairs, rows: int = 16384) -> pa.ListArray:
+    """The ids of each word (binary); a word that is in the vocabulary is one piece, an empty one none."""
+    if not len(words):
+        return lists_of([], [])
+    size = pc.binary_length(words).to_numpy()
+    whole, base = pc.index_in(words, value_set=pairs.pieces).fill_null(-1).to_numpy(), len(pairs.piece_ids) + 1
+    where = np.where(size > 0, whole, base - 1).astype(np.int64)
+    out = [lists_of([*[1] * (base - 1), 0], pairs.piece_ids)]
+    starts, data = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset :], np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
+    short = np.flatnonzero((where < 0) & (size <= LONGEST))
+    short = short[np.argsort(size[short], kind="stable")]
+    for same in np.split(short, np.flatnonzero(np.diff(size[short])) + 1):
+        for own in np.split(same, range(rows, len(same), rows)):
+            if len(own):
+                out.append(merged_rows(data[starts[own] + np.arange(size[own[0]])[:, None]], pairs))
+                where[own] = base + np.arange(len(own))
+                base += len(own)
+    for i in np.flatnonzero(where < 0).tolist():
+        ids = merged(words[i].as_py(), pairs.ranks)
+        out.append(lists_of([len(ids)], ids))
+        where[i] = base
+        base += 1
+    return pa.concat_arrays(out).take(pa.array(where))
+
+
+def merged_all(words: list[bytes], pairs: Pairs, rows: int = 16384) -> list[bytes]:
+    """The ids of each word, as bytes of int32."""
+    return [np.array(ids, dtype=np.int32).tobytes() for ids in merged_lists(pa.array(words, pa.binary()), pairs, rows).to_pylist()]
+
+
+def spans_of(texts: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray, list[str]]:
+    """Cuts texts into spans that no match of PATTERN crosses: a blank after what isn't white space starts one.
+
+    As most spans are a blank and a word that holds none, only what stands after the blank is given for
+    the distinct ones of these (the first result). Other distinct spans follow: the first of each text,
+    and those that hold more white space or end in it. The second and third result are the spans of all
+    texts, as indices into both, and where each text's spans end; the last is the other spans, as they are.
+    """
+    parts = pc.split_pattern(texts, " ")
+    ends = parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()
+    coded = parts.flatten().dictionary_encode()
+    at, kinds = coded.indices.to_numpy(), coded.dictionary
+    open_ = pc.is_in(pc.utf8_slice_codeunits(kinds, -1, None), value_set=OPEN).to_numpy(zero_copy_only=False)
+    opens = open_[at]
+    first = np.zeros(len(at), dtype=bool)
+    first[[0, *ends[:-1]]] = True
+    start = first.copy()
+    start[1:] |= ~opens[:-1]
+    begins = np.flatnonzero(start)
+    size = np.diff(begins, append=len(at))
+    other = first[begins] | opens[begins]
+    pieces, done, strings = kinds.take(pa.array(at[np.repeat(other, size)])).to_pylist(), 0, []
+    for n, leads in zip(size[other].tolist(), first[begins[other]].tolist(), strict=True):
+        strings.append(" " * (not leads) + " ".join(pieces[done : done + n]))
+        done += n
+    others = pa.array(strings, pa.string()).dictionary_encode()
+    number = np.cumsum(~open_) - 1
+    spans = number[at[begins]]
+    spans[other] = (~open_).sum() + others.indices.to_numpy()
+    return kinds.filter(pa.array(~open_)), pa.array(spans, pa.int32()), np.cumsum(start)[ends - 1], others.dictionary.to_pylist()
+
+
+class Words:
+    """The words of texts: ``texts`` has each text's spans, ``spans`` each distinct span's words (lists of indices),
+    ``words`` the distinct words."""
+
+    def __init__(self, texts: pa.Array, pattern: str) -> None:
+        find = regex.compile(pattern).findall
+        if pattern == PATTERN:
+            plain, spans, ends, others = spans_of(texts)
+        else:
+            whole = texts.dictionary_encode()
+            plain, spans, ends, others = texts[:0], whole.indices, np.arange(1, len(texts) + 1), whole.dictionary.to_pylist()
+        # each starts at a blank, and none has another
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), plain), " ")[0].as_py()
+        words = find(" " + joined) if len(plain) else []
+        n, more = len(words), [find(span) for span in others]
+        coded = pa.array([*words, *chain.from_iterable(more)], pa.string()).dictionary_encode()
+        leads = pc.starts_with(coded.dictionary, " ").take(coded.indices[:n]).to_numpy(zero_copy_only=False)  # only a plain span's first word has a blank
+        starts = np.concatenate([np.flatnonzero(leads), n + np.cumsum([0, *map(len, more)])])
+        self.texts = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), spans)
+        self.spans = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), coded.indices)
+        self.words = coded.dictionary
+
+    def counts(self) -> np.ndarray:
+        """How often each of ``words`` stands in all texts."""
+        times = np.bincount(self.texts.values.to_numpy(), minlength=len(self.spans))
+        return np.bincount(self.spans.values.to_numpy(), np.repeat(times, self.spans.value_lengths().to_numpy()), len(self.words)).astype(np.int64)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches``, some CUT bytes of strings of a column at once; nulls become empty, and no batch is empty."""
+    for batch in batches:
+        texts = batch.column(column).cast(pa.string()).fill_null("")
+        whole = batch.set_column(column, batch.schema.names[column], texts)
+        part = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // CUT
+        for own in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(part)) + 1):
+            if len(own):
+                yield whole.slice(own[0], len(own))
+
+
+def inlined(lists: pa.ListArray, of: pa.ListArray) -> pa.ListArray:
+    """Lists of indices, with the lists of ``of`` in place of the indices."""
+    taken = of.take(lists.flatten())
+    return pa.ListArray.from_arrays(taken.offsets.take(pc.subtract(lists.offsets, lists.offsets[0])), taken.values)
 
 
 def dictionary(texts: DataFrame, ranks: Ranks, pattern: str, size: int = DICTIONARY) -> DataFrame:
@@ -267,24 +329,10 @@ def dictionary(texts: DataFrame, ranks: Ranks, pattern: str, size: int = DICTION
     ``size``, all that occur more often than some number."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, find = spans(pattern), regex.compile(pattern).findall
-        seen: Counter = Counter()
-
-        def words() -> pa.RecordBatch:
-            n: Counter = Counter()
-            for span, times in seen.items():
-                for word in find(span):
-                    if len(word) <= LONGEST and len(word.encode("utf-8", "replace")) <= LONGEST:
-                        n[word] += times
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
-
-        for batch in batches:
-            for text in batch.column(0):
-                seen.update(cut(text.as_py() or ""))
-                if len(seen) > HELD:
-                    yield words()
-        yield words()
+        for batch in slices(batches, 0):
+            found = Words(batch.column(0), pattern)
+            rows = pa.RecordBatch.from_arrays([found.words, pa.array(found.counts())], ["word", "n"])
+            yield rows.filter(pc.and_(pc.less_equal(pc.binary_length(rows["word"]), LONGEST), pc.greater(rows["n"], 0)))
 
     counts = stored(texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     spark = texts.sparkSession
@@ -337,14 +385,17 @@ def encoded(docs: DataFrame, ranks: Ranks, id_col: str = "doc_id", text_col: str
     shared = docs.sparkSession.sparkContext.broadcast((ranks.pairs, known))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, ids_of = spans(pattern), SpanIds(pattern, *shared.value).of
-        for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.slice(start, 500)
-                ids = ids_of([cut(text or "") for text in part.column(1).to_pylist()])
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["b_id", "ids"])
+        pairs, known = shared.value
+        frequent, ids = pa.array(known, pa.string()), lists_of([len(x) // 4 for x in known.values()], np.frombuffer(b"".join(known.values()), dtype=np.int32))
+        for batch in slices(batches, 1):
+            found = Words(batch.column(1), pattern)
+            where = pc.index_in(found.words, value_set=frequent)
+            rare = where.is_null().to_numpy(zero_copy_only=False)
+            where = np.where(rare, len(frequent) + np.cumsum(rare) - 1, where.fill_null(0).to_numpy())
+            all_ids = pa.concat_arrays([ids, merged_lists(found.words.filter(pa.array(rare)).cast(pa.binary()), pairs)])
+            by_span = inlined(found.spans, all_ids.take(pa.array(where)))
+            for start in range(0, len(batch), YIELD):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, YIELD), inlined(found.texts.slice(start, YIELD), by_span)], ["b_id", "ids"])
 
     own = docs.select(F.col(id_col).alias("b_id"), F.col(text_col).alias("text"))
     kind = own.schema["b_id"].dataType.simpleString()
