@@ -43,7 +43,7 @@ MULTIPLIERS = (5_308_871, 7_654_321)
 #: What a span can't end with if another follows: white space as PATTERN has it, or nothing.
 OPEN = pa.array(["", *(c for c in map(chr, range(0xD800)) if regex.match(r"\s", c))])
 #: Bytes of text that a task cuts at once (or one text), and rows that it then yields at once.
-CUT = 1 << 23
+CUT = 1 << 21
 YIELD = 500
 #: Greater than any rank; times PLACES, it is a 32-bit number still.
 NONE = 1 << 24
@@ -294,7 +294,9 @@ class Words:
         joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), plain), " ")[0].as_py()
         words = find(" " + joined) if len(plain) else []
         n, more = len(words), [find(span) for span in others]
-        coded = pa.array([*words, *chain.from_iterable(more)], pa.string()).dictionary_encode()
+        words.extend(chain.from_iterable(more))
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        del joined, words
         leads = pc.starts_with(coded.dictionary, " ").take(coded.indices[:n]).to_numpy(zero_copy_only=False)  # only a plain span's first word has a blank
         starts = np.concatenate([np.flatnonzero(leads), n + np.cumsum([0, *map(len, more)])])
         self.texts = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), spans)
@@ -328,11 +330,14 @@ def dictionary(texts: DataFrame, ranks: Ranks, pattern: str, size: int = DICTION
     """(word, ids) of the most frequent words of all rows of ``texts`` (one string column): at most
     ``size``, all that occur more often than some number."""
 
+    def rows_of(slice_: pa.Array) -> pa.RecordBatch:
+        found = Words(slice_, pattern)
+        rows = pa.RecordBatch.from_arrays([found.words, pa.array(found.counts())], ["word", "n"])
+        return rows.filter(pc.and_(pc.less_equal(pc.binary_length(rows["word"]), LONGEST), pc.greater(rows["n"], 0)))
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
-            found = Words(batch.column(0), pattern)
-            rows = pa.RecordBatch.from_arrays([found.words, pa.array(found.counts())], ["word", "n"])
-            yield rows.filter(pc.and_(pc.less_equal(pc.binary_length(rows["word"]), LONGEST), pc.greater(rows["n"], 0)))
+            yield rows_of(batch.column(0))
 
     counts = stored(texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     spark = texts.sparkSession
@@ -387,15 +392,20 @@ def encoded(docs: DataFrame, ranks: Ranks, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, known = shared.value
         frequent, ids = pa.array(known, pa.string()), lists_of([len(x) // 4 for x in known.values()], np.frombuffer(b"".join(known.values()), dtype=np.int32))
-        for batch in slices(batches, 1):
-            found = Words(batch.column(1), pattern)
+
+        def encode_slice(texts: pa.Array) -> tuple[pa.ListArray, pa.ListArray]:  # what it needs besides goes before the next slice comes
+            found = Words(texts, pattern)
             where = pc.index_in(found.words, value_set=frequent)
             rare = where.is_null().to_numpy(zero_copy_only=False)
             where = np.where(rare, len(frequent) + np.cumsum(rare) - 1, where.fill_null(0).to_numpy())
             all_ids = pa.concat_arrays([ids, merged_lists(found.words.filter(pa.array(rare)).cast(pa.binary()), pairs)])
-            by_span = inlined(found.spans, all_ids.take(pa.array(where)))
+            return found.texts, inlined(found.spans, all_ids.take(pa.array(where)))
+
+        for batch in slices(batches, 1):
+            texts, by_span = encode_slice(batch.column(1))
             for start in range(0, len(batch), YIELD):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, YIELD), inlined(found.texts.slice(start, YIELD), by_span)], ["b_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, YIELD), inlined(texts.slice(start, YIELD), by_span)], ["b_id", "ids"])
+            del texts, by_span
 
     own = docs.select(F.col(id_col).alias("b_id"), F.col(text_col).alias("text"))
     kind = own.schema["b_id"].dataType.simpleString()
