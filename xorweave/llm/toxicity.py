@@ -39,7 +39,9 @@ TOKEN = re.compile(r"\w+")
 #: Lengths of the word beginnings that are features too.
 STEMS = (3, 4, 5, 6)
 #: Texts are taken together up to so many characters (one longer text stands alone).
-AT_ONCE = 2_000_000
+AT_ONCE = 500_000
+#: Words that a task remembers, about.
+KNOWN = 200_000
 
 
 def parts(word: str) -> list[str]:
@@ -101,7 +103,7 @@ def sparse(texts: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray, np
     """Features in MIN_DOCS texts at least, numbered; and (row, column, count) of each that occurs."""
     features = Features()
     got = []
-    for part in slices(texts, AT_ONCE // 4):
+    for part in slices(texts):
         row, col, n = features.counted(texts[part])
         got.append(((part.start + row).astype(np.int32), col.astype(np.int32), n.astype(np.int32)))
     docs = np.zeros(len(features.index), dtype=np.int64)
@@ -176,7 +178,7 @@ def severity(model: dict, texts: list[str | None], features: Features | None = N
     features = Features({x: i for i, x in enumerate(names)}) if features is None else features
     w, z = np.array([model["w"][x] for x in names] or [0.0]), np.zeros(len(texts))
     for part in slices(texts):
-        if len(features) > 500_000:
+        if len(features) > KNOWN:
             features.forget()
         row, col, n = features.counted(texts[part])
         z[part] = np.bincount(row, weights=w[col] * np.log1p(n), minlength=part.stop - part.start)
